@@ -5,8 +5,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalars import Z_CANDIDATE, robust_z
 from .ordered import join_on, scan
-from .quantiles import median_mad, quantiles
+from .quantiles import counted_median_mad, counted_quantiles, median_mad, quantiles, recount, value_counts
 from .spans import all_stages, kernels
+from .storage import materialize
 
 
 def matched_z(inc: DataFrame, base: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -36,9 +37,12 @@ def distributional_z(inc: DataFrame, base: DataFrame, min_n: int = 5) -> DataFra
 
     Stages are pooled, except gpu: matched per kernel name with ``min_n`` samples on both sides, pooled again
     when no name qualifies. An empty side counts as 0. Names seen only in the incident are counted, not scored."""
-    runs = inc.select("run_id").distinct()
-    pb = median_mad(base, ["stage"], "value").withColumnRenamed("n", "n_base")
-    pi = quantiles(inc, ["run_id", "stage"], "value", {"inc_med": (0.5, "linear")}).withColumnRenamed("n", "n_inc")
+    ci = materialize(value_counts(inc, ["run_id", "stage", "name"], "value"), "inc-counts")
+    cb = materialize(value_counts(base, ["stage", "name"], "value"), "base-counts")
+    med = {"inc_med": (0.5, "linear")}
+    runs = ci.select("run_id").distinct()
+    pb = counted_median_mad(recount(cb, ["stage"]), ["stage"]).withColumnRenamed("n", "n_base")
+    pi = counted_quantiles(recount(ci, ["run_id", "stage"]), ["run_id", "stage"], med).withColumnRenamed("n", "n_inc")
     zero = F.lit(0.0)
     pooled = (all_stages(runs).join(pi, ["run_id", "stage"], "left").join(pb, "stage", "left")
               .select("run_id", "stage", F.coalesce("n_inc", F.lit(0)).alias("n_inc"), F.coalesce("n_base", F.lit(0)).alias("n_base"),
@@ -46,9 +50,8 @@ def distributional_z(inc: DataFrame, base: DataFrame, min_n: int = 5) -> DataFra
                       F.coalesce("mad", zero).alias("base_mad"))
               .withColumn("delta", F.col("inc_med") - F.col("base_med"))
               .withColumn("z", robust_z(F.col("stage"), F.col("inc_med"), F.col("base_med"), F.col("base_mad"))))
-    gi, gb = inc.where("stage = 'gpu'"), base.where("stage = 'gpu'")
-    nb = median_mad(gb, ["stage", "name"], "value").withColumnRenamed("n", "n_base")
-    ni = quantiles(gi, ["run_id", "stage", "name"], "value", {"inc_med": (0.5, "linear")}).withColumnRenamed("n", "n_inc")
+    nb = counted_median_mad(cb.where("stage = 'gpu'"), ["stage", "name"]).withColumnRenamed("n", "n_base")
+    ni = counted_quantiles(ci.where("stage = 'gpu'"), ["run_id", "stage", "name"], med).withColumnRenamed("n", "n_inc")
     named = ni.join(nb, ["stage", "name"], "left")
     ok = (F.col("n_base") >= min_n) & (F.col("n_inc") >= min_n)
     delta = F.col("inc_med") - F.col("med")
@@ -121,8 +124,9 @@ def sensitivity(base: DataFrame, steps: int = 63) -> DataFrame:
 
     Scaling a stage by f scales its median by f, so the grid is applied to one median per stage; the whole-number
     rule of queue depths is monotone and is applied to the two middle values."""
-    mm = median_mad(base, ["stage"], "value")
-    mids = quantiles(base, ["stage"], "value", {"lo": (0.5, "lower"), "hi": (0.5, "upper")}).drop("n")
+    counts = materialize(value_counts(base, ["stage"], "value"), "stage-counts")
+    mm = counted_median_mad(counts, ["stage"])
+    mids = counted_quantiles(counts, ["stage"], {"lo": (0.5, "lower"), "hi": (0.5, "upper")}).drop("n")
     grid = F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("i")
     g = mm.join(mids, "stage").select("*", grid).withColumn("f", 1.0 + 7.0 * F.col("i") / 64.0)
     def scaled(c):

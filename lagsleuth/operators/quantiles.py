@@ -73,7 +73,15 @@ def quantiles(df: DataFrame, keys: list[str], value: str, specs: dict[str, tuple
 
 def median_mad(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Exact median and median absolute deviation: (keys, n, med, mad)."""
-    counts = value_counts(df, keys, value)
+    return counted_median_mad(value_counts(df, keys, value), keys)
+
+
+def recount(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Coarser keys for value counts."""
+    return counts.groupBy(*keys, "v").agg(F.sum("c").alias("c"))
+
+
+def counted_median_mad(counts: DataFrame, keys: list[str]) -> DataFrame:
     med = counted_quantiles(counts, keys, {"med": (0.5, "linear")})
     dev = (join_on(counts, med, keys)
            .groupBy(*keys, F.abs(F.col("v") - F.col("med")).alias("v")).agg(F.sum("c").alias("c")))
