@@ -73,6 +73,7 @@ def scan(df: DataFrame, keys: list[str], order: list[str], rows: int | None = No
 
     An item is ``name=(kind, expression)``; kinds: lag, lead, sum, sum_before, max, max_before,
     last / last_before (latest non-null), total_sum, total_max, total_min. ``rank=("sum", lit(1))`` numbers rows.
+    The input is read three times (bounds, summaries, rows): pass a stored table or one that is cheap to read again.
     """
     cols = df.columns
     xs = {name: f"__x_{name}" for name in items}

@@ -5,10 +5,11 @@ An unknown deadline or finish stays unknown; it is never read as on time.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .ordered import join_on, scan
 from .quantiles import latency_stats
+from .storage import materialize
 
 # Outcomes that count as missed once their finish reaches the deadline.
 LATE_STATUSES = ("timeout", "censored", "not_submitted")
@@ -71,6 +72,7 @@ def drought(requests: DataFrame, block: list[str], order: list[str]) -> DataFram
     first = F.when(done & F.col("finish_ns").isNotNull(), F.struct(at.alias("at"), F.col("clock_domain").alias("clock"), F.col("finish_ns").alias("f")))
     s = scan(requests, block, order,
              last_any=("last_before", F.col("finish_ns")), first_done=("total_min", first))
+    s = materialize(s, "drought")
     d = scan(s.where(done), block, order, last_done=("lag", F.col("finish_ns")))
     back = F.col("finish_ns") < F.col("last_any")
     wrong_clock = F.col("clock_domain").isNull() | ~F.col("clock_domain").eqNullSafe(F.col("first_done.clock"))
@@ -87,10 +89,10 @@ def merge_blocks(summaries: DataFrame, keys: list[str], order: str, thresholds:
     n = F.col("eligible")
     not_all = ~F.col("all_missed")
     has = F.col("first_finish").isNotNull()
-    a = scan(summaries, keys, [order], before=("sum_before", n), total=("total_sum", n),
+    a = scan(materialize(summaries, "blocks"), keys, [order], before=("sum_before", n), total=("total_sum", n),
              last_seen=("last_before", F.col("last_finish")),
              first=("total_min", F.when(has, F.struct(F.col(order).alias("o"), F.col("clock").alias("clock")))))
-    b = scan(a, keys, [order], open_from=("last_before", F.when(not_all, F.col("before") + n - F.col("suffix"))))
+    b = scan(materialize(a, "seams"), keys, [order], open_from=("last_before", F.when(not_all, F.col("before") + n - F.col("suffix"))))
     seam = F.col("before") + F.col("prefix") - F.coalesce("open_from", F.lit(0))
     fits = F.col("first.clock").isNotNull() & (F.col("clock") == F.col("first.clock")) & (F.col("first_finish") >= F.col("last_seen"))
     joined = has & F.col("last_seen").isNotNull()
@@ -236,7 +238,6 @@ def sample_blocks(requests: DataFrame, block: list[str], k: int, seed: str) -> D
     h = F.md5(F.concat_ws("|", F.lit(seed), F.col("request_id").cast("string")))
     d = requests.withColumn("__h", h)
     size = d.groupBy(*block).agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window
     d = d.withColumn("__salt", F.substring("__h", -2, 2))
     local = d.withColumn("__r", F.row_number().over(Window.partitionBy(*block, "__salt").orderBy("__h"))).where(F.col("__r") <= k)
     top = local.withColumn("__r", F.row_number().over(Window.partitionBy(*block).orderBy("__h"))).where(F.col("__r") <= k)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import STAGES, kernel_short_name
 from .ordered import scan
+from .storage import materialize
 
 
 def host(spans: DataFrame) -> DataFrame:
@@ -64,8 +65,8 @@ def concurrency(spans: DataFrame) -> DataFrame:
         F.struct(F.col("end_ns").alias("at"), F.lit(-1).alias("d")))).alias("e")
         ).select("run_id", "stream_id", "event_id", "e.at", "e.d")
     per = scan(edges.where("stream_id is not null"), ["run_id", "stream_id"], ["at", "d", "event_id"], now=("sum", F.col("d")))
-    flips = per.select("run_id", "at", F.when((F.col("now") == 1) & (F.col("d") == 1), 1)
-                       .when(F.col("now") == 0, -1).alias("sd")).where("sd is not null")
+    flips = materialize(per.select("run_id", "at", F.when((F.col("now") == 1) & (F.col("d") == 1), 1)
+                                   .when(F.col("now") == 0, -1).alias("sd")).where("sd is not null"), "stream-flips")
     streams = (g.where("stream_id is not null").groupBy("run_id", "stream_id").agg(F.min("start_ns").alias("at"))
                .select("run_id", "at", F.lit(1).alias("q")))
     asks = g.select("run_id", F.col("start_ns").alias("at"), "event_id", "start_ns", "end_ns", F.lit(1).alias("ask"))

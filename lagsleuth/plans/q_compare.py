@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import STAGES, kernel_short_name
 from ..operators import compare as C, quantiles as Q, spans as S
-from ..operators.ordered import scan
+from ..operators.storage import materialize
 from .registry import query
-from .views import REQUESTS, SPANS, micros, requests, spans, table
+from .views import SPANS, spans, table
 
 
 def r6(df, *cols, digits=6):
@@ -158,7 +158,7 @@ SELECT run_id, stage, round(CASE WHEN best IS NOT NULL THEN best.z ELSE z END, 6
 
 
 def dist_z(spark, d):
-    v = S.stage_values(traced(spark, d))
+    v = materialize(S.stage_values(traced(spark, d)), "stage-values")
     return C.distributional_z(v.where("run_id >= '2024-01-16'"), v.where("run_id < '2024-01-16'"))
 
 
@@ -274,4 +274,3 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", kernel_short_name(F.expr(RAW_NAME)).alias("short"))
 
 
-_ = (REQUESTS, micros, requests, scan)
