@@ -195,7 +195,7 @@ def timing_verdict(base: DataFrame, other: DataFrame, keys: list[str], value: st
     a = latency_stats(base, keys, value).select(*keys, *[F.col(c).alias(f"a_{c}") for c in ("p50", "p95", "p99")])
     b = latency_stats(other, keys, value).select(*keys, *[F.col(c).alias(f"b_{c}") for c in ("p50", "p95", "p99")])
     def rel(c):
-        return F.col(f"b_{c}") / F.col(f"a_{c}") - 1
+        return F.try_divide(F.col(f"b_{c}"), F.col(f"a_{c}")) - 1
     j = join_on(a, b, keys)
     return j.select(*keys, rel("p50").alias("median_change"), rel("p95").alias("p95_change"), rel("p99").alias("p99_change"),
                     ((F.abs(rel("p50")) <= 0.05) & (F.abs(rel("p95")) <= 0.10)).alias("pass"))

@@ -125,8 +125,8 @@ def _(spark, d):
 
 @query("W9", "readiness", f"""WITH {BR}, n AS (SELECT DISTINCT user_id, 20 AS n0, 45 + user_id % 20 AS n1 FROM br),
 r AS (SELECT br.user_id, time, greatest(lo, n0) AS lo, least(hi, n1) AS hi, n0, n1 FROM br JOIN n USING (user_id)),
-c AS (SELECT DISTINCT user_id, unnest([lo, hi, n0, n1]) AS at FROM r WHERE hi > lo UNION SELECT user_id, unnest([n0, n1]) FROM n),
-p AS (SELECT user_id, at AS a, lead(at) OVER (PARTITION BY user_id ORDER BY at) AS b FROM c),
+c AS (SELECT DISTINCT user_id, unnest([lo, hi, n0, n1]) AS pt FROM r WHERE hi > lo UNION SELECT user_id, unnest([n0, n1]) FROM n),
+p AS (SELECT user_id, pt AS a, lead(pt) OVER (PARTITION BY user_id ORDER BY pt) AS b FROM c),
 t AS (SELECT p.user_id, p.a, min(r.time) AS t FROM p LEFT JOIN r ON r.user_id = p.user_id AND r.lo <= p.a AND r.hi >= p.b WHERE p.b IS NOT NULL GROUP BY ALL),
 x AS (SELECT user_id, CASE WHEN bool_and(t IS NOT NULL) THEN max(t) END AS ready FROM t GROUP BY ALL)
 SELECT user_id, n0::BIGINT AS lo, n1::BIGINT AS hi, ready, CASE WHEN ready IS NULL THEN 'required range not established' ELSE 'required contiguous range readable' END AS reason FROM n JOIN x USING (user_id)""")
@@ -146,8 +146,8 @@ def _(spark, d):
 
 @query("W8", "ack_spacing", f"""WITH {BR}, e AS (SELECT user_id, lo AS ack_id, min(time) AS time FROM br WHERE event_type = 'click' GROUP BY ALL), a AS (SELECT user_id, lo AS ack_id, max(time) AS arr FROM br WHERE event_type <> 'click' GROUP BY ALL),
 w AS (SELECT user_id, ack_id, time, arr, lag(ack_id) OVER o AS pa, lag(time) OVER o AS pt, lag(arr) OVER o AS pat FROM e JOIN a USING (user_id, ack_id) WINDOW o AS (PARTITION BY user_id ORDER BY time, ack_id))
-SELECT user_id, pa AS first_ack, ack_id AS second_ack, CASE WHEN arr - pat + 2000 >= 0 THEN round((arr - pat - 2000) - (time - pt + 4000) * 1.5, 3) END AS lo,
- CASE WHEN arr - pat + 2000 >= 0 THEN round((arr - pat + 2000) - (time - pt - 4000) * 0.5, 3) END AS hi FROM w WHERE pa IS NOT NULL""")
+SELECT user_id, pa AS first_ack, ack_id AS second_ack, CASE WHEN arr - pat + 2000 >= 0 THEN round((arr - pat - 2000) - (time - pt + 4000) * 1.5, 3)::DOUBLE END AS lo,
+ CASE WHEN arr - pat + 2000 >= 0 THEN round((arr - pat + 2000) - (time - pt - 4000) * 0.5, 3)::DOUBLE END AS hi FROM w WHERE pa IS NOT NULL""")
 def _(spark, d):
     r = byte_ranges(spark, d)
     def side(df, agg, u):
