@@ -289,3 +289,13 @@ def compound_mechanism(results: DataFrame, shared: DataFrame, key: str) -> DataF
     """Keys where two or more mechanisms are supported and some event shows shared exposure or masking."""
     n = results.where("result = 'supports'").groupBy(key).agg(F.count_distinct("mechanism").alias("mechanisms"))
     return n.join(shared.where("shared > 0").select(key).distinct(), key).where("mechanisms > 1")
+
+
+def nominate(spans: DataFrame) -> DataFrame:
+    """Per run: lag correlation of host gaps with waits, and the side with more variance. Only nominates; an observed edge stands."""
+    h = scan(spans.where("kind = 'cpu_launch'"), ["run_id"], ["start_ns", "event_id"], nxt=("lead", F.col("start_ns")))
+    vg = h.groupBy("run_id").agg(F.var_pop((F.col("nxt") - F.col("end_ns")) / 1e6).alias("vg"), F.count("nxt").alias("ng"))
+    b = scan(spans.where("kind = 'sync_edge'"), ["run_id"], ["start_ns", "event_id"], pos=("sum", F.lit(1))).where("pos > 1")
+    vb = b.groupBy("run_id").agg(F.var_pop(F.col("dur_ns") / 1e6).alias("vb"), F.count(F.lit(1)).alias("nb"))
+    guess = F.when((F.col("vg") >= F.coalesce("vb", F.lit(0.0))) & (F.col("ng") > 0), "host").when(F.col("nb") > 0, "sync")
+    return vg.join(vb, "run_id", "left").select("run_id", guess.alias("nomination"), F.lit(False).alias("overrides_edge"))
