@@ -29,7 +29,8 @@ def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def counted_quantiles(counts: DataFrame, keys: list[str], specs: dict[str, tuple[float, str]]) -> DataFrame:
     """Quantiles from (keys, v, c). ``specs``: name -> (p, "linear" | "nearest" | "lower" |
-    "upper"); lower and upper are the two values linear interpolates between. Adds the row count ``n``."""
+    "upper" | "conformal"); lower and upper are the two values linear interpolates between, conformal is the
+    ceil((n+1)p)-th value and null beyond the last. Adds the row count ``n``."""
     counts = counts.withColumn("b", order_bucket(F.col("v")))
     wk = Window.partitionBy(*keys).orderBy("b")
     hist = (counts.groupBy(*keys, "b").agg(F.sum("c").alias("bc"))
@@ -41,6 +42,9 @@ def counted_quantiles(counts: DataFrame, keys: list[str], specs: dict[str, tuple
         if kind == "nearest":
             r = F.greatest(F.ceil(F.col("n") * F.lit(p)) - 1, F.lit(0))
             return r, r
+        if kind == "conformal":
+            r = F.ceil((F.col("n") + 1) * F.lit(p)) - 1
+            return r, r
         lo, hi = F.floor((F.col("n") - 1) * F.lit(p)), F.ceil((F.col("n") - 1) * F.lit(p))
         return {"linear": (lo, hi), "lower": (lo, lo), "upper": (hi, hi)}[kind]
 

@@ -1,4 +1,4 @@
 from .registry import QUERIES
-from . import q_compare, q_graph, q_inference, q_intervals, q_population  # noqa: F401
+from . import q_audit, q_compare, q_graph, q_inference, q_intervals, q_population, q_ranking  # noqa: F401
 
 __all__ = ["QUERIES"]
