@@ -7,7 +7,7 @@ from ..operators import inference as N, pooling as G, spans as S
 from ..operators.storage import materialize
 from .q_population import POP, pop
 from .registry import query
-from .views import DAY_NS, REQUESTS, SPANS, requests, spans, table
+from .views import REQUESTS, SPANS, requests, spans, table
 
 
 def r6(df, *cols, digits=6):
@@ -326,5 +326,3 @@ def _(spark, d):
     b = c.withColumn("conv_id", F.col("conv_id") + 1)
     return N.first_divergence(c, b, "conv_id", ["system", "user", "assistant"], ["len", "h"]).drop("ident")
 
-
-_ = DAY_NS

@@ -131,7 +131,7 @@ def _(spark, d):
     return r6(r6(out, "entropy", "cos", "jac"), "top", digits=9)
 
 
-BEL = """bel AS (SELECT c_nationkey AS k, c_mktsegment AS cause, .8 * count(*) / sum(count(*)) OVER (PARTITION BY c_nationkey) AS mass FROM customer GROUP BY ALL), cs AS (SELECT DISTINCT cause FROM cnt),
+BEL = """bel AS (SELECT c_nationkey AS k, c_mktsegment AS cause, .8 * count(*) / sum(count(*)) OVER (PARTITION BY c_nationkey) AS mass FROM customer GROUP BY c_nationkey, c_mktsegment), cs AS (SELECT DISTINCT cause FROM cnt),
 pri AS (SELECT k, cs.cause, coalesce(mass, 0) + .2 / (SELECT count(*) FROM cs) AS prior FROM (SELECT DISTINCT k FROM bel) CROSS JOIN cs LEFT JOIN bel USING (k, cause)),
 lk AS (SELECT *, (n + 1.0) / (sum(n) OVER (PARTITION BY action, cause) + count(*) OVER (PARTITION BY action, cause)) AS lk FROM cnt),
 po AS (SELECT k, action, outcome, sum(prior * lk) AS po FROM pri JOIN lk USING (cause) GROUP BY ALL), h0 AS (SELECT k, -sum(prior * log2(prior)) AS h0 FROM pri GROUP BY ALL),

@@ -14,8 +14,8 @@ def micros(c: str) -> str:
             f" + minute({c}) * 60000000L + cast(extract(second from {c}) * 1000000 as bigint))")
 
 
-def spans(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").selectExpr(
+def spans(spark: SparkSession, d: str, events: DataFrame | None = None) -> DataFrame:
+    e = (table(spark, d, "events") if events is None else events).selectExpr(
         "event_id", "cast(cast(ts as date) as string) run_id",
         "case when cast(ts as date) < date'2024-01-16' then 'reference' else 'current' end arm",
         "case event_type when 'click' then 'cpu' when 'view' then 'preprocess' when 'signup' then 'transport' "
@@ -71,8 +71,8 @@ requests AS (SELECT *, CASE WHEN status = 'error' AND l_returnflag = 'N' THEN NU
   CASE WHEN priority = '4-NOT SPECIFIED' THEN NULL ELSE start_ns + 30 * {DAY_NS} END AS deadline_ns FROM req0)"""
 
 
-def progress(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").selectExpr(
+def progress(spark: SparkSession, d: str, events: DataFrame | None = None) -> DataFrame:
+    return (table(spark, d, "events") if events is None else events).selectExpr(
         "event_id rid", "concat('s', user_id % 7) source", "event_id sequence", "concat('c', user_id % 2) clock",
         f"{micros('ts')} time", "cast(value as bigint) * 1000000 uncertainty",
         "case event_type when 'click' then 'queue_enqueue' when 'view' then 'queue_dequeue' when 'signup' then 'release' "
