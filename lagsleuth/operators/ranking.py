@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.scalars import STAGES, cosine, jaccard
+from ..functions.scalars import STAGES, jaccard
 from .ordered import join_on
 from .quantiles import counted_quantiles, value_counts
 from .storage import materialize
@@ -234,7 +234,7 @@ def eig_backtest(beliefs: DataFrame, counts: DataFrame, seen: DataFrame, key: st
 
 # ---- incident memory ----------------------------------------------------------------------------------------------
 
-TOKEN = r"[\p{L}\p{N}_]{2,}"
+NOT_WORD = r"[^\p{L}\p{N}_]+"
 # Weights of structure, text and graph, and inside structure.
 W_STRUCT, W_TEXT, W_GRAPH, W_VERSION, W_KERNELS, W_SYMPTOMS = 0.5, 0.3, 0.2, 0.4, 0.3, 0.3
 RECALL_THRESHOLD, SHRINK = 0.20, 2.0
@@ -242,8 +242,9 @@ MAX_QUERIES = 1000
 
 
 def term_counts(rows: DataFrame, ident: str) -> DataFrame:
-    tok = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0))).alias("token")
-    return rows.select(ident, tok).groupBy(ident, "token").agg(F.count(F.lit(1)).alias("tf"))
+    """(id, token, tf) over words of two or more characters of the whole text."""
+    tok = F.explode(F.split(F.lower("text"), NOT_WORD)).alias("token")
+    return rows.select(ident, tok).where(F.length("token") >= 2).groupBy(ident, "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def text_similarity(queries: DataFrame, store: DataFrame) -> DataFrame:
@@ -262,9 +263,17 @@ def text_similarity(queries: DataFrame, store: DataFrame) -> DataFrame:
     return m.join(norm, "id").join(qn, "qid").select("qid", "id", (C("dot") / F.sqrt(C("qn")) / F.sqrt(C("base") + C("fix"))).alias("sim"))
 
 
-def structured_score(qv: Column, q_kernels: Column, q_z: Column, version: Column, kernels: Column, z: Column) -> Column:
-    return (W_VERSION * F.when(qv.eqNullSafe(version), 1.0).otherwise(0.0) + W_KERNELS * jaccard(q_kernels, kernels)
-            + W_SYMPTOMS * F.greatest(F.lit(0.0), cosine(q_z, z)))
+def _norm(z: Column) -> Column:
+    return F.sqrt(F.aggregate(z, F.lit(0.0), lambda s, x: s + x * x))
+
+
+def structured_score(qv: Column, q_kernels: Column, q_z: Column, q_n: Column, version: Column, kernels: Column, z: Column, n: Column) -> Column:
+    """Version, kernel-set and symptom agreement; the vector norms come ready so that each pair costs eight products."""
+    dot = F.lit(0.0)
+    for i in range(len(STAGES)):
+        dot = dot + F.get(q_z, i) * F.get(z, i)
+    cos = F.when((q_n > 0) & (n > 0), F.greatest(F.lit(0.0), dot / (q_n * n))).otherwise(0.0)
+    return W_VERSION * F.when(qv.eqNullSafe(version), 1.0).otherwise(0.0) + W_KERNELS * jaccard(q_kernels, kernels) + W_SYMPTOMS * cos
 
 
 def retrieve(queries: DataFrame, store: DataFrame, k: int = 3) -> DataFrame:
@@ -287,17 +296,23 @@ def retrieve(queries: DataFrame, store: DataFrame, k: int = 3) -> DataFrame:
 
 
 def _retrieve_batch(queries: DataFrame, live: DataFrame, sims: DataFrame, k: int) -> DataFrame:
-    batch = queries.agg(F.collect_list(F.struct("qid", "version", "kernels", "z", "stage")).alias("b")).scalar()
-    s = live.select("id", "version", "kernels", "z", "stage", "tier", "cause", F.explode(batch).alias("q"))
-    st = structured_score(C("q.version"), C("q.kernels"), C("q.z"), C("version"), C("kernels"), C("z"))
-    s = s.select(C("q.qid").alias("qid"), "id", "tier", "cause", st.alias("structured"), F.when(C("q.stage") == C("stage"), 1.0).otherwise(0.0).alias("graph"))
-    # Without a text match the score is the structured part alone, so the k best of those are enough beside all text matches.
-    part = W_STRUCT * C("structured") + W_GRAPH * C("graph")
-    hit = s.join(sims, ["qid", "id"]).withColumnRenamed("sim", "semantic")
-    w0 = Window.partitionBy("qid").orderBy(F.desc(F.round(part, 9)), "id")
-    rest = s.withColumn("r", F.row_number().over(w0)).where(C("r") <= k).drop("r").join(sims, ["qid", "id"], "left_anti").withColumn("semantic", F.lit(0.0))
-    a = hit.unionByName(rest).withColumn("score", W_STRUCT * C("structured") + W_TEXT * C("semantic") + W_GRAPH * C("graph"))
+    q = queries.select("qid", C("version").alias("q_version"), C("kernels").alias("q_kernels"), C("z").alias("q_z"), _norm(C("z")).alias("q_n"), C("stage").alias("q_stage"))
+    d = live.select("id", "version", "kernels", "z", _norm(C("z")).alias("n"), "stage", "tier", "cause")
+    st = structured_score(C("q_version"), C("q_kernels"), C("q_z"), C("q_n"), C("version"), C("kernels"), C("z"), C("n"))
+    graph = F.when(C("q_stage") == C("stage"), 1.0).otherwise(0.0)
+    cols = ("qid", "id", "tier", "cause", st.alias("structured"), graph.alias("graph"))
+    hit = sims.join(q, "qid").join(d, "id").select(*cols, C("sim").alias("semantic"))
     w = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "id")
+    total = W_STRUCT * C("structured") + W_TEXT * C("semantic") + W_GRAPH * C("graph")
+    top = materialize(hit.withColumn("score", total).withColumn("r", F.row_number().over(w)).where(C("r") <= k).drop("r"), "text-hits")
+    # Rows without a text match score by the rest alone, so only those that reach the k-th text match can still enter.
+    bar = top.groupBy("qid").agg(F.when(F.count(F.lit(1)) == k, F.min(F.round("score", 9))).alias("bar"))
+    q = q.join(bar, "qid", "left")
+    batch = q.agg(F.collect_list(F.struct(*q.columns)).alias("b")).scalar()
+    part = F.round(W_STRUCT * C("structured") + W_GRAPH * C("graph"), 9)
+    rest = d.select("*", F.explode(batch).alias("q")).select(*d.columns, "q.*").select(*cols, "bar").where(C("bar").isNull() | (part >= C("bar"))).drop("bar")
+    rest = rest.join(sims.select("qid", "id"), ["qid", "id"], "left_anti").withColumn("semantic", F.lit(0.0)).withColumn("score", total)
+    a = top.unionByName(rest)
     return (a.withColumn("rank", F.row_number().over(w)).where(C("rank") <= k)
             .select("qid", "id", "score", "structured", "semantic", "graph", F.when(C("tier") == "VERIFIED", C("cause")).alias("cause"), "rank"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import population as P, quantiles as Q
+from ..operators.storage import materialize
 from .registry import query
 from .views import DAY_NS, POPULATION, REQUESTS, population, requests, table
 
@@ -45,8 +46,13 @@ runs AS (SELECT arm, block, max(len) AS max_run, coalesce(max(CASE WHEN grp = 0
  sum(n)::BIGINT AS eligible, max(br) = 0 AS all_missed FROM r GROUP BY ALL)"""
 
 
+def stored_requests(spark, d):
+    """The joined requests once, for scans that read their input several times."""
+    return materialize(requests(spark, d).select("arm", "block", *ORDER, "status", "finish_ns", "deadline_ns", "clock_domain"), "requests")
+
+
 def runs(spark, d):
-    return P.miss_runs(requests(spark, d), ["arm", "block"], ORDER)
+    return P.miss_runs(stored_requests(spark, d), ["arm", "block"], ORDER)
 
 
 @query("W5", "miss_runs", f"WITH {RUNS} SELECT * FROM runs")
@@ -66,7 +72,7 @@ dr AS (SELECT arm, block, coalesce(max_gap, 0) AS max_gap, back + coalesce(wrong
 
 @query("W6", "drought", f"WITH {REQUESTS}, {DROUGHT} SELECT * FROM dr")
 def _(spark, d):
-    return P.drought(requests(spark, d), ["arm", "block"], ORDER)
+    return P.drought(stored_requests(spark, d), ["arm", "block"], ORDER)
 
 
 # The check recomputes runs from all rows of an arm, not from the block summaries.
@@ -83,8 +89,8 @@ t AS (SELECT arm, {', '.join(f"count(*) FILTER (status = 'ok' AND total > {t}) A
 SELECT * FROM w JOIN x USING (arm) JOIN t USING (arm)""")
 def _(spark, d):
     k = ["arm", "block"]
-    req = requests(spark, d)
-    s = (runs(spark, d).join(P.drought(req, k, ORDER), k)
+    req = stored_requests(spark, d)
+    s = (P.miss_runs(req, k, ORDER).join(P.drought(req, k, ORDER), k)
          .join(P.threshold_exceedance(req, k, F.col("total_ns") / DAY_NS, (1, 10, 30)), k)
          .withColumn("ord", F.regexp_replace("block", "-", "").cast("long")))
     return P.merge_blocks(s, ["arm"], "ord", ["over_1", "over_10", "over_30"])
