@@ -98,11 +98,11 @@ def readiness(ranges: DataFrame, need: DataFrame, key: str) -> DataFrame:
     b = r.join(lo, [key, "lo"]).join(hi, [key, "hi"]).select(key, "time", "i_lo", "i_hi")
     level = F.floor(F.log2((F.col("i_hi") - F.col("i_lo")).cast("double") + 0.5)).cast("int")
     span = F.pow(F.lit(2.0), level).cast("long")
-    blocks = materialize(b.select(key, "time", level.alias("k"), F.explode(F.array_distinct(F.array(F.col("i_lo"), F.col("i_hi") - span))).alias("i"))
-                         .groupBy(key, "k", "i").agg(F.min("time").alias("time")), "blocks")
+    blocks = materialize(b.select(key, "time", level.alias("__level"), F.explode(F.array_distinct(F.array(F.col("i_lo"), F.col("i_hi") - span))).alias("i"))
+                         .groupBy(key, "__level", "i").agg(F.min("time").alias("time")), "blocks")
     cur = None
     for k in range(max(0, math.ceil(math.log2(top + 1))), -1, -1):
-        here = blocks.where(F.col("k") == k).select(key, "i", "time")
+        here = blocks.where(F.col("__level") == k).select(key, "i", "time")
         if cur is not None:
             half = 1 << k
             down = cur.select(key, "time", F.explode(F.array(F.col("i"), F.col("i") + half)).alias("i")).select(key, "i", "time")
@@ -201,8 +201,8 @@ def xcorr(series: DataFrame, key: str, order: list[str], max_lag: int = 2) -> Da
     """Normalised cross-correlation of columns ``a`` and ``b`` per key at lags −k..k, best by size (first wins ties).
     A negative lag means ``a`` leads. Lag rows join on position, one partner each."""
     n = F.lit(1)
-    s = scan(series, [key], order, i=("sum", n), n=("total_sum", n), sa=("total_sum", F.col("a")), sb=("total_sum", F.col("b")))
-    s = materialize(s.select(key, "i", "n", (F.col("a") - F.col("sa") / F.col("n")).alias("a"), (F.col("b") - F.col("sb") / F.col("n")).alias("b")), "series")
+    s = scan(series, [key], order, __i=("sum", n), __n=("total_sum", n), sa=("total_sum", F.col("a")), sb=("total_sum", F.col("b")))
+    s = materialize(s.select(key, F.col("__i").alias("i"), F.col("__n").alias("n"), (F.col("a") - F.col("sa") / F.col("__n")).alias("a"), (F.col("b") - F.col("sb") / F.col("__n")).alias("b")), "series")
     var = s.groupBy(key).agg(F.sum(F.col("a") * F.col("a")).alias("va"), F.sum(F.col("b") * F.col("b")).alias("vb"), F.max("n").alias("n"))
     left = s.select(key, F.col("a"), F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))).alias("lag"), "i").withColumn("i", F.col("i") - F.col("lag"))
     prod = left.join(s.select(key, "i", "b"), [key, "i"]).groupBy(key, "lag").agg(F.sum(F.col("a") * F.col("b")).alias("p"))
