@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, decontaminate
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -18,4 +18,28 @@ def op6_byte_bpe(spark, d):
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op6_byte_bpe,)}
+def op10_decontamination(spark, d):
+    found = decontaminate.find(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"))
+    items = F.array_sort(F.array_distinct("matches.item_id"))
+    return found.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+SQL["op10_decontamination"] = r"""
+with words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+items as (select coalesce(item_id::varchar, '') item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
+cut as (select item_id, w, least(len(w), 10) m, unnest(range(1, greatest(len(w) - 10, 0) + 2)) i from items where len(w) > 0),
+keys as (select distinct item_id, m, array_to_string(w[i:i + m - 1], ' ') k from cut),
+sizes as (select distinct m from keys),
+places as (select doc_id, m, w, unnest(range(1, len(w) - m + 2)) i from words, sizes where len(w) >= m),
+hits as (select doc_id, m, i, item_id from (select doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') k from places) join keys using (m, k)),
+hit as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(i, i + m)) p from hits) group by 1),
+own as (select doc_id, count(distinct item_id) n_items, string_agg(distinct item_id, ',' order by item_id) s from hits group by 1)
+select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, sha256(coalesce(s, '')) items_sha256,
+       coalesce(n_hit, 0) > 0 contaminated
+from words left join hit using (doc_id) left join own using (doc_id)"""
+
+
+QUERIES = {f.__name__: f for f in (op6_byte_bpe, op10_decontamination)}
