@@ -89,3 +89,16 @@ def text_bytes(column: pa.Array) -> list[bytes]:
 
 def utf8_size(text) -> F.Column:
     return F.octet_length(F.coalesce(text, F.lit(""))).cast("long")
+
+
+def range_bounds(df: DataFrame, key: str, parts: int) -> np.ndarray:
+    """At most parts - 1 rising values that cut the integer column `key` into ranges of about equal row counts."""
+    if parts < 2:
+        return np.zeros(0, np.int64)
+    found = df.select(F.col(key).cast("long").alias("k")).approxQuantile("k", [i / parts for i in range(1, parts)], min(0.01, 0.2 / parts))
+    return np.unique(np.array(found, np.float64).astype(np.int64))
+
+
+def part_count(spark, size: int, part_bytes: int) -> int:
+    """Enough partitions for pieces of `part_bytes`, and no fewer than the session's shuffle partitions."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes), 1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate
+from . import bpe, decontaminate, winnowing
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -42,4 +42,8 @@ select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesc
 from words left join hit using (doc_id) left join own using (doc_id)"""
 
 
-QUERIES = {f.__name__: f for f in (op6_byte_bpe, op10_decontamination)}
+def op3_winnowing(spark, d):
+    return winnowing.compare_with_next(table(spark, d, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op3_winnowing, op6_byte_bpe, op10_decontamination)}
