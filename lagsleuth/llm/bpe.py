@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame
 from .common import add_columns, text_bytes
 
 NONE = np.int32(2**31 - 1)
-MEMO_PIECES = 400_000
-CELLS = 1 << 20
+MEMO_PIECES = 200_000
+CELLS = 1 << 18
+SLICE_BYTES = 2 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -176,7 +177,18 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
         ids = encoder(path, pattern).encode(b.column(text).to_pylist())
         return [[len(x) // 4 for x in ids], ids]
 
-    return add_columns(docs, "n_tokens long, ids binary", fn)
+    return add_columns(docs, "n_tokens long, ids binary", fn, SLICE_BYTES)
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """Adds n_tokens, ids and decoded (the bytes of those ids) in one pass."""
+
+    def fn(b: pa.RecordBatch):
+        coder = encoder(path, pattern)
+        ids = coder.encode(b.column(text).to_pylist())
+        return [[len(x) // 4 for x in ids], ids, coder.decode(ids)]
+
+    return add_columns(docs, "n_tokens long, ids binary, decoded binary", fn, SLICE_BYTES)
 
 
 def decode(coded: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 MEMO_WORDS = 200_000
 
 
@@ -25,7 +25,7 @@ def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES):
         yield batch.slice(i, step)
 
 
-def add_columns(df: DataFrame, add: str, fn) -> DataFrame:
+def add_columns(df: DataFrame, add: str, fn, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """`fn(batch) -> list of arrow arrays or lists` for the columns of the DDL string `add`; all other columns pass through.
 
     An input column with the name of an added one is replaced.
@@ -38,7 +38,7 @@ def add_columns(df: DataFrame, add: str, fn) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for b in slices(whole):
+            for b in slices(whole, slice_bytes):
                 made = [a if isinstance(a, (pa.Array, pa.ChunkedArray)) else pa.array(a, t) for a, t in zip(fn(b), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(f.name)) for f in keep] + made, names=names)
 

@@ -13,8 +13,7 @@ SQL: dict[str, str] = {}
 
 def op6_byte_bpe(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    path = public_tokenizers.path(RANKS)
-    coded = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
+    coded = bpe.round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -45,4 +45,5 @@ def test_frame(spark, library):
     out = sorted((r.doc_id or 0, r.n_tokens, bytes(r.decoded).decode()) for r in got.collect())
     n = len(library.encode_ordinary("some text"))
     assert out == [(0, 0, ""), (1, n, "some text"), (1, n, "some text"), (2, 0, "")]
+    assert bpe.round_trip(docs, PATH, P.PATTERN).select("n_tokens", "decoded").collect() == got.select("n_tokens", "decoded").collect()
     assert bpe.encode(docs.limit(0), PATH, P.PATTERN).count() == 0
