@@ -4,10 +4,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, winnowing
+from . import bpe, decontaminate, token_files, winnowing
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+WORD_TOKENIZER = "word_bpe_49k.json"
 SQL: dict[str, str] = {}
 
 
@@ -41,8 +42,14 @@ select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesc
 from words left join hit using (doc_id) left join own using (doc_id)"""
 
 
+def op1_token_files(spark, d):
+    path = token_files.new_path(spark)
+    token_files.write(table(spark, d, "documents"), path, public_tokenizers.path(WORD_TOKENIZER), end_id=1, cut_at_space=True)
+    return token_files.with_crc32(token_files.read(spark, path))
+
+
 def op3_winnowing(spark, d):
     return winnowing.compare_with_next(table(spark, d, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op3_winnowing, op6_byte_bpe, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op3_winnowing, op6_byte_bpe, op10_decontamination)}
