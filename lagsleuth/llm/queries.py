@@ -4,14 +4,19 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, token_files, winnowing
+from . import bpe, decontaminate, sharding, token_files, winnowing
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 WORD_TOKENIZER = "word_bpe_49k.json"
+SHARDS = 40
 SQL: dict[str, str] = {}
 
 
+def op5_sharding(spark, d):
+    return sharding.shard_by_bytes(table(spark, d, "documents"), SHARDS)
+
+
 def op6_byte_bpe(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     coded = bpe.round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
@@ -52,4 +57,4 @@ def op3_winnowing(spark, d):
     return winnowing.compare_with_next(table(spark, d, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_winnowing, op6_byte_bpe, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op3_winnowing, op5_sharding, op6_byte_bpe, op10_decontamination)}
