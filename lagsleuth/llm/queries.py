@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, sharding, token_files, winnowing
+from . import bpe, decontaminate, sharding, substrings, token_files, winnowing
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -13,6 +13,19 @@ SHARDS = 40
 SQL: dict[str, str] = {}
 
 
+def op4_substrings(spark, d):
+    return substrings.remove_repeats(table(spark, d, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL["op4_substrings"] = r"""
+with words as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+windows as (select doc_id, i, array_to_string(w[i:i + 12], ' ') k from (select doc_id, w, unnest(range(1, len(w) - 11)) i from words)),
+gone as (select distinct doc_id, unnest(range(i, i + 13)) p from (select doc_id, i, min(doc_id) over (partition by k) least from windows) where least < doc_id),
+each as (select doc_id, unnest(w) x, unnest(range(1, len(w) + 1)) p from words),
+kept as (select doc_id, count(*) n, string_agg(x, ' ' order by p) t from each anti join gone using (doc_id, p) group by 1)
+select doc_id, len(w)::bigint n_words, (len(w) - coalesce(n, 0))::bigint n_removed, sha256(coalesce(t, '')) kept_sha256 from words left join kept using (doc_id)"""
+
+
 def op5_sharding(spark, d):
     return sharding.shard_by_bytes(table(spark, d, "documents"), SHARDS)
 
@@ -57,4 +70,4 @@ def op3_winnowing(spark, d):
     return winnowing.compare_with_next(table(spark, d, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_winnowing, op5_sharding, op6_byte_bpe, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op3_winnowing, op4_substrings, op5_sharding, op6_byte_bpe, op10_decontamination)}
