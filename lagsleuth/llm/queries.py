@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, sharding, substrings, token_files, winnowing
+from . import bpe, decontaminate, near_dups, sharding, substrings, token_files, winnowing
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -36,6 +36,23 @@ def op6_byte_bpe(spark, d):
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_near_dups(spark, d):
+    return near_dups.components(table(spark, d, "documents"), size=2)
+
+
+SQL["op7_near_dups"] = r"""
+with recursive words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+sets as (select distinct doc_id, s from (select doc_id, w[i] || ' ' || w[i + 1] s from (select doc_id, w, unnest(range(1, len(w))) i from words)
+         union all select doc_id, w[1] from words where len(w) = 1)),
+sizes as (select doc_id, count(*) n from sets group by 1),
+both as (select a.doc_id x, b.doc_id y, count(*) m from sets a join sets b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+links as (select x, y from both join sizes a on a.doc_id = x join sizes b on b.doc_id = y where 100 * m >= 80 * (a.n + b.n - m)),
+ways as (select x, y from links union all select y, x from links),
+reach(doc_id, other) as (select doc_id, doc_id from words union select doc_id, y from reach join ways on other = x),
+least as (select doc_id, min(other) component_id from reach group by 1)
+select doc_id, coalesce(n, 0)::bigint n_shingles, component_id, component_id = doc_id kept from least left join sizes using (doc_id)"""
+
+
 def op10_decontamination(spark, d):
     found = decontaminate.find(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"))
     items = F.array_sort(F.array_distinct("matches.item_id"))
@@ -70,4 +87,4 @@ def op3_winnowing(spark, d):
     return winnowing.compare_with_next(table(spark, d, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_winnowing, op4_substrings, op5_sharding, op6_byte_bpe, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op3_winnowing, op4_substrings, op5_sharding, op6_byte_bpe, op7_near_dups, op10_decontamination)}
