@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, near_dups, sharding, substrings, token_files, winnowing
+from . import bpe, decontaminate, near_dups, sharding, substrings, token_files, toxicity, winnowing
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -53,6 +53,19 @@ least as (select doc_id, min(other) component_id from reach group by 1)
 select doc_id, coalesce(n, 0)::bigint n_shingles, component_id, component_id = doc_id kept from least left join sizes using (doc_id)"""
 
 
+CATEGORIES = ["low_quality", "toxic"]
+
+
+def toxicity_chain(spark, d):
+    labels = table(spark, d, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    return toxicity.fit(table(spark, d, "documents"), labels, CATEGORIES)
+
+
+def op9_toxicity(spark, d):
+    scored = toxicity.predict(table(spark, d, "documents").select("doc_id", "text"), toxicity_chain(spark, d))
+    return scored.select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= toxicity.THRESHOLD).alias("toxic"))
+
+
 def op10_decontamination(spark, d):
     found = decontaminate.find(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"))
     items = F.array_sort(F.array_distinct("matches.item_id"))
@@ -87,4 +100,4 @@ def op3_winnowing(spark, d):
     return winnowing.compare_with_next(table(spark, d, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_winnowing, op4_substrings, op5_sharding, op6_byte_bpe, op7_near_dups, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op3_winnowing, op4_substrings, op5_sharding, op6_byte_bpe, op7_near_dups, op9_toxicity, op10_decontamination)}
