@@ -7,7 +7,7 @@ documents reads only their pages. A second, tiny table gives for every part the
 document in the whole sequence is base + at. Only one value for each part passes through one task.
 
 Texts are encoded with the tokenizers library. With `cut_at_space`, for tokenizers whose normaliser and pre-tokenizer always cut at
-ASCII white space and drop it, each distinct word is encoded once and remembered (a bounded memory of words); otherwise whole texts.
+ASCII white space and drop it, each distinct word of a slice is encoded once and remembered (a bounded memory of words); otherwise whole texts.
 
 Cases: a null text is empty and has only the end id; null doc_ids come first; repeated ids stand in the order of a text hash and are
 all written; further columns are not written; an empty table gives files without rows.
@@ -26,10 +26,12 @@ from pyspark.sql import functions as F
 
 from lagsleuth.operators.storage import shared_dir
 
-from .common import MEMO_WORDS, part_count, range_bounds, slices, text_bytes
+from .common import part_count, range_bounds, slices, text_bytes
 
 PART_BYTES = 128 << 20
 SLICE_BYTES = 2 << 20
+MEMO_WORDS = 600_000
+TOGETHER = 256
 LAYOUT = {"parquet.block.size": 64 << 20, "parquet.page.size": 128 << 10, "parquet.page.row.count.limit": 1000, "parquet.dictionary.page.size": 1 << 20,
           "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false", "parquet.enable.dictionary#ids.list.element": "true", "compression": "zstd"}
 
@@ -42,6 +44,11 @@ class TextEncoder:
         self.library = Tokenizer.from_file(path)
         self.end, self.cut_at_space = np.array([end_id], "<u4").tobytes(), cut_at_space
         self.memo: dict[bytes, bytes] = {}
+        mark = getattr(self.library.model, "end_of_word_suffix", None)
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        self.is_end = np.zeros(max(vocabulary.values()) + 1 if mark else 0, bool)
+        for t, i in vocabulary.items() if mark else ():
+            self.is_end[i] = t.endswith(mark)
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -51,16 +58,46 @@ class TextEncoder:
         if not self.cut_at_space:
             return [x + self.end for x in self.ids_of([t.decode() for t in texts])]
         words = [t.split() for t in texts]
-        new = [w for w in set().union(*words) if w not in self.memo]
-        if len(self.memo) + len(new) > MEMO_WORDS:
-            self.memo = {}
-            new = list(set().union(*words))
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            self.memo.update(zip(some, self.ids_of([w.decode() for w in some]), strict=True))
-        get = self.memo.__getitem__
+        distinct = set().union(*words)
+        new = [w for w in distinct if w not in self.memo]
+        if 2 * len(new) > len(distinct) and len(self.memo) >= MEMO_WORDS:
+            self.memo, new = {}, list(distinct)  # other texts than before
+        found = self.ids_of_words(new)
+        if len(self.memo) < MEMO_WORDS:
+            self.memo.update(found)
+            get = self.memo.__getitem__
+        else:
+            get = {w: self.memo[w] if w in self.memo else found[w] for w in distinct}.__getitem__
         return [b"".join(map(get, w)) + self.end for w in words]
 
+    def ids_of_words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Words of letters and perhaps one last mark are encoded many at a time: their tokens end with one or two word ends."""
+        out, plain, ends = {}, [], []
+        odd = []
+        for w in words:
+            t = w.decode()
+            n = 1 if t.isalpha() else 2 if t[:-1].isalpha() and t[-1] in ",.;:!?" else 0
+            if n:
+                plain.append((w, t))
+                ends.append(n)
+            else:
+                odd.append((w, t))
+        if len(self.is_end):
+            starts = range(0, len(plain), TOGETHER)
+            for i, e in zip(starts, self.library.encode_batch_fast([" ".join(t for _, t in plain[i : i + TOGETHER]) for i in starts], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                at = np.flatnonzero(self.is_end[ids]) + 1
+                want = np.cumsum(ends[i : i + TOGETHER])
+                if len(at) != want[-1]:
+                    odd += plain[i : i + TOGETHER]
+                    continue
+                data, cuts = ids.tobytes(), [0, *(at[want - 1] * 4).tolist()]
+                out.update(zip((w for w, _ in plain[i : i + TOGETHER]), (data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
+        else:
+            odd += plain
+        out.update(zip((w for w, _ in odd), self.ids_of([t for _, t in odd]), strict=True))
+        return out
+
 
 _encoders: dict[tuple, TextEncoder] = {}
 
