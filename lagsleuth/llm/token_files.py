@@ -29,13 +29,22 @@ from lagsleuth.operators.storage import shared_dir
 from .common import part_count, range_bounds, slices, text_bytes
 
 PART_BYTES = 128 << 20
-SLICE_BYTES = 2 << 20
-MEMO_WORDS = 600_000
+SLICE_BYTES = 4 << 20
+MEMO_WORDS = 800_000
 TOGETHER = 256
 LAYOUT = {"parquet.block.size": 64 << 20, "parquet.page.size": 128 << 10, "parquet.page.row.count.limit": 1000, "parquet.dictionary.page.size": 1 << 20,
           "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false", "parquet.enable.dictionary#ids.list.element": "true", "compression": "zstd"}
 
 
+class Memo(dict):
+    """Ids of remembered words; `found` has those of the slice at hand that are not kept."""
+
+    found: dict[bytes, bytes] = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        return self.found[word]
+
+
 class TextEncoder:
     def __init__(self, path: str, end_id: int, cut_at_space: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -43,7 +52,7 @@ class TextEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.end, self.cut_at_space = np.array([end_id], "<u4").tobytes(), cut_at_space
-        self.memo: dict[bytes, bytes] = {}
+        self.memo = Memo()
         mark = getattr(self.library.model, "end_of_word_suffix", None)
         vocabulary = self.library.get_vocab(with_added_tokens=False)
         self.is_end = np.zeros(max(vocabulary.values()) + 1 if mark else 0, bool)
@@ -61,13 +70,13 @@ class TextEncoder:
         distinct = set().union(*words)
         new = [w for w in distinct if w not in self.memo]
         if 2 * len(new) > len(distinct) and len(self.memo) >= MEMO_WORDS:
-            self.memo, new = {}, list(distinct)  # other texts than before
+            self.memo, new = Memo(), list(distinct)  # other texts than before
         found = self.ids_of_words(new)
         if len(self.memo) < MEMO_WORDS:
             self.memo.update(found)
-            get = self.memo.__getitem__
         else:
-            get = {w: self.memo[w] if w in self.memo else found[w] for w in distinct}.__getitem__
+            self.memo.found = found
+        get = self.memo.__getitem__
         return [b"".join(map(get, w)) + self.end for w in words]
 
     def ids_of_words(self, words: list[bytes]) -> dict[bytes, bytes]:
