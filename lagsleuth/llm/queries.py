@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, near_dups, sharding, substrings, token_files, toxicity, winnowing
+from . import bpe, decontaminate, line_dups, near_dups, sharding, substrings, token_files, toxicity, winnowing
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -45,14 +45,32 @@ with recursive words as (select doc_id, regexp_extract_all(translate(coalesce(te
 sets as (select distinct doc_id, s from (select doc_id, w[i] || ' ' || w[i + 1] s from (select doc_id, w, unnest(range(1, len(w))) i from words)
          union all select doc_id, w[1] from words where len(w) = 1)),
 sizes as (select doc_id, count(*) n from sets group by 1),
-both as (select a.doc_id x, b.doc_id y, count(*) m from sets a join sets b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
-links as (select x, y from both join sizes a on a.doc_id = x join sizes b on b.doc_id = y where 100 * m >= 80 * (a.n + b.n - m)),
+shared as (select a.doc_id x, b.doc_id y, count(*) m from sets a join sets b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+links as (select x, y from shared join sizes a on a.doc_id = x join sizes b on b.doc_id = y where 100 * m >= 80 * (a.n + b.n - m)),
 ways as (select x, y from links union all select y, x from links),
 reach(doc_id, other) as (select doc_id, doc_id from words union select doc_id, y from reach join ways on other = x),
 least as (select doc_id, min(other) component_id from reach group by 1)
 select doc_id, coalesce(n, 0)::bigint n_shingles, component_id, component_id = doc_id kept from least left join sizes using (doc_id)"""
 
 
+def op8_line_dups(spark, d):
+    cleaned = line_dups.remove_similar_lines(table(spark, d, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL["op8_line_dups"] = r"""
+with lines as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) t, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) k from documents),
+words as (select doc_id, k, t, list_sort(list_distinct(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'))) s from lines),
+sets as (select s, len(s) n, min((doc_id, k)) pos, row_number() over () id from words where len(s) > 0 group by s),
+tokens as (select id, n, unnest(s) x from sets),
+shared as (select a.id i, b.id j, any_value(a.n) n, any_value(b.n) o, count(*) m from tokens a join tokens b on a.x = b.x and a.id <> b.id and 100 * a.n >= 80 * b.n and 100 * b.n >= 80 * a.n group by 1, 2),
+near as (select i id, min(pos) near_pos from shared join sets on j = id where 100 * m >= 80 * (shared.n + o - m) group by 1),
+marked as (select doc_id, k, t, len(words.s) > 0 has, coalesce(least(pos, coalesce(near_pos, pos)) < (doc_id, k), false) gone
+           from words left join sets on words.s = sets.s left join near using (id))
+select doc_id, count(*) filter (has)::bigint n_lines, count(*) filter (gone)::bigint n_removed, sha256(coalesce(string_agg(t, chr(10) order by k) filter (not gone), '')) kept_sha256
+from marked group by 1"""
+
+
 CATEGORIES = ["low_quality", "toxic"]
 
 
@@ -100,4 +118,4 @@ def op3_winnowing(spark, d):
     return winnowing.compare_with_next(table(spark, d, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_winnowing, op4_substrings, op5_sharding, op6_byte_bpe, op7_near_dups, op9_toxicity, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op3_winnowing, op4_substrings, op5_sharding, op6_byte_bpe, op7_near_dups, op8_line_dups, op9_toxicity, op10_decontamination)}

@@ -40,8 +40,8 @@ PART_BYTES = 128 << 20
 ONE, TWO, THREE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 
 
-def pack(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Rows of about ROW_BYTES of text: row, doc_ids, sizes (bytes), texts (all texts, compressed)."""
+def pack(docs: DataFrame, doc_id: str, text: str, summarise=None) -> DataFrame:
+    """Rows of about ROW_BYTES of text: row, doc_ids, sizes (bytes), texts (all texts, compressed), summary (of the texts, bytes)."""
 
     def run(batches):
         n, parts = 0, TaskContext.get().partitionId()
@@ -50,7 +50,8 @@ def pack(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
         def row():
             return pa.RecordBatch.from_arrays([pa.array([parts << 32 | n]), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(t) for t in held]], pa.list_(pa.int32())),
-                                               pa.array([press.compress(b"".join(held))], pa.binary())], names=["row", "doc_ids", "sizes", "texts"])
+                                               pa.array([press.compress(b"".join(held))], pa.binary()), pa.array([summarise(held) if summarise else None], pa.binary())],
+                                              names=["row", "doc_ids", "sizes", "texts", "summary"])
 
         for whole in batches:
             for b in slices(whole, ROW_BYTES):
@@ -64,7 +65,7 @@ def pack(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             yield row()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return materialize(rows.mapInArrow(run, "row long, doc_ids array<long>, sizes array<int>, texts binary"), "packed")
+    return materialize(rows.mapInArrow(run, "row long, doc_ids array<long>, sizes array<int>, texts binary, summary binary"), "packed")
 
 
 def rolled(h: np.ndarray, size: int, base: np.uint64, at: np.ndarray) -> np.ndarray:
