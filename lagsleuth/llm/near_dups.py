@@ -9,7 +9,8 @@ of 5, a pair of similarity 0.8 shares no bucket with a probability of 2e-9.
 Equal sets are one node from the start. Links are found in three rounds, so that a group of n copies costs about n comparisons:
 1. each node with one bucket leader (the node that shares most buckets with others), that with which it shares most buckets;
 2. all (node, bucket leader) pairs in different components;
-3. all pairs of a bucket in different components whose sketches agree enough, in blocks of bounded size.
+3. nodes outside a bucket's main component with the partner whose sketch agrees most, and then, in blocks of bounded size, with all
+   partners in other components whose sketches agree enough; a block returns links, not pairs.
 Every pair is confirmed on the full shingle sets. Components are joined by rounds of least labels over written tables. Nothing that
 grows with the documents comes to the driver.
 
@@ -150,40 +151,136 @@ def merge(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(labels.join(least.select(F.col("id").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")), "labels")
 
 
-def other_pairs(shared: DataFrame, labels: DataFrame, nodes: DataFrame, t: int, rows: int, percent: int) -> DataFrame:
-    """(a, b): pairs of one bucket in different components that agree in enough coordinates, once each."""
-    need = (percent / 100 - SLACK) * t
+def other_rows(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several components, dealt to blocks.
+
+    Each node outside the bucket's main component (`other`) meets all rows of the bucket, in a grid of blocks of bounded size.
+    """
     rows_of = shared.join(labels, "id")
     sizes = rows_of.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("size"), F.count("*").alias("comps"), F.max_by("comp", F.struct("m", "comp")).alias("main"), F.max("m").alias("main_size"))
     mixed = sizes.where("comps > 1").select("key", "main", F.expr(f"cast(ceil(size / {BLOCK}) as int)").alias("blocks"), F.expr(f"cast(ceil((size - main_size) / {BLOCK}) as int)").alias("other_blocks"))
-    rows_of = rows_of.join(mixed, "key").join(nodes.select("id", "sketch"), "id")
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    each = rows_of.withColumn("other", F.explode(F.expr("if(comp = main, array(false), array(false, true))")))
+    each = rows_of.join(mixed, "key").withColumn("other", F.explode(F.expr("if(comp = main, array(false), array(false, true))")))
     each = each.withColumn("x", F.explode(F.when(F.col("other"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block("blocks")))))
     each = each.withColumn("y", F.explode(F.when(F.col("other"), F.array(block("other_blocks"))).otherwise(F.sequence(F.lit(0), F.col("other_blocks") - 1))))
+    return each.select("key", "x", "y", "id", "comp", "main", "other")
+
+
+def block_groups(batches):
+    """Rows sorted by key, x, y: (batch, ranges of whole groups)."""
+    held = []
+
+    def cut(b, last):
+        change = np.zeros(b.num_rows - 1, bool)
+        for c in ("key", "x", "y"):
+            v = b.column(c).to_numpy(zero_copy_only=False)
+            change |= v[1:] != v[:-1]
+        ends = [*(np.flatnonzero(change) + 1).tolist(), *[b.num_rows] * last]
+        return list(zip([0, *ends[:-1]], ends, strict=True)) if ends else []
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        first, last = held[0], b
+        if all(first.column(c)[0] == last.column(c)[last.num_rows - 1] for c in ("key", "x", "y")):
+            continue
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else b
+        ranges = cut(whole, False)
+        yield whole, ranges
+        held = [whole.slice(ranges[-1][1])]
+    if held:
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield whole, cut(whole, True)
+
+
+class Block:
+    """One group of rows; partners(i): places of rows of other components that agree enough with row i."""
+
+    def __init__(self, b, start, end, t, percent):
+        self.id, self.comp = (b.column(c).to_numpy(zero_copy_only=False)[start:end] for c in ("id", "comp"))
+        self.other = b.column("other").to_numpy(zero_copy_only=False)[start:end]
+        self.main, self.key = b.column("main")[start].as_py(), b.column("key")[start].as_py()
+        self.t, self.need = t, (percent / 100 - SLACK) * t
+        self.sketch = np.frombuffer(b"".join(b.column("sketch").slice(start, end - start).to_pylist()), "<u2").reshape(-1, t)
+        self.all, self.in_main = np.flatnonzero(~self.other), self.comp[~self.other] == self.main
+
+    def partners(self, i):
+        c = self.all[(self.comp[self.all] != self.comp[i]) & ((self.id[self.all] > self.id[i]) | self.in_main)]
+        same = self.sketch[c] == self.sketch[i]
+        agree = same.sum(axis=1)
+        on = agree >= self.need
+        return c[on], same[on], agree[on]
+
+    def here_first(self, i, same, rows):
+        """Whether this bucket is the first that the pair shares."""
+        bands = self.t // rows
+        first = same[:, : bands * rows].reshape(len(same), bands, rows).all(axis=2).argmax(axis=1)
+        k = first.astype(np.uint64)
+        for r in range(rows):
+            k = mix(k) + self.sketch[i, first * rows + r].astype(np.uint64)
+        return mix(k).view(np.int64) == self.key
+
+
+def marked(rows_of: DataFrame, nodes: DataFrame, t: int, percent: int) -> DataFrame:
+    """Rows of other_rows that have partners, each node outside the main component with its best partner."""
+
+    def run(batches):
+        for b, ranges in block_groups(batches):
+            take, partner = [], []
+            for start, end in ranges:
+                g = Block(b, start, end, t, percent)
+                more = np.zeros(end - start, bool)
+                for i in np.flatnonzero(g.other):
+                    c, _, agree = g.partners(i)
+                    if len(c):
+                        take.append(start + int(i))
+                        partner.append(int(g.id[c[agree.argmax()]]))
+                        more[c] |= len(c) > 1
+                take += (start + np.flatnonzero(more)).tolist()
+                partner += [None] * int(more.sum())
+            some = b.take(pa.array(take, pa.int64()))
+            yield pa.RecordBatch.from_arrays([some.column(c) for c in ("key", "x", "y", "id", "main", "other")] + [pa.array(partner, pa.int64())], names=["key", "x", "y", "id", "main", "other", "partner"])
+
+    ready = rows_of.join(nodes.select("id", "sketch"), "id").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    return materialize(ready.mapInArrow(run, "key long, x int, y int, id long, main long, other boolean, partner long"), "marked")
+
+
+def links_in_blocks(rows_of: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, t: int, rows: int, size: int, percent: int) -> DataFrame:
+    """(a, b): of each marked node one link into each other component that it is linked with in a block, confirmed on the full sets."""
 
-    def group(g):
-        other = g["other"].to_numpy()
-        s = np.frombuffer(b"".join(g["sketch"]), "<u2").reshape(-1, t)
-        ids, comps, key = g["id"].to_numpy(), g["comp"].to_numpy(), g["key"].iloc[0]
-        mine, his = np.flatnonzero(other), np.flatnonzero(~other)
-        bands = t // rows
-        out = []
-        for i in mine:
-            cand = his[(comps[his] != comps[i]) & ((ids[his] > ids[i]) | (comps[his] == g["main"].iloc[0]))]
-            same = s[cand] == s[i]
-            cand, same = cand[same.sum(axis=1) >= need], same[same.sum(axis=1) >= need]
-            if len(cand):
-                first = same[:, : bands * rows].reshape(len(cand), bands, rows).all(axis=2).argmax(axis=1)
-                k = first.astype(np.uint64)
-                for r in range(rows):
-                    k = mix(k) + s[i, first * rows + r].astype(np.uint64)
-                out += [(ids[i], j) for j in ids[cand[mix(k).view(np.int64) == key]]]
-        import pandas as pd
-
-        return pd.DataFrame({"a": np.array([p for p, _ in out], np.int64), "b": np.array([q for _, q in out], np.int64)})
-
-    return each.select("key", "x", "y", "id", "comp", "main", "other", "sketch").groupBy("key", "x", "y").applyInPandas(group, "a long, b long")
+    def run(batches):
+        open_ = zstandard.ZstdDecompressor()
+        for b, ranges in block_groups(batches):
+            out = []
+            for start, end in ranges:
+                comp = b.column("comp").to_numpy(zero_copy_only=False)[start:end]
+                if (comp == comp[0]).all():
+                    continue
+                g = Block(b, start, end, t, percent)
+                sets: dict[int, np.ndarray] = {}
+
+                def words_of(k, start=start, sets=sets, b=b):
+                    if k not in sets:
+                        sets[k] = shingles(open_.decompress(b.column("packed")[start + k].as_py()), size)
+                    return sets[k]
+
+                for i in np.flatnonzero(g.other):
+                    c, same, agree = g.partners(i)
+                    if len(c):
+                        on = g.here_first(i, same, rows)
+                        c, done = c[on][np.argsort(-agree[on], kind="stable")], set()
+                        for k in c.tolist():
+                            if g.comp[k] not in done:
+                                both = len(np.intersect1d(words_of(int(i)), words_of(k), assume_unique=True))
+                                if 100 * both >= percent * (len(words_of(int(i))) + len(words_of(k)) - both):
+                                    out.append((int(g.id[i]), int(g.id[k])))
+                                    done.add(g.comp[k])
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([q for _, q in out], pa.int64())], names=["a", "b"])
+
+    ready = rows_of.drop("partner", "comp").distinct().join(labels, "id").join(nodes.select("id", "sketch"), "id").join(texts, "id")
+    ready = ready.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    return materialize(ready.mapInArrow(run, "a long, b long"), "links")
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, t: int = COORDINATES, rows: int = ROWS) -> DataFrame:
@@ -215,10 +312,10 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
     labels = merge(labels, linked(one.select(F.col("id").alias("a"), F.col("leader").alias("b")), texts, size, percent))
     rest = led.join(one, ["id", "leader"], "left_anti").select(F.col("id").alias("a"), F.col("leader").alias("b"))
     labels = merge(labels, linked(apart(rest, labels), texts, size, percent))
-    others = other_pairs(shared.select("key", "id"), labels, nodes, t, rows, percent)
-    tried = led.select(F.col("id").alias("a"), F.col("leader").alias("b"))
-    others = others.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    labels = merge(labels, linked(others, texts, size, percent))
+    some = marked(other_rows(shared.select("key", "id"), labels), nodes, t, percent)
+    best = some.where("partner is not null").select(F.col("id").alias("a"), F.col("partner").alias("b")).distinct()
+    labels = merge(labels, linked(best, texts, size, percent))
+    labels = merge(labels, links_in_blocks(some, labels, nodes, texts, t, rows, size, percent))
     return sketched.select("id", "n").join(labels, "id", "left").select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("comp", "id").alias("component_id"), F.coalesce(F.coalesce("comp", "id") == F.col("id"), F.lit(True)).alias("kept"))
 

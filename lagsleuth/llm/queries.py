@@ -80,8 +80,9 @@ def toxicity_chain(spark, d):
 
 
 def op9_toxicity(spark, d):
-    scored = toxicity.predict(table(spark, d, "documents").select("doc_id", "text"), toxicity_chain(spark, d))
-    return scored.select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= toxicity.THRESHOLD).alias("toxic"))
+    chain = toxicity_chain(spark, d)
+    scored = toxicity.predict(table(spark, d, "documents").select("doc_id", "text"), chain)
+    return scored.select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= chain.thresholds[-1]).alias("toxic"))
 
 
 def op10_decontamination(spark, d):

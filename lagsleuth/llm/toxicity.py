@@ -2,7 +2,8 @@
 
 Categories are predicted one after another by logistic models over the words and word beginnings (four to six bytes) that a text
 has; a later model also sees the probabilities of the earlier categories. While training, those come from models that have not
-seen the row (three folds by a hash of the id), as they will be when new texts are scored.
+seen the row (three folds by a hash of the id), as they will be when new texts are scored. The same out-of-fold probabilities set
+each category's threshold (best F1).
 
 Fitted on a bounded sample of labelled rows (`train_rows`, in the order of a hash of the id; a documented parameter); of near
 copies in the sample, found by two minima of hashed word runs, one counts. Features: those in at least `least` sample texts, the `features`
@@ -35,8 +36,6 @@ FEATURES = 2048
 LEAST = 8
 FOLDS = 3
 BEGINNINGS = (4, 5, 6)
-#: Low, as a missed document costs more than a lost one; clean held-out documents stay below a fifth of it.
-THRESHOLD = 0.05
 
 
 def marks(text: bytes) -> set[bytes]:
@@ -97,14 +96,26 @@ def chi(hits, n, ones, total):
     return F.when(under > 0, top * F.lit(float(total)) / under).otherwise(F.lit(0.0))
 
 
+def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """The cut with the best F1 score, in the middle (of the logits) between the two probabilities that it parts."""
+    order = np.argsort(-p, kind="stable")
+    p, hits = np.clip(p[order], 1e-9, 1 - 1e-9), np.cumsum(y[order])
+    f1 = 2 * hits / (np.arange(1, len(p) + 1) + hits[-1])
+    f1[:-1][p[:-1] == p[1:]] = -1
+    k = int(f1.argmax())
+    z = np.log(p / (1 - p))
+    return float(1 / (1 + np.exp(-(z[k] + z[k + 1]) / 2))) if k + 1 < len(p) else float(p[k]) / 2
+
+
 class Chain:
-    """Intercept, weight of each mark, and weight of each earlier category's probability, by category."""
+    """Intercept, weight of each mark, weight of each earlier category's probability, and threshold, by category."""
 
     def __init__(self, categories):
-        self.categories, self.parts = categories, []
+        self.categories, self.parts, self.thresholds = categories, [], []
 
-    def add(self, intercept: float, weights: dict[bytes, float], earlier: list[float]):
+    def add(self, intercept: float, weights: dict[bytes, float], earlier: list[float], threshold: float):
         self.parts.append((intercept, weights, earlier))
+        self.thresholds.append(threshold)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """Probabilities, a column for each category."""
@@ -137,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], doc_id: str =
         n, ones = table.agg(F.count("*"), F.sum(y)).first()
         if not names or not ones or ones == n:
             p = ((ones or 0) + 1) / (n + 2)
-            chain.add(float(np.log(p / (1 - p))), {}, [0.0] * j)
+            chain.add(float(np.log(p / (1 - p))), {}, [0.0] * j, 0.5)
             table = table.withColumn(f"p_{c}", F.lit(p))
             earlier.append(f"p_{c}")
             continue
@@ -145,17 +156,16 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], doc_id: str =
         learner = LogisticRegression(featuresCol="all", labelCol=y, regParam=1e-3, maxIter=60, rawPredictionCol="raw", probabilityCol="prob", predictionCol="guess")
         model = learner.fit(ready)
         w = model.coefficients.toArray()
-        chain.add(float(model.intercept), {m.encode("latin-1"): float(v) for m, v in zip(names, w[: len(names)], strict=True) if v}, [float(v) for v in w[len(names) :]])
-        if j + 1 < len(categories):
-            folds = [learner.fit(ready.where(F.col("fold") != k)).transform(ready.where(F.col("fold") == k)).withColumn(f"p_{c}", vector_to_array("prob")[1]) for k in range(FOLDS)]
-            out = folds[0]
-            for f in folds[1:]:
-                out = out.union(f)
-            old = table
-            table = materialize(out.drop("all", "raw", "prob", "guess"), "train-matrix").persist()
-            table.count()
-            old.unpersist()
-            earlier.append(f"p_{c}")
+        folds = [learner.fit(ready.where(F.col("fold") != k)).transform(ready.where(F.col("fold") == k)).withColumn(f"p_{c}", vector_to_array("prob")[1]) for k in range(FOLDS)]
+        out = folds[0]
+        for f in folds[1:]:
+            out = out.union(f)
+        old = table
+        table = materialize(out.drop("all", "raw", "prob", "guess"), "train-matrix").persist()
+        unseen = np.array(table.select(f"p_{c}", y).collect(), float)
+        old.unpersist()
+        earlier.append(f"p_{c}")
+        chain.add(float(model.intercept), {m.encode("latin-1"): float(v) for m, v in zip(names, w[: len(names)], strict=True) if v}, [float(v) for v in w[len(names) :]], best_threshold(unseen[:, 0], unseen[:, 1]))
     table.unpersist()
     return chain
 
@@ -171,7 +181,9 @@ def predict(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
     return add_columns(docs, ", ".join(f"p_{c} double" for c in chain.categories), fn)
 
 
-def keep_clean(docs: DataFrame, chain: Chain, category: str, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """The documents whose probability is below the threshold, with their own columns."""
+def keep_clean(docs: DataFrame, chain: Chain, category: str, threshold: float | None = None, text: str = "text") -> DataFrame:
+    """The documents whose probability is below the threshold (by default the chain's own), with their own columns."""
+    if threshold is None:
+        threshold = chain.thresholds[chain.categories.index(category)]
     own = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
     return predict(own, chain).where(F.col(f"p_{category}") < threshold).select("row.*")

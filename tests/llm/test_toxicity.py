@@ -43,6 +43,13 @@ def test_score_equals_one_by_one(trained):
     assert p[0, 1] > 0.5 > p[1, 1]
 
 
+def test_threshold():
+    import numpy as np
+
+    assert 0.2 < tx.best_threshold(np.array([0.9, 0.1, 0.6, 0.2]), np.array([1, 0, 1, 0])) < 0.6
+    assert tx.best_threshold(np.array([0.3, 0.3]), np.array([1, 1])) <= 0.3
+
+
 def test_odd_tables(spark, trained):
     docs = spark.createDataFrame([(None, "nasty", 1.0), (1, None, 2.0), (1, None, 2.0)], "doc_id long, text string, P_bad double")
     got = tx.predict(docs, trained[2])
