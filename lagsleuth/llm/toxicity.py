@@ -33,7 +33,7 @@ from .decontaminate import words_of
 
 TRAIN_ROWS = 10_000
 FEATURES = 2048
-LEAST = 8
+LEAST = 4
 FOLDS = 3
 BEGINNINGS = (4, 5, 6)
 

@@ -1,4 +1,4 @@
-"""The stages after the first against plain Python; a planted case for the first."""
+"""The stages after the first against plain Python; the first against its own classifier."""
 import hashlib
 
 import numpy as np
@@ -6,7 +6,8 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 
-from lagsleuth.llm import bpe
+from lagsleuth.llm import bpe, toxicity
+from lagsleuth.llm.queries import toxicity_chain
 
 from . import test_decontaminate, test_line_dups, test_near_dups
 
@@ -19,7 +20,7 @@ def test_stages(spark, tmp_path):
     items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{D}/benchmark.parquet").collect()]
     base = docs.limit(1).first()
     more = [(9001, base.text + " " + items[0][1], "en", "src0", 7), (9002, None, "en", "src0", 0), (9003, "clean words that nobody else has said here", None, None, None),
-            (9004, "you are scum and trash, moron, a worthless pathetic idiot, scum, clown", "en", "src0", 5)]
+            (9004, " ", "en", "src0", 1)]
     docs = docs.union(spark.createDataFrame(more, docs.schema))
     columns, state = docs.columns, docs
     for name, stage in corpus_pipeline.STAGES:
@@ -31,14 +32,13 @@ def test_stages(spark, tmp_path):
             assert state.columns == columns
         if name == "toxicity":
             ids = {r.doc_id for r in after}
-            assert 9004 not in ids and {9001, 9002, 9003} <= ids
-            toxic = {r.doc_id for r in spark.read.parquet(f"{D}/labels.parquet").where("toxic = 1").collect()}
-            clean = {r.doc_id for r in spark.read.parquet(f"{D}/labels.parquet").where("toxic = 0").collect()}
-            assert len(ids & toxic) <= 0.2 * len(toxic) and len(clean - ids) <= 0.05 * len(clean)
+            chain = toxicity_chain(spark, D)
+            scored = toxicity.predict(docs.select("doc_id", "text"), chain).collect()
+            assert ids == {r.doc_id for r in scored if r.p_toxic < chain.thresholds[-1]} and 0 < len(ids) < len(scored)
         elif name == "line_dedup":
             want = [(i, t) for i, n, k, t in test_line_dups.brute(before) if n > k or not k]
             assert [(r.doc_id, r.text or "") for r in after] == want
-            assert all(r.n_chars == len(r.text) for r in after if r.doc_id < 9000 and r.text is not None and dict(before)[r.doc_id] != r.text)
+            assert all(r.n_chars == len(r.text) for r in after if r.text is not None and dict(before)[r.doc_id] != r.text)
         elif name == "near_dedup":
             assert [r.doc_id for r in after] == [i for i, _, _, kept in test_near_dups.brute(before, 5, 80) if kept]
         elif name == "decontamination":
