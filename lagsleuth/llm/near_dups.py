@@ -305,7 +305,7 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
         return [[press.compress(x) for x in text_bytes(b.column("text"))]]
 
     texts = materialize(add_columns(wanted, "packed binary", packed).drop("text"), "texts")
-    labels = materialize(nodes.select("id").union(same_id.select("id")).distinct().select("id", F.col("id").alias("comp")), "labels")
+    labels = materialize(shared.select("id").union(same_id.select("id")).union(same_id.select("node")).distinct().select("id", F.col("id").alias("comp")), "labels")
     labels = merge(labels, same_id.select(F.col("id").alias("a"), F.col("node").alias("b")))
 
     one = led.groupBy("id").agg(F.max_by("leader", F.struct("both", "leader")).alias("leader"))

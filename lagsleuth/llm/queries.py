@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dups, near_dups, sharding, substrings, token_files, toxicity, winnowing
+from . import bpe, decontaminate, line_dups, mixing, near_dups, sharding, substrings, token_files, toxicity, winnowing
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -115,8 +115,12 @@ def op1_token_files(spark, d):
     return token_files.with_crc32(token_files.read(spark, path))
 
 
+def op2_context_mixing(spark, d):
+    return mixing.score(table(spark, d, "documents"))
+
+
 def op3_winnowing(spark, d):
     return winnowing.compare_with_next(table(spark, d, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_winnowing, op4_substrings, op5_sharding, op6_byte_bpe, op7_near_dups, op8_line_dups, op9_toxicity, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_context_mixing, op3_winnowing, op4_substrings, op5_sharding, op6_byte_bpe, op7_near_dups, op8_line_dups, op9_toxicity, op10_decontamination)}
