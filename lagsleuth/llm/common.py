@@ -72,6 +72,49 @@ def hashed_words(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_memo.__getitem__, words), np.uint64, len(words))
 
 
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+TOGETHER = 1 << 18
+
+
+def hash_spans(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:start + size], eight bytes at a time; data has eight bytes more than any span."""
+    out = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for i in range(0, len(start), TOGETHER):
+        h, s, n = out[i : i + TOGETHER], start[i : i + TOGETHER], size[i : i + TOGETHER]
+        left = np.flatnonzero(n > 0)
+        done = 0
+        while len(left):
+            eight = np.ascontiguousarray(data[(s[left] + done)[:, None] + np.arange(8)]).view("<u8").ravel()
+            h[left] = mix(h[left] ^ (eight & KEEP[np.minimum(n[left] - done, 8)]))
+            done += 8
+            left = left[n[left] > done]
+    return out
+
+
+def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All texts in one array, each followed by a line feed, and where each begins."""
+    size = np.array([len(t) + 1 for t in texts], np.int64)
+    return np.frombuffer(b"\n".join([*texts, bytes(8)]), np.uint8), np.cumsum(size) - size
+
+
+def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size of the runs without ASCII white space, in data without its last eight bytes."""
+    inside = np.zeros(len(data) - 6, np.int8)
+    inside[1:-1] = ~SPACE[data[:-8]]
+    step = np.diff(inside)
+    start = np.flatnonzero(step == 1)
+    return start, np.flatnonzero(step == -1) - start
+
+
+def text_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, and how many each text has."""
+    data, begin = joined(texts)
+    start, size = word_spans(data)
+    return hash_spans(data, start, size), np.bincount(np.searchsorted(begin, start, "right") - 1, minlength=len(texts))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit numbers."""
     x = x ^ (x >> np.uint64(32))

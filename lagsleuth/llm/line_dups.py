@@ -5,7 +5,7 @@ the same document, has a Jaccard similarity of `percent` or more; lines are judg
 
 1. Texts are packed into rows of some megabytes (a stored table); each row sums the counts of its words by hash slots.
 2. The counts of all rows give the rarity of every slot, a table of fixed size. Words are ordered by rarity, then by hash.
-3. Lines whose word set an earlier line has are found by a digest of the set.
+3. Lines whose very bytes an earlier line has are found by a digest.
 4. Each other line offers the rarest words of its prefix (n - ceil(percent * n) + 1 of n words), with its size, the word's position
    and a bitmap of its words. For each offer one bit comes back: another line with that word passes the length filter, the
    positional filter and the bound that the bitmaps give. Most offers end here.
@@ -13,7 +13,7 @@ the same document, has a Jaccard similarity of `percent` or more; lines are judg
    lines of fitting length, in growing blocks, until one is similar enough.
 
 Two similar lines share the rarest of their common words in both prefixes, and there all filters hold, so none is lost. Parts
-grow in number with the input; nothing that grows with it comes to the driver. Lines of one word set are one line in steps 4
+grow in number with the input; nothing that grows with it comes to the driver. Equal lines are one line in steps 4
 and 5. A word that is among the rarest of very many different lines of which each is like no earlier one is the costly case: its
 offers are compared in one task.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lagsleuth.operators.storage import materialize
 
-from .common import hashed_words, mix, part_count
+from .common import SPACE, hash_spans, joined, mix, part_count, text_words, word_spans
 from .substrings import answered, gathered, in_parts, narrow, pack, read_rows, sent_rows
 
 PERCENT = 80
@@ -47,11 +47,7 @@ def slots(h: np.ndarray) -> np.ndarray:
 
 
 def word_counts(texts: list[bytes]) -> bytes:
-    n = np.zeros(1 << SLOT_BITS, np.int64)
-    for t in texts:
-        n += np.bincount(slots(hashed_words(t.lower().split())), minlength=1 << SLOT_BITS) if len(t) > 1 << SLOT_BITS else 0
-    small = [w for t in texts if len(t) <= 1 << SLOT_BITS for w in t.lower().split()]
-    n += np.bincount(slots(hashed_words(small)), minlength=1 << SLOT_BITS)
+    n = np.bincount(slots(text_words([t.lower() for t in texts])[0]), minlength=1 << SLOT_BITS)
     return zstandard.ZstdCompressor(level=1).compress(np.minimum(n, 2**32 - 1).astype("<u4").tobytes())
 
 
@@ -81,30 +77,36 @@ def rarity(packed: DataFrame) -> np.ndarray:
 
 
 class Lines:
-    """Lines of a packed row that have words, as sets in order of rarity."""
+    """Lines of a packed row that have words; after `words`, also as sets in order of rarity."""
 
-    def __init__(self, r: dict, steps: np.ndarray):
+    def __init__(self, r: dict):
         raw = zstandard.ZstdDecompressor().decompress(r["texts"]) if r["sizes"] else b""
         ends = np.cumsum(r["sizes"]).tolist()
         self.row, self.doc_ids = r["row"], r["doc_ids"]
-        self.texts = [raw[e - n : e].split(b"\n") for n, e in zip(r["sizes"], ends, strict=True)]
-        words, count, doc, number = [], [], [], []
-        for d, lines in enumerate(self.texts):
-            if self.doc_ids[d] is not None:
-                for k, line in enumerate(lines):
-                    w = line.lower().split()
-                    if w:
-                        words += w
-                        count.append(len(w))
-                        doc.append(d)
-                        number.append(k)
-        self.doc, self.number = np.array(doc, np.int64), np.array(number, np.int64)
-        self.id = np.array([0 if i is None else i for i in self.doc_ids], np.int64)[self.doc] if len(doc) else np.zeros(0, np.int64)
-        h = hashed_words(words)
-        line = np.repeat(np.arange(len(count)), count)
-        step = steps[slots(h)]
-        low = h & np.uint64(0xFFFFFFFF)
-        if len(count) < 1 << 24:
+        self.texts = [raw[e - n : e] for n, e in zip(r["sizes"], ends, strict=True)]
+        self.data, begin = joined(self.texts)
+        end = np.flatnonzero(self.data[:-8] == 10)
+        start = np.concatenate([[0], end[:-1] + 1]) if len(end) else end
+        doc = np.searchsorted(begin, start, "right") - 1
+        first = np.searchsorted(start, begin)
+        filled = np.concatenate([[0], np.cumsum(~SPACE[self.data[:-8]])])
+        has = filled[end] > filled[start]
+        self.n_lines = np.bincount(doc[has], minlength=len(self.texts))
+        part = has & np.array([i is not None for i in self.doc_ids], bool)[doc] if len(doc) else has
+        self.start, self.length, self.doc = start[part], (end - start)[part], doc[part]
+        self.number = (np.arange(len(start)) - first[doc])[part] if len(doc) else doc
+        self.id = np.array([0 if i is None else i for i in self.doc_ids], np.int64)[self.doc] if len(self.doc) else np.zeros(0, np.int64)
+
+    def words(self, steps: np.ndarray):
+        """hash and line of all distinct words of the lines, rarest first in each line."""
+        data = np.where((self.data >= 65) & (self.data <= 90), self.data + 32, self.data).astype(np.uint8)
+        start, size = word_spans(data)
+        line = np.searchsorted(self.start, start, "right") - 1
+        mine = line >= 0
+        mine[mine] = start[mine] < self.start[line[mine]] + self.length[line[mine]]
+        h, line = hash_spans(data, start[mine], size[mine]), line[mine]
+        step, low = steps[slots(h)], h & np.uint64(0xFFFFFFFF)
+        if len(self.start) < 1 << 24:
             order = np.argsort(line.astype(np.uint64) << np.uint64(40) | step.astype(np.uint64) << np.uint64(32) | low, kind="stable")
         else:
             order = np.lexsort((low, step, line))
@@ -112,17 +114,17 @@ class Lines:
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
         self.hash, self.line = h[new], line[new]
-        self.size = np.bincount(self.line, minlength=len(count))
+        self.size = np.bincount(self.line, minlength=len(self.start))
         self.first = np.cumsum(self.size) - self.size
         self.at = np.arange(len(self.hash)) - self.first[self.line]
-        two = [np.add.reduceat(mix(self.hash ^ np.uint64(k)), self.first) if len(count) else np.zeros(0, np.uint64) for k in (0x1234567, 0x89ABCDE)]
-        self.digest, self.other = mix(two[0] + self.size.astype(np.uint64)), mix(two[1])
+        return self
 
     def sets(self, parts: int):
-        """Distinct word sets: parts, digests, which set a line has, least id of each; repeats of a line of this row."""
-        part = ((self.other >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-        order = np.lexsort((self.number, self.doc, self.id, self.digest, part))
-        p, x, d, i = part[order], self.digest[order], self.doc[order], self.id[order]
+        """Distinct lines: parts, digests, which one a line is, least id of each; repeats of a line of this row."""
+        digest = hash_spans(self.data, self.start, self.length)
+        part = ((mix(digest ^ self.length.astype(np.uint64)) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        order = np.lexsort((self.number, self.doc, self.id, digest, part))
+        p, x, d, i = part[order], digest[order], self.doc[order], self.id[order]
         new = np.ones(len(order), bool)
         new[1:] = (x[1:] != x[:-1]) | (p[1:] != p[:-1])
         run = np.cumsum(new) - 1
@@ -291,7 +293,7 @@ def remove_similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     def each(batches):
         for b in batches:
             for r in read_rows(b):
-                yield r, Lines(r, steps.value)
+                yield r, Lines(r)
 
     def send_digests(batches):
         for r, x in each(batches):
@@ -311,7 +313,7 @@ def remove_similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     def send_offers(batches):
         for r, x in each(batches):
-            word, part, key = x.offers(parts, gone(r, x), percent)
+            word, part, key = x.words(steps.value).offers(parts, gone(r, x), percent)
             lines = np.unique(x.line[word])
             maps = x.bitmaps(lines)
             levels = {w: fold(maps, w) for w in (1, 2, 4)}
@@ -334,7 +336,7 @@ def remove_similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     def send_words(batches):
         for r, x in each(batches):
-            word, part, key = x.offers(parts, gone(r, x), percent)
+            word, part, key = x.words(steps.value).offers(parts, gone(r, x), percent)
             on = gathered(r["useful"], len(word))
             word, part, key = word[on], part[on], key[on]
             made = []
@@ -354,10 +356,8 @@ def remove_similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
             drop: dict[int, set] = {}
             for d, k in zip(x.doc[out].tolist(), x.number[out].tolist(), strict=True):
                 drop.setdefault(d, set()).add(k)
-            n_lines = np.bincount(x.doc, minlength=len(x.texts))
-            n_lines = [int(n) if i is not None else sum(bool(t.split()) for t in lines) for n, i, lines in zip(n_lines, x.doc_ids, x.texts, strict=True)]
-            kept = [b"\n".join(t for k, t in enumerate(lines) if k not in drop[d]) if d in drop else b"\n".join(lines) for d, lines in enumerate(x.texts)]
-            yield pa.RecordBatch.from_arrays([pa.array(x.doc_ids, pa.int64()), pa.array(n_lines, pa.int64()), pa.array([len(drop.get(d, ())) for d in range(len(kept))], pa.int64()), pa.array([k.decode() for k in kept])],
+            kept = [b"\n".join(line for k, line in enumerate(t.split(b"\n")) if k not in drop[d]) if d in drop else t for d, t in enumerate(x.texts)]
+            yield pa.RecordBatch.from_arrays([pa.array(x.doc_ids, pa.int64()), pa.array(x.n_lines, pa.int64()), pa.array([len(drop.get(d, ())) for d in range(len(kept))], pa.int64()), pa.array([k.decode() for k in kept])],
                                              names=["doc_id", "n_lines", "n_removed", "kept"])
 
     return one.join(alike, "row", "left").mapInArrow(finish, "doc_id long, n_lines long, n_removed long, kept string")

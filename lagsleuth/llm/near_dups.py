@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lagsleuth.operators.storage import materialize
 
-from .common import add_columns, hashed_words, mix, text_bytes
+from .common import add_columns, mix, text_bytes, text_words
 
 COORDINATES, ROWS = 250, 5
 SLACK = 0.11
@@ -37,19 +37,29 @@ BLOCK = 4096
 EMPTY = np.uint64(2**64 - 1)
 
 
-def shingles(text: bytes, size: int) -> np.ndarray:
-    """Distinct hashed shingles, sorted. Words are parted by ASCII white space, A-Z are lower case."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) < size:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), len(words))], np.uint64)
-    h = hashed_words(words)
-    n = len(h) - size + 1
-    out = h[:n].copy()
+def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
+    """Distinct hashed shingles of each text, sorted. Words are parted by ASCII white space, A-Z are lower case."""
+    h, count = text_words([t.lower() for t in texts])
+    first = np.cumsum(count) - count
+    n = max(0, len(h) - size + 1)
+    runs = h[:n].copy()
     for k in range(1, size):
-        out = mix(out) + h[k : k + n]
-    return np.unique(mix(out))
+        runs = mix(runs) + h[k : k + n]
+    runs = mix(runs)
+    out = []
+    for a, m in zip(first.tolist(), count.tolist(), strict=True):
+        if m >= size:
+            out.append(np.unique(runs[a : a + m - size + 1]))
+        else:
+            whole = np.full(1, m, np.uint64)
+            for x in h[a : a + m]:
+                whole = mix(whole) + x
+            out.append(mix(whole)[: min(m, 1)])
+    return out
+
+
+def shingles(text: bytes, size: int) -> np.ndarray:
+    return shingle_sets([text], size)[0]
 
 
 def sketches(sets: list[np.ndarray], t: int) -> np.ndarray:
@@ -81,7 +91,7 @@ def sketch_rows(docs: DataFrame, doc_id: str, text: str, size: int, t: int) -> D
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
 
     def fn(b: pa.RecordBatch):
-        sets = [shingles(x, size) for x in text_bytes(b.column("text"))]
+        sets = shingle_sets(text_bytes(b.column("text")), size)
         s = short(sketches(sets, t))
         return [[len(x) for x in sets], [xxhash.xxh128_digest(x.tobytes()) if len(x) else None for x in sets], [r.tobytes() if len(x) else None for r, x in zip(s, sets, strict=True)]]
 

@@ -21,6 +21,8 @@ empty results.
 """
 from __future__ import annotations
 
+from itertools import compress
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lagsleuth.operators.storage import materialize
 
-from .common import hashed_words, mix, part_count, slices, text_bytes
+from .common import mix, part_count, slices, text_bytes, text_words
 
 WINDOW = 13
 PERIOD = 7
@@ -81,12 +83,11 @@ class Packed:
     def __init__(self, doc_ids, sizes, texts, window: int):
         raw = zstandard.ZstdDecompressor().decompress(texts) if sizes else b""
         ends = np.cumsum(sizes).tolist()
-        self.words = [raw[e - n : e].split() for n, e in zip(sizes, ends, strict=True)]
+        self.texts = [raw[e - n : e] for n, e in zip(sizes, ends, strict=True)]
         self.doc_ids = doc_ids
         self.window = window
-        count = np.array([len(w) for w in self.words], np.int64)
+        self.hash, count = text_words(self.texts)
         self.count, self.first = count, np.cumsum(count) - count
-        self.hash = np.concatenate([hashed_words(w) for w in self.words]) if len(count) else np.zeros(0, np.uint64)
         self.doc = np.repeat(np.arange(len(count)), count)
         self.at = np.arange(len(self.hash)) - self.first[self.doc]
         takes_part = np.array([i is not None for i in doc_ids], bool)
@@ -242,7 +243,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 np.add.at(edge, start[gone] + window, -1)
                 keep = np.cumsum(edge)[: len(p.hash)] == 0
                 n_kept = np.add.reduceat(np.concatenate([keep, [0]]), p.first) * (p.count > 0) if len(p.count) else p.count
-                kept = [b" ".join(w if k == len(w) else [x for x, on in zip(w, keep[f : f + len(w)].tolist(), strict=True) if on]) for w, f, k in zip(p.words, p.first.tolist(), n_kept.tolist(), strict=True)]
+                kept = [b" ".join(t.split() if k == n else compress(t.split(), keep[f : f + n].tolist())) for t, f, n, k in zip(p.texts, p.first.tolist(), p.count.tolist(), n_kept.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(p.doc_ids, pa.int64()), pa.array(p.count), pa.array((p.count - n_kept).astype(np.int64)), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     return asked.join(smaller, "row", "left").mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept binary")
