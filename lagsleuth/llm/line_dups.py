@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from lagsleuth.operators.storage import materialize
 
 from .common import SPACE, hash_spans, joined, mix, part_count, text_words, word_spans
-from .substrings import answered, gathered, in_parts, narrow, pack, read_rows, sent_rows
+from .substrings import answered, by_row, gathered, in_parts, narrow, pack, read_rows, sent_rows
 
 PERCENT = 80
 SLOT_BITS = 20
@@ -286,7 +286,7 @@ def remove_similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     size = packed.select(F.sum(F.expr("aggregate(sizes, 0L, (a, x) -> a + x)"))).first()[0] or 0
     parts = part_count(docs.sparkSession, size, part_bytes)
     steps = docs.sparkSession.sparkContext.broadcast(rarity(packed))
-    packed = packed.drop("summary")
+    packed = by_row(packed.drop("summary"))
     digests = [("part", pa.int32()), ("row", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("low", pa.int64())]
     offers = [("part", pa.int32()), ("row", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("sizes", pa.binary()), ("places", pa.binary()), ("bitmaps", pa.binary())]
 

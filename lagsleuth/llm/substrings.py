@@ -26,7 +26,7 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,6 +70,15 @@ def pack(docs: DataFrame, doc_id: str, text: str, summarise=None) -> DataFrame:
     return materialize(rows.mapInArrow(run, "row long, doc_ids array<long>, sizes array<int>, texts binary, summary binary"), "packed")
 
 
+def by_row(packed: DataFrame) -> DataFrame:
+    """The packed rows, shuffled once by row and kept on the executors' disks, so that every join with answers moves answers only.
+
+    The stored table stands behind it: blocks of a lost executor are read and dealt again.
+    """
+    n = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return packed.repartition(n, "row").persist(StorageLevel.DISK_ONLY)
+
+
 def rolled(h: np.ndarray, size: int, base: np.uint64, at: np.ndarray) -> np.ndarray:
     out = np.zeros(len(at), np.uint64)
     for k in range(size):
@@ -203,6 +212,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     packed = pack(docs, doc_id, text)
     size = packed.select(F.sum(F.expr("aggregate(sizes, 0L, (a, x) -> a + x)"))).first()[0] or 0
     parts = part_count(docs.sparkSession, size, part_bytes)
+    packed = by_row(packed.drop("summary"))
     columns = [("part", pa.int32()), ("row", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("low", pa.int64())]
     ddl = SENT + ", low long"
 
