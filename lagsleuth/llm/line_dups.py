@@ -39,7 +39,7 @@ CHUNKS = 16
 PART_BYTES = 64 << 20
 WIDTHS = ((48, 1), (96, 2), (None, 4))
 BLOCK = 16
-OFFER = "part int, row long, n int, keys binary, sizes binary, places binary, bitmaps binary"
+OFFER = "part int, row long, n int, keys binary, sizes binary, places binary, lines binary, bitmaps binary"
 
 
 def slots(h: np.ndarray) -> np.ndarray:
@@ -97,13 +97,17 @@ class Lines:
         self.number = (np.arange(len(start)) - first[doc])[part] if len(doc) else doc
         self.id = np.array([0 if i is None else i for i in self.doc_ids], np.int64)[self.doc] if len(self.doc) else np.zeros(0, np.int64)
 
-    def words(self, steps: np.ndarray):
-        """hash and line of all distinct words of the lines, rarest first in each line."""
+    def words(self, steps: np.ndarray, only: np.ndarray | None = None):
+        """hash and line of all distinct words of the lines (or some of them), rarest first in each line."""
         data = np.where((self.data >= 65) & (self.data <= 90), self.data + 32, self.data).astype(np.uint8)
         start, size = word_spans(data)
         line = np.searchsorted(self.start, start, "right") - 1
         mine = line >= 0
         mine[mine] = start[mine] < self.start[line[mine]] + self.length[line[mine]]
+        if only is not None:
+            wanted = np.zeros(len(self.start), bool)
+            wanted[only] = True
+            mine[mine] = wanted[line[mine]]
         h, line = hash_spans(data, start[mine], size[mine]), line[mine]
         step, low = steps[slots(h)], h & np.uint64(0xFFFFFFFF)
         if len(self.start) < 1 << 24:
@@ -140,6 +144,9 @@ class Lines:
         """Prefix words of the lines that are not gone, in order of part and key: index of the word, part, 32-bit key."""
         need = -(-percent * self.size // 100)
         word = np.flatnonzero((self.at <= (self.size - need)[self.line]) & ~gone[self.line])
+        return self.keyed(word, parts)
+
+    def keyed(self, word: np.ndarray, parts: int):
         x = mix(self.hash[word] ^ np.uint64(0x5BD1E995))
         part = ((x >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         key = (x & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -203,7 +210,7 @@ def useful(key, size, place, maps, percent: int) -> np.ndarray:
 
 
 def asked(sent: DataFrame, parts: int, percent: int) -> DataFrame:
-    """One bit for each offer, collected by packed row."""
+    """The offers that pass, as lines and places of words in them, by packed row."""
 
     def run(batches):
         got = [r for b in batches for r in read_rows(b)]
@@ -223,11 +230,13 @@ def asked(sent: DataFrame, parts: int, percent: int) -> DataFrame:
                 maps.append(m)
             bit = useful(np.concatenate(key), np.concatenate(size), np.concatenate(place), np.concatenate(maps), percent)
             ends = np.cumsum([r["n"] for r in mine])
-            yield pa.RecordBatch.from_arrays([pa.array([r["row"] for r in mine], pa.int64()), pa.array([part] * len(mine), pa.int32()), pa.array([r["n"] for r in mine], pa.int32()),
-                                              pa.array([np.packbits(bit[e - r["n"] : e]).tobytes() for r, e in zip(mine, ends, strict=True)], pa.binary())], names=["row", "part", "n", "bits"])
+            on = [np.flatnonzero(bit[e - r["n"] : e]) for r, e in zip(mine, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r["row"] for r, k in zip(mine, on, strict=True) if len(k)], pa.int64()), *[
+                pa.array([np.frombuffer(r[c], "<u4")[k].astype(np.int64) for r, k in zip(mine, on, strict=True) if len(k)], pa.list_(pa.int64())) for c in ("lines", "places")]], names=["row", "lines", "places"])
 
-    back = sent.repartitionById(parts, "part").mapInArrow(run, "row long, part int, n int, bits binary")
-    return materialize(back.groupBy("row").agg(F.collect_list(F.struct("part", "n", "bits")).alias("useful")), "useful")
+    back = sent.repartitionById(parts, "part").mapInArrow(run, "row long, lines array<long>, places array<long>")
+    back = back.groupBy("row").agg(F.collect_list(F.struct("lines", "places")).alias("u"))
+    return materialize(back.select("row", F.flatten("u.lines").alias("lines"), F.flatten("u.places").alias("places")), "useful")
 
 
 def first_match(words: list[np.ndarray], size, order_key, percent: int) -> np.ndarray:
@@ -288,7 +297,7 @@ def remove_similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     steps = docs.sparkSession.sparkContext.broadcast(rarity(packed))
     packed = by_row(packed.drop("summary"))
     digests = [("part", pa.int32()), ("row", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("low", pa.int64())]
-    offers = [("part", pa.int32()), ("row", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("sizes", pa.binary()), ("places", pa.binary()), ("bitmaps", pa.binary())]
+    offers = [("part", pa.int32()), ("row", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("sizes", pa.binary()), ("places", pa.binary()), ("lines", pa.binary()), ("bitmaps", pa.binary())]
 
     def each(batches):
         for b in batches:
@@ -328,23 +337,24 @@ def remove_similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
                     for width, level in levels.items():
                         mine = (w == width) & (width > k)
                         flat[(ends - w)[mine] + k] = level[at[mine], k] if width > k else 0
-                made.append((p, r["row"], j - i, key[i:j].astype("<u4").tobytes(), n.astype("<u4").tobytes(), x.at[word[i:j]].astype("<u4").tobytes(), flat.tobytes()))
+                made.append((p, r["row"], j - i, key[i:j].astype("<u4").tobytes(), n.astype("<u4").tobytes(), x.at[word[i:j]].astype("<u4").tobytes(), line.astype("<u4").tobytes(), flat.tobytes()))
             yield sent_rows(made, offers)
 
     kept_offers = asked(one.mapInArrow(send_offers, OFFER), parts, percent)
-    two = one.join(kept_offers, "row", "left")
+    two = packed.join(kept_offers, "row")
 
     def send_words(batches):
         for r, x in each(batches):
-            word, part, key = x.words(steps.value).offers(parts, gone(r, x), percent)
-            on = gathered(r["useful"], len(word))
-            word, part, key = word[on], part[on], key[on]
+            if not r["lines"]:
+                continue
+            chosen = np.array(r["lines"], np.int64)
+            word, part, key = x.words(steps.value, chosen).keyed(x.first[chosen] + np.array(r["places"], np.int64), parts)
             made = []
             for p, i, j in in_parts(part):
                 line = x.line[word[i:j]]
                 info = np.column_stack([x.id[line], x.doc[line], x.number[line], line, x.size[line]])
                 data = [np.sort(x.hash[x.first[k] : x.first[k] + x.size[k]]) for k in line.tolist()]
-                made.append((p, r["row"], j - i, key[i:j].astype("<u4").tobytes(), None, info.astype("<i8").tobytes(), np.concatenate(data).tobytes()))
+                made.append((p, r["row"], j - i, key[i:j].astype("<u4").tobytes(), None, info.astype("<i8").tobytes(), None, np.concatenate(data).tobytes()))
             yield sent_rows(made, offers)
 
     alike = matched(two.mapInArrow(send_words, OFFER), parts, percent)
