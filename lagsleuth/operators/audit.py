@@ -286,14 +286,15 @@ def strip_html(c: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
 
 
-def mine_sentences(pages: DataFrame, html: str, method: str = METHOD_WORDS, result: str = RESULT_WORDS) -> DataFrame:
-    """Sentences of more than 40 characters; the first method and the first result sentence (excerpts of 900 characters, as
-    the report prints them) and the keyword class of the whole text."""
+def mine_sentences(pages: DataFrame, html: str, method: str = METHOD_WORDS, result: str = RESULT_WORDS, excerpt: int | None = None) -> DataFrame:
+    """Sentences of more than 40 characters; the first method and the first result sentence (whole, or an excerpt of so many
+    characters) and the keyword class of the whole text."""
     text = pages.withColumn("text", strip_html(C(html)))
     sent = F.filter(F.transform(F.split("text", r"(?<=[.!?])\s+"), F.trim), lambda s: F.length(s) > 40)
     d = text.withColumn("sentences", sent)
     def first(words):
-        return F.substring(F.try_element_at(F.filter("sentences", lambda s: s.rlike("(?iU)" + words)), F.lit(1)), 1, 900)
+        found = F.try_element_at(F.filter("sentences", lambda s: s.rlike("(?iU)" + words)), F.lit(1))
+        return found if excerpt is None else F.substring(found, 1, excerpt)
     low = F.lower("text")
     cls = None
     for words, name in PRIMITIVES:

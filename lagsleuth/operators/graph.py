@@ -6,12 +6,13 @@ Iterations store every round as a table (see ``storage``), so lineage stays shor
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
 from .ordered import join_on, scan
 from .quantiles import median_mad
-from .storage import materialize
+from .storage import materialize, shared_dir
 
 C = F.col
 # Device peaks and per-kernel work used by the roofline families.
@@ -83,23 +84,34 @@ def graph_tables(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
 def critical_path(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(total per run, path rows) of the longest path by node durations and edge waits; ties go to the lower node id.
 
-    Only nodes improved in a round pass their value on; rounds equal the hops of the longest chain. The path is marked
-    by doubling: each round joins the marked nodes with their 2^k-th predecessors."""
-    e = materialize(edges.select("run_id", "src", "dst", "w_ns").join(nodes.select("run_id", C("node").alias("dst"), C("dur_ns").alias("dst_dur")), ["run_id", "dst"]), "edges")
-    state = materialize(nodes.select("run_id", "node", C("dur_ns").alias("dist"), F.lit(None).cast("string").alias("prev")), "dist")
-    front = state
-    rounds = 0
+    A node passes its value on once, when all its predecessors have; each round writes only those nodes and the ones that still
+    wait. Nodes on or behind a cycle never get there: they keep their own duration and are flagged (``cyclic``). Rounds equal
+    the hops of the longest chain. The path is marked by doubling: each round joins the marked nodes with their 2^k-th predecessors."""
+    spark = nodes.sparkSession
+    own = nodes.select("run_id", "node", "dur_ns")
+    e = edges.select("run_id", "src", "dst", "w_ns").join(own.select("run_id", C("node").alias("dst"), C("dur_ns").alias("dst_dur")), ["run_id", "dst"])
+    e = materialize(e.join(own.select("run_id", C("node").alias("src")), ["run_id", "src"], "left_semi"), "edges")
+    need = materialize(e.groupBy("run_id", C("dst").alias("node")).agg(F.count(F.lit(1)).alias("need"), F.max("dst_dur").alias("dur_ns")), "need")
+    path = f"{shared_dir(spark).rstrip('/')}/longest-{uuid.uuid4().hex}"
+    front = own.join(need, ["run_id", "node"], "left_anti").select("run_id", "node", C("dur_ns").alias("dist"), F.lit(None).cast("string").alias("prev"))
+    waiting, rounds = None, 0
     while True:
-        cand = (front.select("run_id", C("node").alias("src"), "dist").join(e, ["run_id", "src"])
-                .withColumn("d", C("dist") + C("w_ns") + C("dst_dur")).groupBy("run_id", C("dst").alias("node"))
-                .agg(F.max("d").alias("d"), F.min_by("src", F.struct(-C("d"), C("src"))).alias("p")))
-        state = materialize(state.drop("new").join(cand, ["run_id", "node"], "left").select(
-            "run_id", "node", F.when(C("d") > C("dist"), C("d")).otherwise(C("dist")).alias("dist"),
-            F.when(C("d") > C("dist"), C("p")).otherwise(C("prev")).alias("prev"), F.coalesce(C("d") > C("dist"), F.lit(False)).alias("new")), "dist")
-        front = state.where("new").select("run_id", "node", "dist")
+        front.write.parquet(f"{path}/{rounds}")
+        front = spark.read.schema(front.schema).parquet(f"{path}/{rounds}")
         if front.isEmpty():
             break
+        cand = (front.select("run_id", C("node").alias("src"), "dist").join(e, ["run_id", "src"])
+                .select("run_id", C("dst").alias("node"), F.lit(1).cast("long").alias("got"), (C("dist") + C("w_ns") + C("dst_dur")).alias("d"), C("src").alias("p")))
+        both = cand if waiting is None else cand.unionByName(waiting)
+        got = both.groupBy("run_id", "node").agg(F.sum("got").alias("got"), F.max("d").alias("d"), F.min_by("p", F.struct(-C("d"), C("p"))).alias("p"))
+        got = materialize(got.join(need, ["run_id", "node"]), "waiting")
+        waiting = got.where("got < need").select("run_id", "node", "got", "d", "p")
+        better = C("d") > C("dur_ns")
+        front = got.where("got = need").select("run_id", "node", F.greatest("d", "dur_ns").alias("dist"), F.when(better, C("p")).alias("prev"))
         rounds += 1
+    done = spark.read.schema(front.schema).parquet(*[f"{path}/{k}" for k in range(rounds + 1)])
+    stuck = own.join(done, ["run_id", "node"], "left_anti").select("run_id", "node", C("dur_ns").alias("dist"), F.lit(None).cast("string").alias("prev"), F.lit(True).alias("cyclic"))
+    state = materialize(done.withColumn("cyclic", F.lit(False)).unionByName(stuck), "dist")
     end = state.groupBy("run_id").agg(F.max("dist").alias("total_ns"), F.min_by("node", F.struct(-C("dist"), C("node"))).alias("node"))
     jump = state.where("prev is not null").select("run_id", "node", C("prev").alias("up"))
     marked = end.select("run_id", "node")
@@ -108,7 +120,7 @@ def critical_path(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFr
         marked = materialize(marked.unionByName(step), "path")
         j2 = jump.select("run_id", C("node").alias("up"), C("up").alias("up2"))
         jump = materialize(jump.join(j2, ["run_id", "up"]).select("run_id", "node", C("up2").alias("up")), "jump")
-    path = marked.join(state.select("run_id", "node", "dist", "prev"), ["run_id", "node"])
+    path = marked.join(state.select("run_id", "node", "dist", "prev", "cyclic"), ["run_id", "node"])
     return end.select("run_id", "total_ns", C("node").alias("end_node")), path
 
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SEG, ROLE = "__seg", "__role"
-MAX_SEGMENTS = 1 << 20
 
 
 def segment_rows(spark) -> int:
@@ -21,7 +20,7 @@ def with_segment(df: DataFrame, lead: str, rows: int | None = None) -> DataFrame
     """Add a segment number that never decreases with the numeric column ``lead``."""
     rows = rows or segment_rows(df.sparkSession)
     at = F.col(lead).cast("double")
-    pieces = F.least(F.lit(MAX_SEGMENTS), F.ceil(F.count(F.lit(1)) / F.lit(rows)))
+    pieces = F.ceil(F.count(F.lit(1)) / F.lit(rows))
     bounds = df.agg(F.struct(F.min(at).alias("lo"),
                              ((F.max(at) - F.min(at)) / pieces).alias("width")).alias("b")).scalar()
     seg = F.when(bounds["width"] > 0, F.floor((at - bounds["lo"]) / bounds["width"])).otherwise(F.lit(0))

@@ -10,10 +10,12 @@ _local: dict[str, str] = {}
 
 
 def shared_dir(spark) -> str:
-    """The cluster's shared folder; a local one of our own only where none is set (tests)."""
+    """The cluster's shared folder; one of our own only in local mode where none is set (tests). A cluster without one is an error."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if d:
         return d
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local:
         _local[app] = tempfile.mkdtemp(prefix="lagsleuth-")

@@ -245,7 +245,7 @@ STRIP = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(
 
 
 @query("F16", "mine_sentences", rf"""WITH t AS (SELECT page_id, {STRIP} AS text FROM pages), s AS (SELECT page_id, text, [trim(x) FOR x IN string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) IF length(trim(x)) > 40] AS ss FROM t)
-SELECT page_id, length(text) AS text_length, len(ss) AS n_sentences, [x FOR x IN ss IF regexp_matches(x, '(?i)(^|[^\p{{L}}\p{{N}}_])(the|le|der|el)($|[^\p{{L}}\p{{N}}_])')][1][1:900] AS method, [x FOR x IN ss IF regexp_matches(x, '(?i)(^|[^\p{{L}}\p{{N}}_])(and|et|und|con)($|[^\p{{L}}\p{{N}}_])')][1][1:900] AS result,
+SELECT page_id, length(text) AS text_length, len(ss) AS n_sentences, [x FOR x IN ss IF regexp_matches(x, '(?i)(^|[^\p{{L}}\p{{N}}_])(the|le|der|el)($|[^\p{{L}}\p{{N}}_])')][1] AS method, [x FOR x IN ss IF regexp_matches(x, '(?i)(^|[^\p{{L}}\p{{N}}_])(and|et|und|con)($|[^\p{{L}}\p{{N}}_])')][1] AS result,
  CASE WHEN lower(text) LIKE '%uncertaint%' THEN 'uncertainty-calibrated action or data selection' WHEN lower(text) LIKE '%offline%' THEN 'offline trajectory-value optimization' WHEN regexp_matches(lower(text), 'imitation|demonstration') THEN 'demonstration-conditioned policy learning'
  WHEN regexp_matches(lower(text), 'hierarch|skill|option') THEN 'temporal skill abstraction and composition' WHEN regexp_matches(lower(text), 'explor|active') THEN 'information-directed exploration' WHEN regexp_matches(lower(text), 'temporal|trajectory|video') THEN 'temporal representation or alignment'
  WHEN regexp_matches(lower(text), 'reward|reinforcement') THEN 'outcome-conditioned policy optimization' ELSE 'learned representation or optimization mechanism' END AS primitive FROM s""")

@@ -16,7 +16,7 @@ SYNC_CATEGORIES = ("cuda_sync",)
 # Copy kinds by number.
 COPY_KINDS = {0: "unknown", 1: "HtoD", 2: "DtoH", 3: "HtoA", 4: "AtoH", 5: "AtoA", 6: "AtoD", 7: "DtoA", 8: "DtoD", 9: "HtoH", 10: "PtoP"}
 TRACE_SCHEMA = ("timing_model_version string, traceEvents array<struct<ph:string, ts:string, dur:string, pid:string, tid:string, name:string, cat:string, id:string, "
-                "args:struct<`External id`:string, stream:string, bytes:string>>>")
+                "args:struct<`External id`:string, stream:string, bytes:string>>>, _corrupt string")
 RUN_KEY = ("run_id", "hardware", "collector_version")
 RUN_REQUIRED = ("run_id", "device", "hardware", "driver", "cuda", "collector_version")
 
@@ -24,10 +24,13 @@ RUN_REQUIRED = ("run_id", "device", "hardware", "driver", "cuda", "collector_ver
 def read_trace_json(spark: SparkSession, path: str, run_id: Column | None = None, multiline: bool = True) -> tuple[DataFrame, DataFrame]:
     """(spans, rejects) from trace documents: one per file, or one per line with ``multiline=False`` (splittable).
 
-    All shards of all runs come from one read; ``run_id`` defaults to the file name."""
-    docs = spark.read.schema(TRACE_SCHEMA).option("multiLine", multiline).json(path)
+    All shards of all runs come from one read; ``run_id`` defaults to the file name. Documents that cannot be parsed are rejects."""
+    docs = spark.read.schema(TRACE_SCHEMA).option("multiLine", multiline).option("columnNameOfCorruptRecord", "_corrupt").json(path)
     docs = docs.withColumn("run_id", F.input_file_name() if run_id is None else run_id)
-    return trace_spans(docs.select("run_id", F.explode("traceEvents").alias("e")).select("run_id", "e.*"))
+    spans, rejects = trace_spans(docs.select("run_id", F.explode("traceEvents").alias("e")).select("run_id", "e.*"))
+    broken = docs.where("_corrupt is not null or traceEvents is null").select(
+        "run_id", *[F.lit(None).cast("string").alias(c) for c in ("name", "ts", "dur")], F.when(C("_corrupt").isNotNull(), "unreadable document").otherwise("no events").alias("reason"))
+    return spans, rejects.unionByName(broken)
 
 
 def trace_spans(e: DataFrame) -> tuple[DataFrame, DataFrame]:

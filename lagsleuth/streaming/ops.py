@@ -192,7 +192,7 @@ def stream_baseline_z(values: DataFrame, at: str, baseline: DataFrame, block: st
     A block is scored when its batch arrives; the batch id names the output, so a repeat replaces itself."""
     spark = values.sparkSession
     data, check = _paths(spark, name)
-    keyed = values.withColumn("block", F.date_trunc("day" if block == "1 day" else "hour", C(at)).cast("string"))
+    keyed = values.withColumn("block", F.window(C(at), block)["start"].cast("string"))
 
     def score(batch: DataFrame, batch_id: int) -> None:
         blocks = batch.select("stage", "name", "block", "value")

@@ -265,3 +265,27 @@ def test_xcorr_sign(spark, shift):
     rows = [("k", i, a[i], a[i - shift] if 0 <= i - shift < 60 else 0.5) for i in range(60)]
     got = I.xcorr(spark.createDataFrame(rows, "k string, i long, a double, b double"), "k", ["i"]).first()
     assert got.lag == -shift
+
+
+def test_longest_path_with_a_cycle(spark):
+    """a -> b <-> c -> d, and x -> y: the nodes on and behind the cycle keep their own duration."""
+    from lagsleuth.operators import graph as G
+
+    n = [("r", c, "host", d) for c, d in (("a", 5), ("b", 7), ("c", 9), ("d", 50), ("x", 1), ("y", 2))]
+    e = [("r", "a", "b", 1, "host"), ("r", "b", "c", 1, "host"), ("r", "c", "b", 1, "host"), ("r", "c", "d", 1, "host"), ("r", "x", "y", 3, "host"), ("r", "x", "gone", 3, "host")]
+    tot, path = G.critical_path(spark.createDataFrame(n, "run_id string, node string, stage string, dur_ns long"), spark.createDataFrame(e, "run_id string, src string, dst string, w_ns long, stage string"))
+    assert [tuple(r) for r in tot.collect()] == [("r", 50, "d")]
+    assert [(r.node, r.dist, r.cyclic) for r in path.collect()] == [("d", 50, True)]
+    tot, path = G.critical_path(spark.createDataFrame(n[4:], "run_id string, node string, stage string, dur_ns long"), spark.createDataFrame(e[4:], "run_id string, src string, dst string, w_ns long, stage string"))
+    assert [tuple(r) for r in tot.collect()] == [("r", 6, "y")] and {(r.node, r.cyclic) for r in path.collect()} == {("x", False), ("y", False)}
+
+
+def test_unreadable_trace_is_a_reject(spark, tmp_path):
+    from lagsleuth.sources.traces import read_trace_json
+
+    (tmp_path / "good.json").write_text('{"traceEvents": [{"ph": "X", "ts": 1, "dur": 2, "pid": 1, "tid": 1, "name": "op", "cat": "cpu_op"}]}')
+    (tmp_path / "cut.json").write_text('{"traceEvents": [{"ph": "X", "ts"')
+    (tmp_path / "none.json").write_text('{"other": 1}')
+    spans, rejects = read_trace_json(spark, str(tmp_path / "*.json"))
+    assert spans.count() == 1
+    assert sorted((r.run_id.split("/")[-1], r.reason) for r in rejects.collect()) == [("cut.json", "unreadable document"), ("none.json", "no events")]
