@@ -248,7 +248,10 @@ def indistinguishable(incidence: DataFrame, key: str) -> DataFrame:
 
 
 def path_bounds(incidence: DataFrame, paths: DataFrame, rounds: int = 3) -> DataFrame:
-    """Outer bounds of each resource's delay from additive path intervals, by fixed rounds of interval propagation.
+    """Outer bounds of each resource's delay from additive path intervals, by ``rounds`` rounds of interval propagation.
+
+    Every round is valid and none is looser than the one before; on inconsistent models the bounds would cross and drift for ever,
+    so the number of rounds is a parameter and not a test for rest.
 
     incidence: path, resource; paths: path, lo, hi. A bound of null means unlimited; lo > hi marks an inconsistent model."""
     inc = materialize(incidence.select("path", "resource").distinct().join(paths, "path"), "incidence")

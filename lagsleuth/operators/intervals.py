@@ -6,6 +6,7 @@ limitations array<string>. One row per explicit link.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -167,7 +168,9 @@ def ingest_cap(events: DataFrame, key: str, order: list[str], n: int) -> tuple[D
 
 def pin_events(events: DataFrame, request: dict) -> tuple[DataFrame, DataFrame]:
     """(kept events, coverage per source) for a history request: source_instance, sequence range, clock with time window,
-    identities, max_bytes. Bytes are taken in sequence order up to the first overflow of the source; the rest count as lost."""
+    identities, max_bytes. Rows are taken in sequence order while they fit; a row that does not fit is lost, later ones may still fit.
+
+    In each round the prefix that fits is kept, rows larger than what is left go, and the others are tried again."""
     c = F.col("source") == request["source_instance"] if request.get("source_instance") else F.lit(True)
     if request.get("sequence"):
         c = c & F.col("sequence").between(*request["sequence"])
@@ -175,11 +178,21 @@ def pin_events(events: DataFrame, request: dict) -> tuple[DataFrame, DataFrame]:
         c = c & (F.col("clock") == request["clock"]) & F.col("time").between(*request["time"])
     if request.get("identities"):
         c = c & F.col("identity").isin(*request["identities"])
-    s = materialize(scan(events.where(c), ["source"], ["sequence"], used=("sum", F.col("bytes"))), "pinned")
-    fits = F.col("used") <= request["max_bytes"]
-    cov = s.groupBy("source").agg(F.count(F.lit(1)).alias("matched"), F.count_if(~fits).alias("lost"),
-                                  F.min(F.when(fits, F.col("sequence"))).alias("first_sequence"), F.max(F.when(fits, F.col("sequence"))).alias("last_sequence"))
-    return s.where(fits).drop("used"), cov
+    found = materialize(events.where(c), "matched")
+    left = found.withColumn("room", F.lit(request["max_bytes"]).cast("long")).where(F.col("bytes") <= F.col("room"))
+    kept = []
+    while True:
+        s = materialize(scan(left, ["source"], ["sequence"], used=("sum", F.col("bytes"))), "pinned")
+        fits = F.col("used") <= F.col("room")
+        if s.isEmpty():
+            break
+        kept.append(s.where(fits).select(*events.columns))
+        room = s.groupBy("source").agg((F.min("room") - F.coalesce(F.max(F.when(fits, F.col("used"))), F.lit(0))).alias("room"))
+        left = s.where(~fits).drop("used", "room").join(room, "source").where(F.col("bytes") <= F.col("room"))
+    out = reduce(DataFrame.unionByName, kept) if kept else found.limit(0)
+    cov = found.groupBy("source").agg(F.count(F.lit(1)).alias("matched"))
+    taken = out.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("sequence").alias("first_sequence"), F.max("sequence").alias("last_sequence"))
+    return out, cov.join(taken, "source", "left").select("source", "matched", (F.col("matched") - F.coalesce("n", F.lit(0))).alias("lost"), "first_sequence", "last_sequence")
 
 
 def look_schedule(looks: DataFrame) -> DataFrame:

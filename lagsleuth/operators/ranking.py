@@ -1,6 +1,9 @@
 """Calibrated scores, incident memory, measurement choice. Small models travel as literal columns, never as shared state."""
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import STAGES, jaccard
@@ -66,7 +69,6 @@ def temperature_curve(logits: DataFrame, grid: list[float]) -> DataFrame:
 def fit_temperature(logits: DataFrame, points: int = 17, rounds: int = 5) -> DataFrame:
     """One T in [.05, 20] with the least nll: grid in log T, narrowed around the best point each round.
     Each round collects only its few grid rows."""
-    import math
     lo, hi = (math.log(x) for x in T_BOUNDS)
     cached = materialize(logits.select("l", "y"), "logits")
     for _ in range(rounds):
@@ -238,7 +240,7 @@ NOT_WORD = r"[^\p{L}\p{N}_]+"
 # Weights of structure, text and graph, and inside structure.
 W_STRUCT, W_TEXT, W_GRAPH, W_VERSION, W_KERNELS, W_SYMPTOMS = 0.5, 0.3, 0.2, 0.4, 0.3, 0.3
 RECALL_THRESHOLD, SHRINK = 0.20, 2.0
-MAX_QUERIES = 1000
+BLOCK_QUERIES = 1000
 
 
 def term_counts(rows: DataFrame, ident: str) -> DataFrame:
@@ -276,23 +278,17 @@ def structured_score(qv: Column, q_kernels: Column, q_z: Column, q_n: Column, ve
     return W_VERSION * F.when(qv.eqNullSafe(version), 1.0).otherwise(0.0) + W_KERNELS * jaccard(q_kernels, kernels) + W_SYMPTOMS * cos
 
 
-def retrieve(queries: DataFrame, store: DataFrame, k: int = 3) -> DataFrame:
+def retrieve(queries: DataFrame, store: DataFrame, k: int = 3, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """The k best stored incidents per query: (qid, id, score, structured, semantic, graph, cause, rank).
 
     queries: qid, text, version, kernels, z, stage; store: id, text, version, kernels, z, stage, tier, cause, retracted.
-    Retracted rows are never ranked; only VERIFIED rows may lend their cause. The query batch rides along with the store scan, at
-    most 1000 queries at a time (more are done batch by batch); each task passes on only its k best rows per query."""
+    Retracted rows are never ranked; only VERIFIED rows may lend their cause. Queries ride along with the store scan in blocks of about ``block_queries`` (by a hash of qid, one plan
+    for any number of queries); each task passes on only its k best rows per query."""
     live = store.where("not retracted")
     sims = materialize(text_similarity(queries, live), "text-sims")
-    qs = [r for r in queries.select("qid").distinct().sort("qid").toLocalIterator()] if queries.count() > MAX_QUERIES else None
-    if qs is None:
-        return _retrieve_batch(queries, live, sims, k)
-    out = None
-    for i in range(0, len(qs), MAX_QUERIES):
-        part = queries.where(C("qid").between(qs[i]["qid"], qs[min(i + MAX_QUERIES, len(qs)) - 1]["qid"]))
-        r = _retrieve_batch(part, live, sims, k)
-        out = r if out is None else out.unionByName(r)
-    return out
+    blocks = max(1, math.ceil(queries.count() / block_queries))
+    out = [_retrieve_batch(queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i), live, sims, k) for i in range(blocks)]
+    return reduce(DataFrame.unionByName, out)
 
 
 def _retrieve_batch(queries: DataFrame, live: DataFrame, sims: DataFrame, k: int) -> DataFrame:

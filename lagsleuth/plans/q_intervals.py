@@ -216,8 +216,10 @@ def _(spark, d):
     return kept.groupBy("source").agg(F.min("rid").alias("first_rid"), F.max("rid").alias("last_rid")).join(facts, "source")
 
 
-@query("P9", "pin_events", f"""WITH {PROGRESS}, m AS (SELECT source, sequence, rid, sum(k + 10) OVER (PARTITION BY source ORDER BY sequence) AS used FROM progress WHERE clock = 'c1' AND time BETWEEN 1704500000000000 AND 1706000000000000)
-SELECT source, count(*) AS matched, count(*) FILTER (used > 20000) AS lost, min(sequence) FILTER (used <= 20000) AS first_sequence, max(sequence) FILTER (used <= 20000) AS last_sequence FROM m GROUP BY source""")
+@query("P9", "pin_events", f"""WITH {PROGRESS}, m AS (SELECT source, list({{'b': (k + 10)::BIGINT, 'used': 0::BIGINT, 'n': 0::BIGINT, 'lo': sequence::BIGINT, 'hi': sequence::BIGINT}} ORDER BY sequence) AS rs FROM progress WHERE clock = 'c1' AND time BETWEEN 1704500000000000 AND 1706000000000000 GROUP BY source),
+x AS (SELECT source, len(rs) AS matched, list_reduce(list_prepend({{'b': 0::BIGINT, 'used': 0::BIGINT, 'n': 0::BIGINT, 'lo': NULL::BIGINT, 'hi': NULL::BIGINT}}, rs),
+ lambda a, r: CASE WHEN a.used + r.b <= 20000 THEN {{'b': 0::BIGINT, 'used': a.used + r.b, 'n': a.n + 1, 'lo': coalesce(a.lo, r.lo), 'hi': r.hi}} ELSE a END) AS s FROM m)
+SELECT source, matched, matched - s.n AS lost, s.lo AS first_sequence, s.hi AS last_sequence FROM x""")
 def _(spark, d):
     e = progress(spark, d).withColumn("bytes", F.col("k") + 10)
     return I.pin_events(e, {"clock": "c1", "time": (1704500000000000, 1706000000000000), "max_bytes": 20000})[1]

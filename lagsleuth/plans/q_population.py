@@ -226,13 +226,13 @@ def _(spark, d):
 
 
 SKETCH = f"""{REQUESTS}, raw AS (SELECT arm, CASE WHEN price > 0 THEN ceil(ln(price) / ln(1.01 / 0.99))::BIGINT END AS b, count(*) AS c, min(price) AS lo FROM requests GROUP BY ALL),
-fl AS (SELECT *, max(b) OVER (PARTITION BY arm) - 127 AS fl FROM raw),
+fl AS (SELECT *, max(b) OVER (PARTITION BY arm) - 511 AS fl FROM raw),
 sk AS (SELECT arm, greatest(b, fl) AS bucket, sum(c)::BIGINT AS c, min(lo) AS lo, coalesce(max(b < fl), false) AS collapsed FROM fl GROUP BY ALL)"""
 
 
 @query("A9", "log_sketch", f"WITH {SKETCH} SELECT * FROM sk")
 def _(spark, d):
-    return Q.log_sketch(requests(spark, d), ["arm"], "price", 0.01, 128)
+    return Q.log_sketch(requests(spark, d), ["arm"], "price", 0.01, 512)
 
 
 @query("A9", "log_sketch_quantile", f"""WITH {SKETCH}, cu AS (SELECT *, sum(c) OVER (PARTITION BY arm ORDER BY bucket) AS cum, sum(c) OVER (PARTITION BY arm)::BIGINT AS n,
@@ -240,5 +240,5 @@ def _(spark, d):
 SELECT arm, s.n AS n, round(CASE WHEN s.k THEN s.m ELSE exp(s.b * ln(1.01 / .99)) * (2 / (1 + 1.01 / .99)) / 1.01 END, 4) AS lower,
  round(exp(s.b * ln(1.01 / .99)) * (2 / (1 + 1.01 / .99)) / .99, 4) AS upper, s.k AS collapsed FROM f""")
 def _(spark, d):
-    s = Q.log_sketch(requests(spark, d), ["arm"], "price", 0.01, 128)
+    s = Q.log_sketch(requests(spark, d), ["arm"], "price", 0.01, 512)
     return r6(Q.sketch_quantile(s, ["arm"], 0.95), "lower", "upper", digits=4)

@@ -327,7 +327,7 @@ def _voice(fn, *a):
 
 query("M2", "enet_scores")(_voice(M.enet_scores))
 query("M3", "gls_scores")(_voice(M.gls_scores))
-query("M4", "perm_importance")(_voice(M.perm_scores, 2))
+query("M4", "perm_importance")(_voice(M.perm_scores))
 query("M5", "additive_tree_scores")(_voice(M.tree_scores, 1))
 query("M5", "boosted_tree_scores")(_voice(M.tree_scores, 3))
 
@@ -355,5 +355,5 @@ def _(spark, d):
         raw = test.select("vec_id", "y", (F.array_position("z", F.array_max("z")) - 1).alias("r"))
         idx = F.array_position(F.array(*[F.lit(x) for x in STAGES]), C("s1")) - 1
         return raw.join(s, "vec_id").select((C("r") == C("y")).alias("hit_before"), (idx == C("y")).alias("hit_after"))
-    return M.loo_folds(i, "seed", lambda tr: R.fit_temperature(tr.select("y", F.transform("z", lambda x: F.asinh(x)).alias("l")), 9, 2).first()["temperature"], score)
+    return M.loo_folds(i, "seed", lambda tr: R.fit_temperature(tr.select("y", F.transform("z", lambda x: F.asinh(x)).alias("l"))).first()["temperature"], score)
 

@@ -289,3 +289,24 @@ def test_unreadable_trace_is_a_reject(spark, tmp_path):
     spans, rejects = read_trace_json(spark, str(tmp_path / "*.json"))
     assert spans.count() == 1
     assert sorted((r.run_id.split("/")[-1], r.reason) for r in rejects.collect()) == [("cut.json", "unreadable document"), ("none.json", "no events")]
+
+
+def test_pinning_skips_only_what_does_not_fit(spark):
+    from lagsleuth.operators.intervals import pin_events
+
+    sizes = {"a": [5, 9, 3, 2, 1, 1], "b": [20], "c": [4, 4, 4]}
+    rows = [(s, k, "c", k, n) for s, ns in sizes.items() for k, n in enumerate(ns)]
+    kept, cov = pin_events(spark.createDataFrame(rows, "source string, sequence long, clock string, time long, bytes long"), {"max_bytes": 10})
+    assert sorted((r.source, r.sequence) for r in kept.collect()) == [("a", 0), ("a", 2), ("a", 3), ("c", 0), ("c", 1)]
+    assert sorted(tuple(r) for r in cov.collect()) == [("a", 6, 3, 0, 3), ("b", 1, 1, None, None), ("c", 3, 1, 0, 1)]
+
+
+def test_retrieval_is_alike_for_any_block_size(spark):
+    from lagsleuth.operators.ranking import retrieve
+
+    z = [float(i) for i in range(8)]
+    store = spark.createDataFrame([(i, f"slow queue number{i % 5} token{i}", "v1", ["k1", f"k{i % 3}"], [x + i for x in z], "cpu", "VERIFIED", "x", False) for i in range(30)],
+                                  "id long, text string, version string, kernels array<string>, z array<double>, stage string, tier string, cause string, retracted boolean")
+    queries = store.where("id < 9").selectExpr("id qid", "text", "version", "kernels", "z", "stage")
+    rows = [sorted(tuple(r) for r in retrieve(queries, store, 3, block_queries=n).select("qid", "id", "rank").collect()) for n in (1000, 2)]
+    assert rows[0] == rows[1] and len(rows[0]) == 27
