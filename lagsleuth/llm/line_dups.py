@@ -3,7 +3,7 @@
 A line is the set of its words (A-Z in lower case). A line goes if an earlier line, in a document with a smaller id or further up in
 the same document, has a Jaccard similarity of `percent` or more; lines are judged on the input, not on what is left.
 
-1. Texts are packed into rows of some megabytes (a stored table); each row sums the counts of its words by hash slots.
+1. Texts are packed into rows of some megabytes; each row sums the counts of its words by hash slots.
 2. The counts of all rows give the rarity of every slot, a table of fixed size. Words are ordered by rarity, then by hash.
 3. Lines whose very bytes an earlier line has are found by a digest.
 4. Each other line offers the rarest words of its prefix (n - ceil(percent * n) + 1 of n words), with its size, the word's position
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lagsleuth.operators.storage import materialize
 
-from .common import SPACE, hash_spans, joined, mix, part_count, text_words, word_spans
+from .common import SPACE, digest_spans, hash_spans, joined, mix, part_count, text_words, word_spans
 from .substrings import answered, by_row, gathered, in_parts, narrow, pack, read_rows, sent_rows
 
 PERCENT = 80
@@ -89,8 +89,7 @@ class Lines:
         start = np.concatenate([[0], end[:-1] + 1]) if len(end) else end
         doc = np.searchsorted(begin, start, "right") - 1
         first = np.searchsorted(start, begin)
-        filled = np.concatenate([[0], np.cumsum(~SPACE[self.data[:-8]])])
-        has = filled[end] > filled[start]
+        has = np.logical_or.reduceat(~SPACE[self.data[:-8]], start) if len(start) else np.zeros(0, bool)
         self.n_lines = np.bincount(doc[has], minlength=len(self.texts))
         part = has & np.array([i is not None for i in self.doc_ids], bool)[doc] if len(doc) else has
         self.start, self.length, self.doc = start[part], (end - start)[part], doc[part]
@@ -125,7 +124,7 @@ class Lines:
 
     def sets(self, parts: int):
         """Distinct lines: parts, digests, which one a line is, least id of each; repeats of a line of this row."""
-        digest = hash_spans(self.data, self.start, self.length)
+        digest = digest_spans(self.data, self.start, self.length)
         part = ((mix(digest ^ self.length.astype(np.uint64)) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         order = np.lexsort((self.number, self.doc, self.id, digest, part))
         p, x, d, i = part[order], digest[order], self.doc[order], self.id[order]
@@ -292,10 +291,11 @@ def remove_similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     """doc_id, n_lines (with words), n_removed, kept (the kept lines, joined by line feeds)."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     packed = pack(rows, "doc_id", "text", word_counts)
+    packed = by_row(packed)
     size = packed.select(F.sum(F.expr("aggregate(sizes, 0L, (a, x) -> a + x)"))).first()[0] or 0
     parts = part_count(docs.sparkSession, size, part_bytes)
     steps = docs.sparkSession.sparkContext.broadcast(rarity(packed))
-    packed = by_row(packed.drop("summary"))
+    packed = packed.drop("summary")
     digests = [("part", pa.int32()), ("row", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("low", pa.int64())]
     offers = [("part", pa.int32()), ("row", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("sizes", pa.binary()), ("places", pa.binary()), ("lines", pa.binary()), ("bitmaps", pa.binary())]
 

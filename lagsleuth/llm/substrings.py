@@ -5,7 +5,7 @@ i + k and j + k are both cover places. So two equal windows share an equal ancho
 anchors (three of seven places) are looked up in the whole corpus. Windows that hold an anchor seen in two documents are extended
 to their whole length and compared by hash; of each window the least doc_id is found; later documents lose the words under it.
 
-1. Texts are packed into rows of some megabytes (a stored table, so that later passes see the same rows).
+1. Texts are packed into rows of some megabytes, which are kept for the later passes.
 2. Each row sends its distinct anchors, 32-bit hashes dealt to parts by other 32 bits; a part answers with one bit for each: seen in
    another row. A wrong yes only costs work.
 3. Each row sends its distinct candidate windows (64-bit hash within a part, parts by an independent hash, so that the bits in use
@@ -67,13 +67,14 @@ def pack(docs: DataFrame, doc_id: str, text: str, summarise=None) -> DataFrame:
             yield row()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return materialize(rows.mapInArrow(run, "row long, doc_ids array<long>, sizes array<int>, texts binary, summary binary"), "packed")
+    return rows.mapInArrow(run, "row long, doc_ids array<long>, sizes array<int>, texts binary, summary binary")
 
 
 def by_row(packed: DataFrame) -> DataFrame:
     """The packed rows, shuffled once by row and kept on the executors' disks, so that every join with answers moves answers only.
 
-    The stored table stands behind it: blocks of a lost executor are read and dealt again.
+    Row numbers and contents follow from the input's partitions alone, so blocks of a lost executor are made again alike. The
+    rows are let go with spark.catalog.clearCache().
     """
     n = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return packed.repartition(n, "row").persist(StorageLevel.DISK_ONLY)
@@ -209,10 +210,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """doc_id, n_words, n_removed, kept (binary: the kept words joined by one space)."""
     if window < PERIOD:
         raise ValueError(f"a window needs {PERIOD} words or more")
-    packed = pack(docs, doc_id, text)
+    packed = by_row(pack(docs, doc_id, text).drop("summary"))
     size = packed.select(F.sum(F.expr("aggregate(sizes, 0L, (a, x) -> a + x)"))).first()[0] or 0
     parts = part_count(docs.sparkSession, size, part_bytes)
-    packed = by_row(packed.drop("summary"))
     columns = [("part", pa.int32()), ("row", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("low", pa.int64())]
     ddl = SENT + ", low long"
 
