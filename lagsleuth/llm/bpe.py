@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import add_columns, text_bytes
+from .common import add_columns, store, text_bytes
 
 NONE = np.int32(2**31 - 1)
 MEMO_PIECES = 200_000
@@ -160,7 +160,7 @@ class Encoder:
         return [b"".join(map(get, np.frombuffer(x, "<u4").tolist())) if x else b"" for x in ids]
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
+_encoders = store()
 
 
 def encoder(path: str, pattern: str) -> Encoder:

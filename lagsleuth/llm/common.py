@@ -1,6 +1,10 @@
 """Small helpers of the operators in this subpackage."""
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -36,7 +40,10 @@ def add_columns(df: DataFrame, add: str, fn, slice_bytes: int = SLICE_BYTES) ->
     names = [f.name for f in keep] + [f.name for f in new]
     types = arrow_types(new)
 
+    owner = fn.__module__
+
     def run(batches):
+        claim(owner)
         for whole in batches:
             for b in slices(whole, slice_bytes):
                 made = [a if isinstance(a, (pa.Array, pa.ChunkedArray)) else pa.array(a, t) for a, t in zip(fn(b), types, strict=True)]
@@ -51,6 +58,28 @@ def arrow_types(schema: T.StructType) -> list[pa.DataType]:
     return [to_arrow_type(f.dataType) for f in schema]
 
 
+_owner: list[str] = []
+_stores: list[dict] = []
+
+
+def store() -> dict:
+    """What a worker process remembers from task to task for one operator; let go when another operator's tasks come."""
+    _stores.append({})
+    return _stores[-1]
+
+
+def claim(owner: str) -> None:
+    if _owner != [owner]:
+        _owner[:] = [owner]
+        for s in _stores:
+            s.clear()
+        _memo.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered up to a fixed number of words."""
 

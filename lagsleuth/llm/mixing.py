@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from lagsleuth.operators.storage import materialize
 
-from .common import slices, text_bytes
+from .common import claim, slices, text_bytes
 
 TOP_WORDS = 1 << 18
 TABLE_BITS = 22
@@ -182,6 +182,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     """(word, n) over the training documents; the end is the empty word. Rows leave a task combined."""
 
     def run(batches):
+        claim(__name__)
         seen: Counter = Counter()
 
         def rows():

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lagsleuth.operators.storage import materialize
 
-from .common import mix, part_count, slices, text_bytes, text_words
+from .common import claim, mix, part_count, slices, text_bytes, text_words
 
 WINDOW = 13
 PERIOD = 7
@@ -46,6 +46,7 @@ def pack(docs: DataFrame, doc_id: str, text: str, summarise=None) -> DataFrame:
     """Rows of about ROW_BYTES of text: row, doc_ids, sizes (bytes), texts (all texts, compressed), summary (of the texts, bytes)."""
 
     def run(batches):
+        claim(__name__)
         n, parts = 0, TaskContext.get().partitionId()
         press = zstandard.ZstdCompressor(level=3)
         held, ids, size = [], [], 0

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lagsleuth.operators.storage import shared_dir
 
-from .common import part_count, range_bounds, slices, text_bytes
+from .common import claim, part_count, range_bounds, slices, store, text_bytes
 
 PART_BYTES = 128 << 20
 SLICE_BYTES = 4 << 20
@@ -108,7 +108,7 @@ class TextEncoder:
         return out
 
 
-_encoders: dict[tuple, TextEncoder] = {}
+_encoders = store()
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, cut_at_space: bool, doc_id: str = "doc_id", text: str = "text",
@@ -124,6 +124,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, cut_at_space:
         return pd.Series(np.searchsorted(bounds, place.to_numpy(np.int64), "right").astype(np.int32))
 
     def run(batches):
+        claim(__name__)
         key = (tokenizer, end_id, cut_at_space)
         if key not in _encoders:
             _encoders[key] = TextEncoder(*key)

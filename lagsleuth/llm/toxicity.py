@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lagsleuth.operators.storage import materialize
 
-from .common import add_columns, hashed_words, mix, text_bytes
+from .common import add_columns, claim, hashed_words, mix, slices, text_bytes
 from .decontaminate import words_of
 
 TRAIN_ROWS = 10_000
@@ -69,7 +69,8 @@ def choose(rows: DataFrame, categories: list[str], least: int, features: int) ->
     ys = [f"y_{c}" for c in categories]
 
     def run(batches):
-        for b in batches:
+        claim(__name__)
+        for b in (piece for whole in batches for piece in slices(whole)):
             n, hits = Counter(), [Counter() for _ in ys]
             values = [b.column(y).to_pylist() for y in ys]
             for i, t in enumerate(text_bytes(b.column("text"))):
