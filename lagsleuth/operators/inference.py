@@ -52,21 +52,21 @@ def block_compare(blocks: DataFrame, contracts: DataFrame, key: str) -> DataFram
 EXACT_PAIRS = 16
 
 
-def paired_randomization(pairs: DataFrame, key: str, draws: int = 10000, seed: str = "0") -> DataFrame:
+def paired_randomization(pairs: DataFrame, key: str, draws: int = 10000, seed: str = "0", exact_pairs: int = EXACT_PAIRS) -> DataFrame:
     """Sign-flip test of the mean of control − treatment. Pairs: key, pair, control, treatment.
 
-    Keys with at most 16 pairs enumerate all 2^n sign vectors; larger ones use seeded draws with a Hoeffding error
-    bound, each draw a partial sum per task. Only the exact keys gather their pairs, at most 16 values."""
+    Keys with at most ``exact_pairs`` pairs enumerate all 2^n sign vectors; larger ones use ``draws`` seeded draws with a Hoeffding
+    error bound, each draw a partial sum per task. Only the exact keys gather their pairs, at most ``exact_pairs`` values."""
     d = materialize(pairs.select(key, "pair", (F.col("control") - F.col("treatment")).alias("d")), "pairs")
     stat = d.groupBy(key).agg(F.count("d").alias("n"), F.avg("d").alias("effect"))
-    small = d.join(stat.where(F.col("n") <= EXACT_PAIRS), key).groupBy(key).agg(
+    small = d.join(stat.where(F.col("n") <= exact_pairs), key).groupBy(key).agg(
         F.sort_array(F.collect_list("d")).alias("ds"), F.max("n").alias("n"), F.max("effect").alias("effect"))
     mask = F.explode(F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2.0), F.col("n")).cast("long") - 1)).alias("mask")
     bit = F.expr("aggregate(transform(ds, (x, i) -> if(shiftright(mask, i) % 2 = 1, x, -x)), 0d, (a, x) -> a + x)")
     exact = (small.select(key, "ds", "n", "effect", mask).groupBy(key, "n", "effect")
              .agg(F.count(F.lit(1)).alias("assignments"), F.count_if(bit / F.col("n") >= F.col("effect") - 1e-12).alias("extreme"))
              .select(key, "n", "effect", (F.col("extreme") / F.col("assignments")).alias("p_value"), "assignments", F.lit(0.0).alias("error_bound"), F.lit("exact").alias("method")))
-    big = d.join(stat.where(F.col("n") > EXACT_PAIRS), key)
+    big = d.join(stat.where(F.col("n") > exact_pairs), key)
     sign = F.when(F.pmod(F.xxhash64(F.lit(seed), "draw", "pair"), F.lit(2)) == 0, F.col("d")).otherwise(-F.col("d"))
     sums = big.select("*", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).groupBy(key, "n", "effect", "draw").agg(F.sum(sign).alias("s"))
     bound = F.sqrt(F.ln(F.lit(40.0)) / (2.0 * F.col("assignments")))

@@ -144,19 +144,26 @@ def _gamma_p(a: float, x: float) -> float:
         c = b + an / c or 1e-300
         h *= d * c
         if abs(d * c - 1) < 1e-15:
-            break
-    return 1.0 - lead * h
+            return 1.0 - lead * h
+    raise ArithmeticError(f"the continued fraction did not settle for a={a}, x={x}")
 
 
 def _bisect(f, lo: float, hi: float) -> float:
-    while f(hi) < 0 and hi < 1e12:
+    while f(hi) < 0:
         hi *= 2
-    for _ in range(200):
-        mid = (lo + hi) / 2
+        if hi > 1e12:
+            return math.nan
+    while lo < (mid := (lo + hi) / 2) < hi:
         lo, hi = (mid, hi) if f(mid) < 0 else (lo, mid)
     return (lo + hi) / 2
 
 
+def _each(f, a: pd.Series, b: pd.Series) -> pd.Series:
+    """One evaluation for each distinct pair of arguments."""
+    known = {k: f(*k) for k in set(zip(a, b))}
+    return pd.Series([known[k] for k in zip(a, b)])
+
+
 def chi2_ppf(p: float, df: float) -> float:
     return _bisect(lambda x: _gamma_p(df / 2, x / 2) - p, 0.0, df + 10.0)
 
@@ -174,17 +181,17 @@ def t_ppf(p: float, df: int) -> float:
 
 @pandas_udf(DoubleType())
 def chi2_quantile(p: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([chi2_ppf(a, b) for a, b in zip(p, df)])
+    return _each(chi2_ppf, p, df)
 
 
 @pandas_udf(DoubleType())
 def chi2_tail(q: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([1.0 - _gamma_p(b / 2, a / 2) for a, b in zip(q, df)])
+    return _each(lambda a, b: 1.0 - _gamma_p(b / 2, a / 2), q, df)
 
 
 @pandas_udf(DoubleType())
 def t_quantile(p: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([t_ppf(a, int(b)) for a, b in zip(p, df)])
+    return _each(lambda a, b: t_ppf(a, int(b)), p, df)
 
 
 def q_profile(cells: DataFrame, key: list[str], level: float = 0.95, rounds: int = 10) -> DataFrame:

@@ -7,10 +7,12 @@ from .ordered import join_on
 
 # Event boundaries that are understood.
 BOUNDARIES = (
-    "release ready submit socket_accept write_complete egress ingress readable complete_readable consume complete cancel outcome "
-    "retransmit ack_emit ack_arrive recovery queue_enqueue queue_dequeue switch_ingress switch_egress relay_ingress relay_release "
-    "relay_egress runnable running blocked preempt eligible link_assign access retry delivery route socket_state flow_control "
-    "migration packet_capture").split()
+    "release", "ready", "submit", "socket_accept", "write_complete", "egress", "ingress", "readable", "complete_readable",
+    "consume", "complete", "cancel", "outcome", "retransmit", "ack_emit", "ack_arrive", "recovery", "queue_enqueue",
+    "queue_dequeue", "switch_ingress", "switch_egress", "relay_ingress", "relay_release", "relay_egress", "runnable", "running",
+    "blocked", "preempt", "eligible", "link_assign", "access", "retry", "delivery", "route", "socket_state", "flow_control",
+    "migration", "packet_capture",
+)
 
 
 def _no(c: Column) -> Column:
@@ -22,7 +24,7 @@ def EVENT_RULES() -> dict[str, Column]:
     return {
         "source": F.coalesce(F.col("source_instance"), F.lit("")) == "",
         "sequence": _no(F.col("sequence") >= 0),
-        "boundary": _no(F.col("boundary").isin(BOUNDARIES)),
+        "boundary": _no(F.col("boundary").isin(*BOUNDARIES)),
         "clock": F.coalesce(F.col("clock"), F.lit("")) == "",
         "time": t.isNull() | F.isnan(t) | (F.abs(t) == float("inf")),
         "uncertainty": F.coalesce(F.col("uncertainty"), F.lit(0)) < 0,
