@@ -29,8 +29,8 @@ from lagsleuth.operators.storage import shared_dir
 from .common import claim, part_count, range_bounds, slices, store, text_bytes
 
 PART_BYTES = 128 << 20
-SLICE_BYTES = 4 << 20
-MEMO_WORDS = 800_000
+SLICE_BYTES = 3 << 20
+MEMO_WORDS = 400_000
 TOGETHER = 256
 LAYOUT = {"parquet.block.size": 64 << 20, "parquet.page.size": 128 << 10, "parquet.page.row.count.limit": 1000, "parquet.dictionary.page.size": 1 << 20,
           "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false", "parquet.enable.dictionary#ids.list.element": "true", "compression": "zstd"}
