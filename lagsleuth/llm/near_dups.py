@@ -165,6 +165,7 @@ def other_rows(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of the buckets that hold several components, dealt to blocks.
 
     Each node outside the bucket's main component (`other`) meets all rows of the bucket, in a grid of blocks of bounded size.
+    `in_main` stays what it is here when components are merged later: it says which rows never look from their side.
     """
     rows_of = shared.join(labels, "id")
     sizes = rows_of.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("size"), F.count("*").alias("comps"), F.max_by("comp", F.struct("m", "comp")).alias("main"), F.max("m").alias("main_size"))
@@ -173,7 +174,7 @@ def other_rows(shared: DataFrame, labels: DataFrame) -> DataFrame:
     each = rows_of.join(mixed, "key").withColumn("other", F.explode(F.expr("if(comp = main, array(false), array(false, true))")))
     each = each.withColumn("x", F.explode(F.when(F.col("other"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block("blocks")))))
     each = each.withColumn("y", F.explode(F.when(F.col("other"), F.array(block("other_blocks"))).otherwise(F.sequence(F.lit(0), F.col("other_blocks") - 1))))
-    return each.select("key", "x", "y", "id", "comp", "main", "other")
+    return each.select("key", "x", "y", "id", "comp", (F.col("comp") == F.col("main")).alias("in_main"), "other")
 
 
 def block_groups(batches):
@@ -210,10 +211,11 @@ class Block:
     def __init__(self, b, start, end, t, percent):
         self.id, self.comp = (b.column(c).to_numpy(zero_copy_only=False)[start:end] for c in ("id", "comp"))
         self.other = b.column("other").to_numpy(zero_copy_only=False)[start:end]
-        self.main, self.key = b.column("main")[start].as_py(), b.column("key")[start].as_py()
+        self.key = b.column("key")[start].as_py()
         self.t, self.need = t, (percent / 100 - SLACK) * t
         self.sketch = np.frombuffer(b"".join(b.column("sketch").slice(start, end - start).to_pylist()), "<u2").reshape(-1, t)
-        self.all, self.in_main = np.flatnonzero(~self.other), self.comp[~self.other] == self.main
+        self.all = np.flatnonzero(~self.other)
+        self.in_main = b.column("in_main").to_numpy(zero_copy_only=False)[start:end][self.all]
 
     def partners(self, i):
         c = self.all[(self.comp[self.all] != self.comp[i]) & ((self.id[self.all] > self.id[i]) | self.in_main)]
@@ -250,10 +252,10 @@ def marked(rows_of: DataFrame, nodes: DataFrame, t: int, percent: int) -> DataFr
                 take += (start + np.flatnonzero(more)).tolist()
                 partner += [None] * int(more.sum())
             some = b.take(pa.array(take, pa.int64()))
-            yield pa.RecordBatch.from_arrays([some.column(c) for c in ("key", "x", "y", "id", "main", "other")] + [pa.array(partner, pa.int64())], names=["key", "x", "y", "id", "main", "other", "partner"])
+            yield pa.RecordBatch.from_arrays([some.column(c) for c in ("key", "x", "y", "id", "in_main", "other")] + [pa.array(partner, pa.int64())], names=["key", "x", "y", "id", "in_main", "other", "partner"])
 
     ready = rows_of.join(nodes.select("id", "sketch"), "id").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    return materialize(ready.mapInArrow(run, "key long, x int, y int, id long, main long, other boolean, partner long"), "marked")
+    return materialize(ready.mapInArrow(run, "key long, x int, y int, id long, in_main boolean, other boolean, partner long"), "marked")
 
 
 def links_in_blocks(rows_of: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, t: int, rows: int, size: int, percent: int) -> DataFrame:

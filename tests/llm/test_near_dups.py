@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import zstandard
+from pyspark.sql import functions as F
 
 from lagsleuth.llm import near_dups as nd
 
@@ -74,3 +76,26 @@ def test_odd_tables(spark):
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in got) == [(-1, -1, True), (4, 4, True), (4, 4, True), (4, 4, True), (9, 4, False)]
     assert sorted(r.doc_id or -1 for r in nd.drop_near_duplicates(docs).collect()) == [-1, 4, 4, 4]
     assert nd.components(docs.limit(0)).count() == 0
+
+
+def test_main_component_is_renamed_by_the_best_partners(spark):
+    """The least label of the main component changes after the rows were marked; node 900 still finds its second partner there."""
+    same = lambda n: np.concatenate([np.zeros(n, "<u2"), np.ones(nd.COORDINATES - n, "<u2")])
+    far = same(nd.COORDINATES)
+    far[5:25] = 7
+    sketch = {500: same(250), 501: same(250), 502: same(250), 100: same(175), 950: far, 900: far}
+    sketch[900] = np.where(np.arange(nd.COORDINATES) < 235, far, 9).astype("<u2")
+    words = " ".join(f"w{i}" for i in range(100))
+    text = dict.fromkeys(sketch, words) | {950: "quite other words"}
+    press = zstandard.ZstdCompressor()
+    nodes = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in sketch.items()], "id long, sketch binary")
+    texts = spark.createDataFrame([(i, bytearray(press.compress(t.encode()))) for i, t in text.items()], "id long, packed binary")
+    shared = nd.band_keys(nodes, nd.COORDINATES, nd.ROWS).groupBy("key").agg(F.collect_list("id").alias("ids")).where("size(ids) = 6").select("key", F.explode("ids").alias("id"))
+    labels = spark.createDataFrame([(i, 500 if 500 <= i <= 502 else i) for i in sketch], "id long, comp long")
+    some = nd.marked(nd.other_rows(shared, labels), nodes, nd.COORDINATES, 80)
+    best = some.where("partner is not null").select(F.col("id").alias("a"), F.col("partner").alias("b")).distinct()
+    assert (900, 950) in {(r.a, r.b) for r in best.collect()}
+    labels = nd.merge(labels, nd.linked(best, texts, 2, 80))
+    assert {r.id: r.comp for r in labels.collect()} == {100: 100, 500: 100, 501: 100, 502: 100, 950: 950, 900: 900}
+    links = nd.links_in_blocks(some, labels, nodes, texts, nd.COORDINATES, nd.ROWS, 2, 80)
+    assert {r.id: r.comp for r in nd.merge(labels, links).collect()} == {100: 100, 500: 100, 501: 100, 502: 100, 950: 950, 900: 100}
