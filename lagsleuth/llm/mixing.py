@@ -2,8 +2,8 @@
 
 A text is its words (A-Z in lower case) and one end. Words are counted over all training documents. The most frequent words, the end
 and an escape have Huffman codes; any other word is spelled, after the escape, in Huffman-coded bytes. Every code bit has three
-predictions: without a context, and in two hashed contexts (words: the last one, the last two; bytes: the last two and three of
-the word), from bit counts over the training documents. Their logits are added with weights that a gate chooses: how often the two
+predictions: without a context, and in two contexts (words: the last one, the last two; bytes: the last three and five of the
+word), from bit counts over the training documents. Their logits are added with weights that a gate chooses: how often the two
 contexts have been seen, and whether a word or a byte is coded. The starting weights are learned on a fortieth of the training
 documents, which stay out of the bit counts (not of the word counts). Each document refines them while it is read: after blocks
 that double in size, each weight moves along the gradient of the bits just coded. So a score depends on the document, the corpus
@@ -12,7 +12,10 @@ counts and the starting weights only. Training documents are scored with their o
 base_score is the unigram score with additive smoothing, over exact counts: frequent words by a table of fixed largest size, all
 others by a join on the word.
 
-What is sent to tasks has a fixed largest size (top words and three tables of 2**TABLE_BITS counts); word counts stay in Spark.
+Context and symbol are packed into one 64-bit key without loss, so contexts never share counts, and the counts grow with the
+input: Spark sums them by key, one task has all symbols of a context (at most the top words) and makes from them the states of the
+code bits of each, and each part of the documents (some 2**TABLE_BITS code bits) gets the states of its own keys by a join. Only
+the top words, a table of fixed largest size, are sent to all tasks.
 
 Cases: null texts are empty (one end); a null id counts as the empty text for the hash; repeated documents are scored each; without
 training documents every word is unknown; further columns are not passed on; empty tables give empty results.
@@ -26,7 +29,6 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,9 +39,8 @@ from .common import claim, slices, text_bytes
 
 TOP_WORDS = 1 << 18
 TABLE_BITS = 22
-CHUNKS = 64
+SYMBOL_BITS, LETTER_BITS, KIND_AT = 19, 9, 58
 SLICE_BYTES = 1 << 18
-TRAIN_BYTES = 64 << 20
 FOLDS = 10
 FIRST_BLOCK = 64
 DELTA = 0.4
@@ -50,7 +51,6 @@ NEWTON, RIDGE = 5, 1.0
 LOGIT_STEP = 0.3
 LIMIT = 400_000
 ESCAPE, END, SPELL_END = 0, 1, 256
-K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
 def held_out(doc_id) -> bool:
@@ -105,8 +105,8 @@ class Coder:
             return self
         self.symbol = {w: i + 2 for i, w in enumerate(self.words)}
         self.spell = len(self.weight[0])
-        start, length, sign, node, logit, at = [], [], [], [], [], 0
-        for which, weight in enumerate(self.weight):
+        start, length, sign, node, logit, at, nodes = [], [], [], [], [], 0, 0
+        for weight in self.weight:
             code, n = huffman(weight)
             first = np.cumsum(n) - n
             owner = np.repeat(np.arange(len(n)), n)
@@ -118,7 +118,8 @@ class Coder:
             ones, all_ = np.bincount(inner, bit * weight[owner], len(key)), np.bincount(inner, weight[owner], len(key))
             logit.append(np.log((ones + DELTA) / (all_ - ones + DELTA))[inner].astype(np.float32))
             sign.append((2 * bit - 1).astype(np.float32))
-            node.append(((name.astype(np.uint64) + np.uint64(which << 40)) * K[3] >> np.uint64(32)).astype(np.uint32))
+            node.append((inner + nodes).astype(np.int32))
+            nodes += len(key)
             start.append(first + at)
             length.append(n)
             at += len(owner)
@@ -131,7 +132,7 @@ class Coder:
         return {"words": self.words, "count": self.count, "weight": self.weight, "ready": False}
 
     def units(self, docs: list[list[bytes]]):
-        """All coded symbols of the documents: symbol, two hashed contexts, document, place of the token; and symbol and document of all tokens."""
+        """All coded symbols of the documents: symbol, two keys (context and symbol), document, place of the token; and symbol and document of all tokens."""
         get = self.symbol.get
         size = np.array([len(w) + 1 for w in docs], np.int64)
         ends = np.cumsum(size)
@@ -142,10 +143,10 @@ class Coder:
         token[inner] = flat
         doc = np.repeat(np.arange(len(docs)), size)
         place = np.arange(len(token)) - np.repeat(ends - size, size)
-        last = np.where(place > 0, np.roll(token, 1), END).astype(np.uint32)
-        last2 = np.where(place > 1, np.roll(token, 2), END).astype(np.uint32)
-        one = last * np.uint32(0x9E3779B1) + np.uint32(1)
-        two = (one ^ (one >> np.uint32(15))) * np.uint32(0x85EBCA77) + last2 * np.uint32(0xC2B2AE3D)
+        last = np.where(place > 0, np.roll(token, 1), END)
+        last2 = np.where(place > 1, np.roll(token, 2), END)
+        one = last << SYMBOL_BITS | token
+        two = 1 << KIND_AT | last2 << 2 * SYMBOL_BITS | one
         where = np.flatnonzero(token == ESCAPE)
         odd = [docs[d][p] for d, p in zip(doc[where].tolist(), place[where].tolist(), strict=True)]
         n = np.array([len(w) + 1 for w in odd], np.int64)
@@ -153,29 +154,26 @@ class Coder:
         letter = np.full(int(n.sum()), SPELL_END, np.int64)
         at = np.arange(len(letter)) - np.repeat(np.cumsum(n) - n, n)
         letter[at < np.repeat(n - 1, n)] = np.frombuffer(b"".join(odd), np.uint8)
-        back = [np.where(at >= k, np.roll(letter, k), SPELL_END).astype(np.uint32) for k in (1, 2, 3, 4, 5)]
-        near = (back[0] | back[1] << np.uint32(9) | back[2] << np.uint32(18)) * np.uint32(0x27D4EB2F) + np.uint32(2)
-        far = near * np.uint32(0x165667B1) + (back[3] | back[4] << np.uint32(9)) * np.uint32(0xC2B2AE3D) + np.uint32(3)
+        back = [np.where(at >= k, np.roll(letter, k), SPELL_END) << LETTER_BITS * k for k in (1, 2, 3, 4, 5)]
+        near = 2 << KIND_AT | back[0] | back[1] | back[2] | letter
+        far = 1 << KIND_AT | near | back[3] | back[4]
         join = lambda a, b: np.concatenate([a, b])
         return join(token, letter + self.spell), [join(one, near), join(two, far)], join(doc, doc[owner]), join(place, place[owner]), token, doc
 
-    def bits(self, symbol, contexts):
-        """Flat places of all code bits, how many each symbol has, and the bits' slots in the tables."""
+    def bits(self, symbol):
+        """Flat places of all code bits, how many each symbol has, where they end, and how deep each is."""
         n = self.length[symbol]
         ends = np.cumsum(n, dtype=np.int64)
-        flat = np.repeat(self.start[symbol] - (ends - n).astype(np.int32), n)
-        flat += np.arange(len(flat), dtype=np.int32)
-        node = self.node[flat]
-        slots = []
-        for c in contexts:
-            x = np.repeat(c, n)
-            x ^= node
-            x *= np.uint32(0x9E3779B1)
-            x ^= x >> np.uint32(16)
-            x *= np.uint32(0x85EBCA6B)
-            x >>= np.uint32(32 - TABLE_BITS)
-            slots.append(x)
-        return flat, n, ends, slots
+        deep = np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) - np.repeat((ends - n).astype(np.int32), n)
+        return np.repeat(self.start[symbol], n) + deep, n, ends, deep
+
+    def symbols(self, key):
+        """The symbols of packed keys."""
+        return np.where(key >> KIND_AT < 2, key & (1 << SYMBOL_BITS) - 1, (key & (1 << LETTER_BITS) - 1) + self.spell)
+
+
+def contexts(key: np.ndarray) -> np.ndarray:
+    return np.where(key >> KIND_AT < 2, key >> SYMBOL_BITS, key >> LETTER_BITS)
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -227,10 +225,6 @@ def tuning(doc_id) -> bool:
     return zlib.crc32(b"weights" if doc_id is None else b"weights%d" % doc_id if isinstance(doc_id, int) else b"weights" + str(doc_id).encode()) % TUNING == 0
 
 
-def chosen(b: pa.RecordBatch, take) -> list[list[bytes]]:
-    return [words_of(t) for i, t in zip(b.column("doc_id").to_pylist(), text_bytes(b.column("text")), strict=True) if not held_out(i) and take(i)]
-
-
 def states(two: np.ndarray) -> np.ndarray:
     """One byte for counts of (zeros, ones): confidence in the upper two bits, the logit in 64 steps below."""
     n = two.sum(axis=1)
@@ -239,58 +233,130 @@ def states(two: np.ndarray) -> np.ndarray:
     return ((np.searchsorted(CONFIDENCE, n, "right") - 1) * 64 + step).astype(np.uint8)
 
 
-def train_tables(docs: DataFrame, coder, size: int) -> list[np.ndarray]:
-    """States of all slots of both tables, from the bit counts over all training documents (but the tuning ones)."""
-    width = (1 << TABLE_BITS) // CHUNKS
+def in_parts(rows: DataFrame) -> DataFrame:
+    """doc_id, text, part, row, and use (0: held out, 1: bit counts, 2: starting weights); a part has about 2**TABLE_BITS code bits, one document at least."""
+    limit = max(1, (1 << TABLE_BITS) // 3)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        first, n, done = TaskContext.get().partitionId() << 36, 0, 0
+        for b in batches:
+            size = [len(t) + 1 for t in text_bytes(b.column("text"))]
+            ids = b.column("doc_id").to_pylist()
+            part = first + (done + np.cumsum(size, dtype=np.int64)) // limit
+            use = [0 if held_out(i) else 2 if tuning(i) else 1 for i in ids]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(part), pa.array(first + n + np.arange(len(ids))), pa.array(use, pa.int32())], names=["doc_id", "text", "part", "row", "use"])
+            n += len(ids)
+            done += sum(size)
+
+    return materialize(rows.mapInArrow(run, f"doc_id {kind}, text string, part long, row long, use int"), "parts")
+
+
+def part_keys(docs: DataFrame, coder) -> DataFrame:
+    """(part, key, n, m): the keys of each part, how often the counting and the tuning documents have them; a key can come in several rows."""
 
-    def count(batches):
-        table = [np.zeros(2 << TABLE_BITS, np.int32) for _ in range(2)]
+    def run(batches):
+        claim(__name__)
         c = coder.value.prepare()
         for whole in batches:
-            for b in slices(whole, SLICE_BYTES):
-                words = chosen(b, lambda i: not tuning(i))
-                if words:
-                    symbol, contexts, *_ = c.units(words)
-                    flat, _, _, slots = c.bits(symbol, contexts)
-                    one = (c.sign[flat] > 0).astype(np.uint32)
-                    for k in range(2):
-                        np.add.at(table[k], (slots[k] * np.uint32(2) + one).astype(np.int64), np.int32(1))
-        press = zstandard.ZstdCompressor(level=1)
-        for k in range(2):
-            for i in range(CHUNKS):
-                part = table[k][2 * i * width : 2 * (i + 1) * width]
-                data = part.astype("<u1") if part.max() < 256 else part.astype("<i4")
-                yield pa.RecordBatch.from_arrays([pa.array([k * CHUNKS + i], pa.int32()), pa.array([data.itemsize], pa.int32()), pa.array([press.compress(data.tobytes())], pa.binary())], names=["chunk", "kind", "counts"])
-
-    def add(batches):
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for i, kind, data in zip(*(b.column(x).to_pylist() for x in ("chunk", "kind", "counts")), strict=True):
-                n = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<u1" if kind == 1 else "<i4")
-                total[i] = total[i] + n if i in total else n.astype(np.int64)
-        for i, n in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([states(n.reshape(-1, 2)).tobytes()], pa.binary())], names=["chunk", "states"])
+            for b in slices(whole):
+                part, use = (b.column(x).to_numpy(zero_copy_only=False) for x in ("part", "use"))
+                texts = text_bytes(b.column("text"))
+                for p in np.unique(part):
+                    mine = np.flatnonzero(part == p)
+                    _, keys, doc, *_ = c.units([words_of(texts[i]) for i in mine.tolist()])
+                    kind = use[mine][doc]
+                    key, at = np.unique(np.concatenate(keys), return_inverse=True)
+                    n, m = (np.bincount(at, np.tile(kind == k, 2), len(key)).astype(np.int64) for k in (1, 2))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), p, np.int64)), pa.array(key), pa.array(n), pa.array(m)], names=["part", "key", "n", "m"])
+
+    return materialize(docs.mapInArrow(run, "part long, key long, n long, m long"), "part-keys")
+
+
+def whole_contexts(batches):
+    """Sorted keys with their counts, cut so that no context is parted."""
+    held = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = b.column("key").to_numpy()
+        ends = np.flatnonzero(np.diff(contexts(key))) + 1
+        first = contexts(key[:1])[0]
+        if held and contexts(held[-1][0][-1:])[0] != first:
+            ends = np.concatenate([[0], ends])
+        now = [key, b.column("n").to_numpy()]
+        if len(ends):
+            yield [np.concatenate(x) for x in zip(*held, [x[: ends[-1]] for x in now], strict=True)]
+            held = []
+            now = [x[ends[-1] :] for x in now]
+        held.append(now)
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def path_states(c: Coder, key: np.ndarray, n: np.ndarray):
+    """States of the code bits of each key, from the counts of all symbols of its context; where they end."""
+    flat, size, ends, _ = c.bits(c.symbols(key))
+    context, group = np.unique(contexts(key), return_inverse=True)
+    group = np.repeat(group, size)
+    cell, at = np.unique(group * (len(c.node) + 1) + c.node[flat], return_inverse=True)
+    weight, one = np.repeat(n, size), c.sign[flat] > 0
+    two = np.stack([np.bincount(at, weight * ~one, len(cell)), np.bincount(at, weight * one, len(cell))], axis=1)
+    return states(two)[at], ends
+
+
+def key_states(keys: DataFrame, coder) -> DataFrame:
+    """(key, states): a byte for each code bit of the key's symbol."""
+
+    def run(batches):
+        claim(__name__)
+        c = coder.value.prepare()
+        for key, n in whole_contexts(batches):
+            if not len(key):
+                continue
+            state, ends = path_states(c, key, n)
+            offsets = np.concatenate([[0], ends]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.BinaryArray.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(offsets), pa.py_buffer(state)])], names=["key", "states"])
+
+    counts = keys.groupBy("key").agg(F.sum("n").alias("n"))
+    context = F.when(F.shiftright("key", KIND_AT) < 2, F.shiftright("key", SYMBOL_BITS)).otherwise(F.shiftright("key", LETTER_BITS))
+    return materialize(counts.repartition(context).sortWithinPartitions("key").mapInArrow(run, "key long, states binary"), "states")
 
-    sent = docs.coalesce(max(1, -(-size // TRAIN_BYTES))).mapInArrow(count, "chunk int, kind int, counts binary")
-    got = {r.chunk: bytes(r.states) for r in sent.repartitionById(2 * CHUNKS, "chunk").mapInArrow(add, "chunk int, states binary").collect()}
-    empty = bytes([32]) * width
-    return [np.frombuffer(b"".join(got.get(k * CHUNKS + i, empty) for i in range(CHUNKS)), np.uint8) for k in range(2)]
+
+def with_states(docs: DataFrame, keys: DataFrame, known: DataFrame, fn, schema: str) -> DataFrame:
+    """fn(documents of a part, its keys and their states) for each part."""
+    asked = keys.select("part", "key").join(known, "key")
+    return materialize(docs.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(fn, schema), "scored")
 
 
 GATES = 2 * 4 * 4
 
 
 class Mixer:
-    """Gated weights of the three predictors."""
+    """Gated weights of the three predictors; the states of a context's code bits lie in the tables from a place on."""
 
     def __init__(self, coder: Coder, tables, start: np.ndarray):
         self.coder, self.tables, self.start = coder.prepare(), tables, start
 
-    def read(self, symbol, contexts, place_of_gates):
+    @classmethod
+    def of_part(cls, coder: Coder, asked: pa.Table, start: np.ndarray):
+        """The mixer of a part, from the keys asked for it and their states."""
+        key, first = np.unique(asked.column("key").to_numpy(), return_index=True)
+        found = asked.column("states").take(pa.array(first)).to_pylist()
+        m = cls(coder, [np.frombuffer(b"".join(found), np.uint8)] * 2, start)
+        size = np.array([len(x) for x in found], np.int64)
+        m.key, m.place = key, (np.cumsum(size) - size).astype(np.uint32)
+        return m
+
+    def places(self, keys):
+        """Where the states of the keys begin."""
+        return [self.place[np.searchsorted(self.key, k)] for k in keys]
+
+    def read(self, symbol, places, place_of_gates):
         """Sign, the three logits and the gate of every code bit; bits of each symbol."""
         c = self.coder
-        flat, n, ends, slots = c.bits(symbol, contexts)
-        state = [t[x] for t, x in zip(self.tables, slots, strict=True)]
+        flat, n, ends, deep = c.bits(symbol)
+        state = [t[np.repeat(x, n) + deep] for t, x in zip(self.tables, places, strict=True)]
         gate = np.repeat((place_of_gates + 16 * (symbol >= c.spell)).astype(np.int32), n)
         gate += state[0] >> np.uint8(6) << np.uint8(2) | state[1] >> np.uint8(6)
         logit = [((x & np.uint8(63)).view(np.int8) - np.int8(32)).astype(np.float32) * np.float32(LOGIT_STEP) for x in state]
@@ -314,7 +380,8 @@ class Mixer:
 
     def scores(self, docs: list[list[bytes]]):
         """log10 probability of each document; symbol and document of all tokens."""
-        symbol, contexts, doc, place, token, token_doc = self.coder.units(docs)
+        symbol, keys, doc, place, token, token_doc = self.coder.units(docs)
+        places = self.places(keys)
         block = np.floor(np.log2(place / FIRST_BLOCK + 1)).astype(np.int8)
         order = np.argsort(block, kind="stable")
         cuts = np.searchsorted(block[order], np.arange(int(block.max(initial=0)) + 2))
@@ -322,7 +389,7 @@ class Mixer:
         total = np.zeros(len(docs))
         for i in range(len(cuts) - 1):
             u = order[cuts[i] : cuts[i + 1]]
-            sign, logit, gate, first = self.read(symbol[u], [x[u] for x in contexts], doc[u] * GATES)
+            sign, logit, gate, first = self.read(symbol[u], [x[u] for x in places], doc[u] * GATES)
             margin = self.margin(sign, logit, gate, weights)
             lost = np.log1p(np.exp(np.minimum(-margin, np.float32(60))))
             total -= np.bincount(doc[u], np.add.reduceat(lost, first), len(docs))
@@ -331,25 +398,35 @@ class Mixer:
         return total / np.log(10), token, token_doc
 
 
-def tuned_weights(docs: DataFrame, coder, tables) -> np.ndarray:
+def tuned_weights(docs: DataFrame, keys: DataFrame, known: DataFrame, coder) -> np.ndarray:
     """Starting weights by gate: logistic regression over all bits of the tuning documents, by Newton steps."""
     weights = np.array([[1.0] * GATES, [0.1] * GATES, [0.1] * GATES])
-    marked = docs.mapInArrow(lambda batches: (b.filter(pa.array([not held_out(i) and tuning(i) for i in b.column("doc_id").to_pylist()], pa.bool_())) for b in batches), docs.schema)
-    some = materialize(marked, "tuning")
+
+    def bits(rows, asked):
+        claim(__name__)
+        m, out = Mixer.of_part(coder.value, asked, np.zeros(0)), []
+        for b in rows.combine_chunks().to_batches():
+            for piece in slices(b, SLICE_BYTES):
+                symbol, k, *_ = m.coder.units([words_of(t) for t in text_bytes(piece.column("text"))])
+                _, n, _, deep = m.coder.bits(symbol)
+                out.append([symbol.astype("<i4").tobytes(), *(t[np.repeat(x, n) + deep].tobytes() for t, x in zip(m.tables, m.places(k), strict=True))])
+        return pa.table([pa.array(x, pa.binary()) for x in zip(*out, strict=True)] or [pa.array([], pa.binary())] * 3, names=["symbol", "one", "two"])
+
+    some = with_states(docs.where("use = 2").select("part", "text"), keys.where("m > 0"), known, bits, "symbol binary, one binary, two binary")
     cells = [(i, j) for i in range(3) for j in range(i, 3)]
 
     def step(start):
         def run(batches):
-            m, sums = Mixer(coder.value, tables.value, start), np.zeros((9, GATES))
-            for whole in batches:
-                for b in slices(whole, SLICE_BYTES):
-                    words = chosen(b, tuning)
-                    if words:
-                        symbol, contexts, *_ = m.coder.units(words)
-                        sign, logit, gate, _ = m.read(symbol, contexts, np.zeros(len(symbol), np.int64))
-                        missed = 1 / (1 + np.exp(m.margin(sign, logit, gate, start)))
-                        sums[:3] += [np.bincount(gate, sign * missed * x, GATES) for x in logit]
-                        sums[3:] += [np.bincount(gate, missed * (1 - missed) * logit[i] * logit[j], GATES) for i, j in cells]
+            c, sums = coder.value.prepare(), np.zeros((9, GATES))
+            for b in batches:
+                for symbol, *state in zip(*(b.column(x).to_pylist() for x in ("symbol", "one", "two")), strict=True):
+                    symbol = np.frombuffer(symbol, "<i4")
+                    m = Mixer(c, [np.frombuffer(x, np.uint8) for x in state], start)
+                    first = (np.cumsum(c.length[symbol], dtype=np.int64) - c.length[symbol]).astype(np.uint32)
+                    sign, logit, gate, _ = m.read(symbol, [first, first], np.zeros(len(symbol), np.int64))
+                    missed = 1 / (1 + np.exp(m.margin(sign, logit, gate, start)))
+                    sums[:3] += [np.bincount(gate, sign * missed * x, GATES) for x in logit]
+                    sums[3:] += [np.bincount(gate, missed * (1 - missed) * logit[i] * logit[j], GATES) for i, j in cells]
             yield pa.RecordBatch.from_arrays([pa.array(range(GATES), pa.int32()), pa.array(sums.T.tolist(), pa.list_(pa.float64()))], names=["gate", "sums"])
 
         parts = some.mapInArrow(run, "gate int, sums array<double>").select("gate", F.posexplode("sums").alias("at", "x")).groupBy("gate", "at").agg(F.sum("x").alias("x"))
@@ -370,6 +447,8 @@ def tuned_weights(docs: DataFrame, coder, tables) -> np.ndarray:
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", top_words: int = TOP_WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
+    if top_words + 2 >= 1 << SYMBOL_BITS:
+        raise ValueError(f"top_words must be below {(1 << SYMBOL_BITS) - 2}")
     context = docs.sparkSession.sparkContext
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     counts = count_words(rows)
@@ -378,18 +457,21 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", top_words
     best = [(bytes(r.word), r.n) for r in top.collect()]
     coder = Coder([w for w, _ in best], [n for _, n in best], ends, total - ends - sum(n for _, n in best), byte_counts(counts, top))
     sent = context.broadcast(coder)
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    tables = context.broadcast(train_tables(rows, sent, size))
-    start = tuned_weights(rows, sent, tables)
+    parts = in_parts(rows)
+    keys = part_keys(parts, sent)
+    known = key_states(keys, sent)
+    start = tuned_weights(parts, keys, known, sent)
     under = np.log10(total + 0.1 * (distinct + 1))
     token_score = np.log10(coder.count + 0.1) - under
     kind = docs.schema[doc_id].dataType.simpleString()
 
-    def run(batches):
-        mixer, count = Mixer(sent.value, tables.value, start), sent.value.count
+    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, n_bytes long, words array<binary>, times array<long>"
+
+    def run(part, asked):
+        claim(__name__)
+        mixer, count, made = Mixer.of_part(sent.value, asked, start), sent.value.count, []
         known_words = mixer.coder.symbol
-        part, n = TaskContext.get().partitionId(), 0
-        for whole in batches:
+        for whole in part.combine_chunks().to_batches():
             for b in slices(whole, SLICE_BYTES):
                 ids = b.column("doc_id").to_pylist()
                 raw = text_bytes(b.column("text"))
@@ -399,13 +481,13 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", top_words
                 base = np.bincount(doc, np.where(symbol == ESCAPE, 0.0, token_score[symbol]), minlength=len(ids))
                 known = np.bincount(doc, (symbol != ESCAPE) & (count[symbol] > 0), minlength=len(ids)).astype(np.int64)
                 rare = [Counter(w for w in ws if w not in known_words) for ws in words]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part << 36 | (n + i) for i in range(len(ids))]), b.column("doc_id"), pa.array(out), pa.array([len(w) + 1 for w in words], pa.int64()), pa.array(known), pa.array(base), pa.array(scores),
+                made.append(pa.RecordBatch.from_arrays(
+                    [b.column("row"), b.column("doc_id"), pa.array(out), pa.array([len(w) + 1 for w in words], pa.int64()), pa.array(known), pa.array(base), pa.array(scores),
                      pa.array([len(t) for t in raw], pa.int64()), pa.array([list(r) for r in rare], pa.list_(pa.binary())), pa.array([list(r.values()) for r in rare], pa.list_(pa.int64()))],
-                    names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "n_bytes", "words", "times"])
-                n += len(ids)
+                    names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "n_bytes", "words", "times"]))
+        return pa.Table.from_batches(made)
 
-    scored = materialize(rows.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, n_bytes long, words array<binary>, times array<long>"), "scored")
+    scored = with_states(parts.drop("use"), keys, known, run, schema)
     rare = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     rare = rare.join(counts, "word", "left").groupBy("row").agg(F.sum(F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1)) - F.lit(float(under)))).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"))
     return scored.drop("words", "times").join(rare, "row", "left").select(

@@ -66,3 +66,28 @@ def test_no_training_rows(spark):
     assert [(r.n_known, r.train_tokens, r.base_score) for r in got] == [(0, 0, 0.0)] * 3
     assert mx.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert mx.score(spark.createDataFrame([(None, "a b"), (None, None), (1, "b a")], "doc_id long, text string")).count() == 3
+
+
+def test_states_are_exact_counts_of_each_context(spark, monkeypatch):
+    """However many contexts there are, none sees the counts of another one; parts of one document give the same scores."""
+    rng = random.Random(5)
+    words = [b"%d" % i for i in range(300)]
+    coder = mx.Coder(words, list(range(300, 0, -1)), 50, 5, np.arange(257)).prepare()
+    docs = [[rng.choice(words) for _ in range(40)] + [b"odd%d" % i] for i in range(80)]
+    symbol, keys, *_ = coder.units(docs)
+    key, at = np.unique(np.concatenate(keys), return_inverse=True)
+    n = np.bincount(at)
+    state, ends = mx.path_states(coder, key, n)
+    count: dict = {}
+    for k, m, s in zip(key.tolist(), n.tolist(), coder.symbols(key).tolist(), strict=True):
+        path = tuple(coder.sign[coder.start[s] : coder.start[s] + coder.length[s]].tolist())
+        for d, bit in enumerate(path):
+            count.setdefault((int(mx.contexts(np.array([k]))[0]), path[:d]), [0, 0])[int(bit > 0)] += m
+    for k, s, a, b in zip(key.tolist(), coder.symbols(key).tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+        path = tuple(coder.sign[coder.start[s] : coder.start[s] + coder.length[s]].tolist())
+        want = mx.states(np.array([count[int(mx.contexts(np.array([k]))[0]), path[:d]] for d in range(len(path))]))
+        assert state[a:b].tolist() == want.tolist()
+    frame = spark.createDataFrame([(i, b" ".join(d).decode()) for i, d in enumerate(docs)], "doc_id long, text string").repartition(2)
+    whole = {r.doc_id: r.score for r in mx.score(frame, top_words=250).collect()}
+    monkeypatch.setattr(mx, "TABLE_BITS", 6)
+    assert {r.doc_id: r.score for r in mx.score(frame, top_words=250).collect()} == pytest.approx(whole, rel=1e-4)
