@@ -1,4 +1,5 @@
 import random
+from math import comb
 
 import numpy as np
 import zstandard
@@ -83,7 +84,7 @@ def test_main_component_is_renamed_by_the_best_partners(spark):
     same = lambda n: np.concatenate([np.zeros(n, "<u2"), np.ones(nd.COORDINATES - n, "<u2")])
     far = same(nd.COORDINATES)
     far[5:25] = 7
-    sketch = {500: same(250), 501: same(250), 502: same(250), 100: same(175), 950: far, 900: far}
+    sketch = {500: same(250), 501: same(250), 502: same(250), 100: same(173), 950: far, 900: far}
     sketch[900] = np.where(np.arange(nd.COORDINATES) < 235, far, 9).astype("<u2")
     words = " ".join(f"w{i}" for i in range(100))
     text = dict.fromkeys(sketch, words) | {950: "quite other words"}
@@ -99,3 +100,10 @@ def test_main_component_is_renamed_by_the_best_partners(spark):
     assert {r.id: r.comp for r in labels.collect()} == {100: 100, 500: 100, 501: 100, 502: 100, 950: 950, 900: 900}
     links = nd.links_in_blocks(some, labels, nodes, texts, nd.COORDINATES, nd.ROWS, 2, 80)
     assert {r.id: r.comp for r in nd.merge(labels, links).collect()} == {100: 100, 500: 100, 501: 100, 502: 100, 950: 950, 900: 100}
+
+
+def test_sketch_threshold_loses_less_than_the_bands():
+    """Of pairs of similarity 0.8."""
+    need = (0.8 - nd.SLACK) * nd.COORDINATES
+    below = sum(comb(nd.COORDINATES, k) * 0.8**k * 0.2 ** (nd.COORDINATES - k) for k in range(nd.COORDINATES) if k < need)
+    assert below < 1e-10 < (1 - 0.8**nd.ROWS) ** (nd.COORDINATES // nd.ROWS) < 2.5e-9
