@@ -5,8 +5,9 @@ and an escape have Huffman codes; any other word is spelled, after the escape, i
 predictions: without a context, and in two contexts (words: the last one, the last two; bytes: the last three and five of the
 word), from bit counts over the training documents. Their logits are added with weights that a gate chooses: how often the two
 contexts have been seen, and whether a word or a byte is coded. The starting weights are learned on a fortieth of the training
-documents, which stay out of the bit counts (not of the word counts). Each document refines them while it is read: after blocks
-that double in size, each weight moves along the gradient of the bits just coded. So a score depends on the document, the corpus
+documents, against the bit counts of the others; scores use the bit counts of all. Each document refines them while it is read:
+after each block of BLOCK tokens, each weight moves along the gradient of the bits just coded, over the curvature of all its bits
+so far; texts of one block are scored with the starting weights. So a score depends on the document, the corpus
 counts and the starting weights only. Training documents are scored with their own bits in the counts, as in the base score.
 
 base_score is the unigram score with additive smoothing, over exact counts: frequent words by a table of fixed largest size, all
@@ -29,6 +30,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +44,7 @@ TABLE_BITS = 22
 SYMBOL_BITS, LETTER_BITS, KIND_AT = 19, 9, 58
 SLICE_BYTES = 1 << 18
 FOLDS = 10
-FIRST_BLOCK = 64
+BLOCK = 32
 DELTA = 0.4
 CONFIDENCE = np.array([0, 1, 3, 16])
 QUARTER, REST = 0.25, 60.0
@@ -221,7 +223,7 @@ def byte_counts(counts: DataFrame, top: DataFrame) -> np.ndarray:
 
 
 def tuning(doc_id) -> bool:
-    """A fortieth of the training documents: they set the starting weights and stay out of the bit counts."""
+    """A fortieth of the training documents: they set the starting weights, against the bit counts of the others."""
     return zlib.crc32(b"weights" if doc_id is None else b"weights%d" % doc_id if isinstance(doc_id, int) else b"weights" + str(doc_id).encode()) % TUNING == 0
 
 
@@ -284,7 +286,7 @@ def whole_contexts(batches):
         first = contexts(key[:1])[0]
         if held and contexts(held[-1][0][-1:])[0] != first:
             ends = np.concatenate([[0], ends])
-        now = [key, b.column("n").to_numpy()]
+        now = [key, *(b.column(x).to_numpy() for x in ("n", "m"))]
         if len(ends):
             yield [np.concatenate(x) for x in zip(*held, [x[: ends[-1]] for x in now], strict=True)]
             held = []
@@ -294,38 +296,41 @@ def whole_contexts(batches):
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
-def path_states(c: Coder, key: np.ndarray, n: np.ndarray):
-    """States of the code bits of each key, from the counts of all symbols of its context; where they end."""
+def path_states(c: Coder, key: np.ndarray, *counts: np.ndarray):
+    """For each of the counts, the states of the code bits of each key, from the counts of all symbols of its context; where they end."""
     flat, size, ends, _ = c.bits(c.symbols(key))
     context, group = np.unique(contexts(key), return_inverse=True)
     group = np.repeat(group, size)
     cell, at = np.unique(group * (len(c.node) + 1) + c.node[flat], return_inverse=True)
-    weight, one = np.repeat(n, size), c.sign[flat] > 0
-    two = np.stack([np.bincount(at, weight * ~one, len(cell)), np.bincount(at, weight * one, len(cell))], axis=1)
-    return states(two)[at], ends
+    one, out = c.sign[flat] > 0, []
+    for n in counts:
+        weight = np.repeat(n, size)
+        out.append(states(np.stack([np.bincount(at, weight * ~one, len(cell)), np.bincount(at, weight * one, len(cell))], axis=1))[at])
+    return *out, ends
 
 
 def key_states(keys: DataFrame, coder) -> DataFrame:
-    """(key, states): a byte for each code bit of the key's symbol."""
+    """(key, states, fitted): a byte for each code bit of the key's symbol; fitted without the tuning documents, for their keys."""
 
     def run(batches):
         claim(__name__)
         c = coder.value.prepare()
-        for key, n in whole_contexts(batches):
+        for key, n, m in whole_contexts(batches):
             if not len(key):
                 continue
-            state, ends = path_states(c, key, n)
-            offsets = np.concatenate([[0], ends]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.BinaryArray.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(offsets), pa.py_buffer(state)])], names=["key", "states"])
+            *both, ends = path_states(c, key, n + m, n)
+            offsets = pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32))
+            every, fitted = (pa.BinaryArray.from_buffers(pa.binary(), len(key), [None, offsets, pa.py_buffer(x)]) for x in both)
+            yield pa.RecordBatch.from_arrays([pa.array(key), every, pc.if_else(pa.array(m > 0), fitted, pa.scalar(None, pa.binary()))], names=["key", "states", "fitted"])
 
-    counts = keys.groupBy("key").agg(F.sum("n").alias("n"))
+    counts = keys.groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
     context = F.when(F.shiftright("key", KIND_AT) < 2, F.shiftright("key", SYMBOL_BITS)).otherwise(F.shiftright("key", LETTER_BITS))
-    return materialize(counts.repartition(context).sortWithinPartitions("key").mapInArrow(run, "key long, states binary"), "states")
+    return materialize(counts.repartition(context).sortWithinPartitions("key").mapInArrow(run, "key long, states binary, fitted binary"), "states")
 
 
 def with_states(docs: DataFrame, keys: DataFrame, known: DataFrame, fn, schema: str) -> DataFrame:
     """fn(documents of a part, its keys and their states) for each part."""
-    asked = keys.select("part", "key").join(known, "key")
+    asked = keys.select("part", "key").join(known.select("key", "states"), "key")
     return materialize(docs.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(fn, schema), "scored")
 
 
@@ -371,21 +376,22 @@ class Mixer:
         return z
 
     @staticmethod
-    def learn(weights, sign, logit, gate, margin):
-        """Move each weight by a damped Newton step of its own over the coded bits."""
+    def learn(weights, curve, sign, logit, gate, margin):
+        """Move each weight by a damped Newton step of its own over the coded bits; `curve` adds up what each weight has seen."""
         error = sign / (1 + np.exp(margin))
         for k in range(3):
             push = np.bincount(gate, error * logit[k], len(weights[k]))
-            weights[k] += (push / (QUARTER * np.bincount(gate, logit[k] * logit[k], len(push)) + REST)).astype(np.float32)
+            curve[k] += np.bincount(gate, logit[k] * logit[k], len(push))
+            weights[k] += (push / (QUARTER * curve[k] + REST)).astype(np.float32)
 
     def scores(self, docs: list[list[bytes]]):
         """log10 probability of each document; symbol and document of all tokens."""
         symbol, keys, doc, place, token, token_doc = self.coder.units(docs)
         places = self.places(keys)
-        block = np.floor(np.log2(place / FIRST_BLOCK + 1)).astype(np.int8)
+        block = place // BLOCK
         order = np.argsort(block, kind="stable")
         cuts = np.searchsorted(block[order], np.arange(int(block.max(initial=0)) + 2))
-        weights = [np.tile(self.start[k], len(docs)) for k in range(3)]
+        weights, curve = [np.tile(self.start[k], len(docs)) for k in range(3)], np.zeros((3, GATES * len(docs)))
         total = np.zeros(len(docs))
         for i in range(len(cuts) - 1):
             u = order[cuts[i] : cuts[i + 1]]
@@ -394,7 +400,7 @@ class Mixer:
             lost = np.log1p(np.exp(np.minimum(-margin, np.float32(60))))
             total -= np.bincount(doc[u], np.add.reduceat(lost, first), len(docs))
             if i + 2 < len(cuts):
-                self.learn(weights, sign, logit, gate, margin)
+                self.learn(weights, curve, sign, logit, gate, margin)
         return total / np.log(10), token, token_doc
 
 
@@ -412,7 +418,7 @@ def tuned_weights(docs: DataFrame, keys: DataFrame, known: DataFrame, coder) ->
                 out.append([symbol.astype("<i4").tobytes(), *(t[np.repeat(x, n) + deep].tobytes() for t, x in zip(m.tables, m.places(k), strict=True))])
         return pa.table([pa.array(x, pa.binary()) for x in zip(*out, strict=True)] or [pa.array([], pa.binary())] * 3, names=["symbol", "one", "two"])
 
-    some = with_states(docs.where("use = 2").select("part", "text"), keys.where("m > 0"), known, bits, "symbol binary, one binary, two binary")
+    some = with_states(docs.where("use = 2").select("part", "text"), keys.where("m > 0"), known.where("fitted is not null").select("key", F.col("fitted").alias("states")), bits, "symbol binary, one binary, two binary")
     cells = [(i, j) for i in range(3) for j in range(i, 3)]
 
     def step(start):

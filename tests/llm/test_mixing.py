@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lagsleuth.llm import mixing as mx
@@ -91,3 +92,33 @@ def test_states_are_exact_counts_of_each_context(spark, monkeypatch):
     whole = {r.doc_id: r.score for r in mx.score(frame, top_words=250).collect()}
     monkeypatch.setattr(mx, "TABLE_BITS", 6)
     assert {r.doc_id: r.score for r in mx.score(frame, top_words=250).collect()} == pytest.approx(whole, rel=1e-4)
+
+
+def test_tuning_documents_enter_the_counts(spark):
+    """A context that only tuning documents have is known to the scores, and not to the fit of the starting weights."""
+    coder = mx.Coder([b"a", b"b", b"c"], [9, 5, 1], 4, 2, np.arange(257))
+    _, keys, *_ = coder.prepare().units([[b"a", b"b"]])
+    rows = [(0, int(k), 0, 20) for k in np.unique(np.concatenate(keys))] + [(1, 5 << mx.SYMBOL_BITS | 2, 7, 0)]
+    got = mx.key_states(spark.createDataFrame(rows, "part long, key long, n long, m long"), spark.sparkContext.broadcast(coder)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.key == rows[-1][1]:
+            assert r.fitted is None and all(x >> 6 == 2 for x in r.states)
+        else:
+            assert all(x >> 6 == 3 for x in r.states) and all(x >> 6 == 0 for x in r.fitted)
+
+
+def test_weights_are_refined_after_each_block(monkeypatch):
+    coder = mx.Coder([b"a", b"b", b"c"], [9, 5, 1], 4, 2, np.arange(257))
+    docs = [[b"a", b"b"] * 30, [b"c"] * 10, [b"a"] * 1000]
+    _, keys, *_ = coder.prepare().units(docs)
+    key, at = np.unique(np.concatenate(keys), return_inverse=True)
+    state, *_, ends = mx.path_states(coder, key, np.bincount(at))
+    start, learned, learn = np.full((3, mx.GATES), 0.3, np.float32), [], mx.Mixer.learn
+    mixer = mx.Mixer.of_part(coder, pa.table({"key": key, "states": [state[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]}), start)
+    monkeypatch.setattr(mx.Mixer, "learn", staticmethod(lambda *a: learned.append(1) or learn(*a)))
+    refined = mixer.scores(docs)[0]
+    assert len(learned) == 1000 // 32
+    monkeypatch.setattr(mx.Mixer, "learn", staticmethod(lambda *a: None))
+    fixed = mixer.scores(docs)[0]
+    assert refined[1] == fixed[1] and refined[0] > fixed[0] and refined[2] > fixed[2]
