@@ -8,7 +8,7 @@ in no item break every match, so only runs of item words that are as long as the
 Documents are not shuffled. Items are sent to the tasks in blocks of a bounded size; the documents are passed once for each block.
 
 Cases: null or word-free texts have no words; null or word-free items have no window; a null item id counts as the empty string;
-repeated items count once for each distinct id; repeated documents are judged one by one; further columns are kept (one with an
+repeated items are one item for each distinct id and text; repeated documents are judged one by one; further columns are kept (one with an
 output's name is replaced); empty tables give an empty result or no match.
 """
 from __future__ import annotations
@@ -177,7 +177,7 @@ def find_block(docs: DataFrame, rows: list[tuple[str, bytes]], window: int, text
 def find(docs: DataFrame, items: DataFrame, item_id: str = "item_id", item_text: str = "text", text: str = "text", window: int = WINDOW,
          block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Adds n_words, n_hit (words inside a match) and matches (item, its first matching word, place in the document, length)."""
-    clean = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
+    clean = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t")).distinct()
     size = clean.agg(F.sum(utf8_size(F.col("t")) + utf8_size(F.col("i")))).first()[0] or 0
     blocks = -(-size // block_bytes) or 1
     for k in range(blocks):

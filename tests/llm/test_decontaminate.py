@@ -46,3 +46,11 @@ def test_empty_tables_and_remove(spark):
     assert dc.find(docs.limit(0), none).count() == 0
     one = spark.createDataFrame([(1, "B c")], "item_id long, text string")
     assert [tuple(r) for r in dc.remove(docs, one).collect()] == [(None, "k l")]
+
+
+def test_repeated_items_are_one_item(spark):
+    """Else all copies come to one block, however small the blocks are, and to the matches."""
+    docs = spark.createDataFrame([(1, "x p a b c d e f q")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "z a b c d e f y")] * 50 + [(8, "z a b c d e f y")], "item_id long, text string")
+    m = dc.find(docs, items, window=3, block_bytes=100).first().matches
+    assert sorted(tuple(x) for x in m) == [("7", 1, 2, 6), ("8", 1, 2, 6)]
