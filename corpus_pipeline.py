@@ -21,11 +21,11 @@ def drop_toxic(spark, docs, sf_dir):
 
 
 def drop_repeated_lines(spark, docs, sf_dir):
-    """Rows that share an id with another row stay as they are."""
+    """Rows that share an id are told apart by their texts."""
     lost = F.col("n_removed") > 0
-    cleaned = line_dups.remove_similar_lines(docs).select("doc_id", F.when(lost, F.col("kept")).alias("kept"), (~lost | (F.col("n_lines") > F.col("n_removed"))).alias("some"))
-    once = cleaned.groupBy("doc_id").agg(F.count("*").alias("times"), F.first("kept").alias("kept"), F.first("some").alias("some"))
-    joined = docs.join(once.where("times = 1 and (kept is not null or not some)"), "doc_id", "left").where(F.coalesce("some", F.lit(True)))
+    cleaned = line_dups.remove_similar_lines(docs, digest=True).select("doc_id", "sha256", F.when(lost, F.col("kept")).alias("kept"), (~lost | (F.col("n_lines") > F.col("n_removed"))).alias("some"))
+    once = cleaned.where("kept is not null or not some").groupBy("doc_id", "sha256").agg(F.first("kept").alias("kept"), F.first("some").alias("some"))
+    joined = docs.withColumn("sha256", F.sha2(F.coalesce("text", F.lit("")), 256)).join(once, ["doc_id", "sha256"], "left").where(F.coalesce("some", F.lit(True)))
     changed = joined.withColumn("text", F.coalesce("kept", "text")).withColumn("n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept").cast("long")))
     return changed.select(*docs.columns)
 

@@ -22,6 +22,8 @@ any; a row with the same id in another row of the table takes none; further colu
 """
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -287,8 +289,11 @@ def matched(sent: DataFrame, parts: int, percent: int) -> DataFrame:
     return materialize(back.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("alike")), "alike")
 
 
-def remove_similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, part_bytes: int = PART_BYTES) -> DataFrame:
-    """doc_id, n_lines (with words), n_removed, kept (the kept lines, joined by line feeds)."""
+def remove_similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, part_bytes: int = PART_BYTES, digest: bool = False) -> DataFrame:
+    """doc_id, n_lines (with words), n_removed, kept (the kept lines, joined by line feeds); if asked for, sha256 of the input text.
+
+    Rows of one id and text have the same result, so both tell the rows of a table apart.
+    """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     packed = pack(rows, "doc_id", "text", word_counts)
     packed = by_row(packed)
@@ -367,7 +372,9 @@ def remove_similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
             for d, k in zip(x.doc[out].tolist(), x.number[out].tolist(), strict=True):
                 drop.setdefault(d, set()).add(k)
             kept = [b"\n".join(line for k, line in enumerate(t.split(b"\n")) if k not in drop[d]) if d in drop else t for d, t in enumerate(x.texts)]
-            yield pa.RecordBatch.from_arrays([pa.array(x.doc_ids, pa.int64()), pa.array(x.n_lines, pa.int64()), pa.array([len(drop.get(d, ())) for d in range(len(kept))], pa.int64()), pa.array([k.decode() for k in kept])],
-                                             names=["doc_id", "n_lines", "n_removed", "kept"])
+            made = [pa.array(x.doc_ids, pa.int64()), pa.array(x.n_lines, pa.int64()), pa.array([len(drop.get(d, ())) for d in range(len(kept))], pa.int64()), pa.array([k.decode() for k in kept])]
+            if digest:
+                made.append(pa.array([hashlib.sha256(t).hexdigest() for t in x.texts]))
+            yield pa.RecordBatch.from_arrays(made, names=["doc_id", "n_lines", "n_removed", "kept", "sha256"][: len(made)])
 
-    return one.join(alike, "row", "left").mapInArrow(finish, "doc_id long, n_lines long, n_removed long, kept string")
+    return one.join(alike, "row", "left").mapInArrow(finish, "doc_id long, n_lines long, n_removed long, kept string" + ", sha256 string" * digest)

@@ -341,6 +341,6 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows whose document is the first of its group, with all their columns; of rows with one id and text, one."""
+    """The rows whose document is the first of its group, with all their columns; rows with one id are one document and stay or go together."""
     gone = components(docs, doc_id, text, **how).where("not kept").select("doc_id").distinct()
     return docs.join(gone.withColumnRenamed("doc_id", doc_id), doc_id, "left_anti").select(*docs.columns)

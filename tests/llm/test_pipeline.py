@@ -52,3 +52,12 @@ def test_stages(spark, tmp_path):
                 ids = np.array(library.encode_ordinary(texts[r.doc_id] or ""), "<u4")
                 assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest())
     assert corpus_pipeline.run(spark, D).columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+
+
+def test_lines_go_from_rows_that_share_an_id(spark):
+    rows = [(1, "one two three four five\nsix seven eight nine"), (5, "one two three four five\nnew words are said here"), (5, "other things stand here\nother things stand here"),
+            (5, "one two three four five\nnew words are said here"), (5, "six seven eight nine"), (6, None), (None, "one two three four five")]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text, r.n_chars) for r in corpus_pipeline.drop_repeated_lines(spark, docs, D).collect()), key=str)
+    want = [(1, rows[0][1]), (5, "new words are said here"), (5, "new words are said here"), (5, "other things stand here"), (None, "one two three four five")]
+    assert [x for x in got if x[0] != 6] == sorted(((i, t, len(t)) for i, t in want), key=str)
