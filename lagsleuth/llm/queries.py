@@ -4,11 +4,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dups, mixing, near_dups, sharding, substrings, token_files, toxicity, winnowing
+from . import bpe, decontaminate, line_dups, mixing, near_dups, pieces, sharding, substrings, token_files, toxicity, winnowing
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 WORD_TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 SHARDS = 40
 SQL: dict[str, str] = {}
 
@@ -123,4 +124,10 @@ def op3_winnowing(spark, d):
     return winnowing.compare_with_next(table(spark, d, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_context_mixing, op3_winnowing, op4_substrings, op5_sharding, op6_byte_bpe, op7_near_dups, op8_line_dups, op9_toxicity, op10_decontamination)}
+def op11_sentencepiece(spark, d):
+    coded = pieces.round_trip(table(spark, d, "documents").select("doc_id", "text"), public_tokenizers.path(PIECES))
+    return coded.select("doc_id", "n_tokens", F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_context_mixing, op3_winnowing, op4_substrings, op5_sharding, op6_byte_bpe, op7_near_dups, op8_line_dups, op9_toxicity, op10_decontamination,
+                                  op11_sentencepiece)}
