@@ -22,9 +22,9 @@ from .common import add_columns, store
 
 MARK = "▁"
 MEMO_CHUNKS = 300_000
-MEMO_CHARS = 64
+MEMO_BYTES = 64
 SLICE_BYTES = 4 << 20
-ONE_CHUNK = re.compile(f"[ {MARK}]*[^ {MARK}]+|[ {MARK}]+").findall
+SPACE = 32
 #: Texts that tell whether a model's normalizer only marks spaces.
 PROBES = ("a", " a  b ", "\t\n\r\x0b\x0c", "\x00\x1f\x7f\x85\xa0", "\xe9 e\u0301 \ufb01 \uff21 \u3000\u200b\u200d\ufeff \xad", "A\u0130\xdf")
 
@@ -37,45 +37,60 @@ class Segmenter:
         pieces = (self.library.id_to_piece(i) for i in range(self.library.vocab_size()))
         plain = all(self.library.normalize(t) == MARK + t.replace(" ", MARK) for t in PROBES)
         self.by_chunk = plain and not any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
-        self.memo: dict[str, np.ndarray] = {}
+        self.memo: dict[bytes, list[int]] = {}
 
-    def segment(self, chunks: list[str]) -> list[np.ndarray]:
+    def segment(self, chunks: list[bytes]) -> list[list[int]]:
         """Ids of each chunk. The library sets the first marker of a chunk itself, but none before nothing."""
-        found = self.library.encode([c[1:] for c in chunks], num_threads=1)
+        found = self.library.encode([c[1:].decode() for c in chunks], num_threads=1)
         alone = [self.library.piece_to_id(MARK)]
-        return [np.array(alone if len(c) == 1 else ids, np.int32) for c, ids in zip(chunks, found, strict=True)]
+        return [alone if len(c) == 1 else ids for c, ids in zip(chunks, found, strict=True)]
 
-    def rows(self, chunks: list[str]) -> list[np.ndarray]:
+    def rows(self, chunks: list[bytes]) -> list[list[int]]:
         new = [c for c in chunks if c not in self.memo]
         made = dict(zip(new, self.segment(new), strict=True))
         out = [made[c] if c in made else self.memo[c] for c in chunks]
         if len(self.memo) + len(made) > MEMO_CHUNKS:
             self.memo = {}
         if len(made) <= MEMO_CHUNKS:
-            self.memo.update((c, ids) for c, ids in made.items() if len(c) <= MEMO_CHARS)
+            self.memo.update((c, ids) for c, ids in made.items() if len(c) <= MEMO_BYTES)
         return out
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts in a row, and how many each text has."""
         if not self.by_chunk:
-            ids = [np.array(x, np.int32) for x in self.library.encode([t or "" for t in texts], num_threads=1)]
-            return np.concatenate([np.zeros(0, np.int32), *ids]), np.array([len(x) for x in ids], np.int64)
-        cut = [ONE_CHUNK(" " + t.replace(MARK, " ")) if t else [] for t in texts]
-        number: dict[str, int] = {}
-        count = np.array([len(c) for c in cut], np.int64)
-        at = np.fromiter((number.setdefault(c, len(number)) for c in chain.from_iterable(cut)), np.int64, int(count.sum()))
-        del cut
-        table = self.rows(list(number))
-        size = np.array([len(x) for x in table], np.int64)
+            return in_a_row(self.library.encode([t or "" for t in texts], num_threads=1))
+        chunks, count = cut([t.replace(MARK, " ").encode() if t else b"" for t in texts])
+        coded = chunks.dictionary_encode()
+        at = coded.indices.to_numpy()
+        ids, size = in_a_row(self.rows(coded.dictionary.to_pylist()))
         begin = np.cumsum(size) - size
         n = size[at]
         end = np.cumsum(n)
-        ids = np.concatenate([np.zeros(0, np.int32), *table])[np.repeat(begin[at] - end + n, n) + np.arange(int(n.sum()))]
         upto = np.concatenate([[0], end])[np.cumsum(np.concatenate([[0], count]))]
-        return ids, np.diff(upto)
+        return ids[np.repeat(begin[at] - end + n, n) + np.arange(int(n.sum()))], np.diff(upto)
 
-    def decode(self, ids: pa.ListArray) -> list[str]:
-        return [self.library.decode(x) if x else "" for x in ids.to_pylist()]
+    def decode(self, ids: np.ndarray, count: np.ndarray) -> list[str]:
+        cut_at = np.cumsum(count)[:-1]
+        return [self.library.decode(x.tolist()) if len(x) else "" for x in np.split(ids, cut_at)] if len(count) else []
+
+
+def in_a_row(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.fromiter(chain.from_iterable(rows), np.int32), np.fromiter(map(len, rows), np.int64, len(rows))
+
+
+def cut(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The chunks of all texts, a space set before each that is not empty, and how many each text has."""
+    filled = [b" " + t if t else t for t in texts]
+    size = np.fromiter(map(len, filled), np.int64, len(filled))
+    data = np.frombuffer(b"".join(filled), np.uint8)
+    space = data == SPACE
+    first = space.copy()
+    first[1:] &= ~space[:-1]
+    first[(np.cumsum(size) - size)[size > 0]] = True
+    start = np.flatnonzero(first)
+    offsets = np.append(start, len(data)).astype(np.int64)
+    chunks = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    return chunks, np.diff(np.searchsorted(start, np.concatenate([[0], np.cumsum(size)])))
 
 
 _segmenters = store()
@@ -104,7 +119,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 def decode(coded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """Adds decoded, the library's text of the ids; null ids count as none."""
-    return add_columns(coded, "decoded string", lambda b: [segmenter(path).decode(b.column(ids))])
+    return add_columns(coded, "decoded string", lambda b: [segmenter(path).decode(*in_a_row([x or [] for x in b.column(ids).to_pylist()]))])
 
 
 def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -113,7 +128,6 @@ def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     def fn(b: pa.RecordBatch):
         coder = segmenter(path)
         ids, count = coder.encode(b.column(text).to_pylist())
-        lists = as_lists(ids, count)
-        return [pa.array(count, pa.int64()), lists, coder.decode(lists)]
+        return [pa.array(count, pa.int64()), as_lists(ids, count), coder.decode(ids, count)]
 
     return add_columns(docs, "n_tokens long, ids array<int>, decoded string", fn, SLICE_BYTES)
