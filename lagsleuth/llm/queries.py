@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dups, mixing, near_dups, pieces, sharding, substrings, token_files, toxicity, winnowing
+from . import bpe, decontaminate, divergence, line_dups, merkle, mixing, near_dups, pieces, sharding, substrings, token_files, toxicity, winnowing
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -129,5 +129,70 @@ def op11_sentencepiece(spark, d):
     return coded.select("doc_id", "n_tokens", F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+MANIFEST_COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op12_merkle_manifest(spark, d):
+    docs = table(spark, d, "documents")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, merkle.text_digest(MANIFEST_COLUMNS, {"text": F.translate("text", UPPER, LOWER)}))
+    made = merkle.verified(merkle.manifest(docs, MANIFEST_COLUMNS, "source", "doc_id", tampered))
+    return made.select(F.col("own_key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified", "log_position")
+
+
+SQL["op12_merkle_manifest"] = r"""
+with recursive fields as (select *, doc_id::varchar a, n_chars::varchar b, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)),
+       lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)), lambda y, k: xor(y >> 1, 3988292384::bigint * (y & 1)))) crc from documents),
+digests as (select doc_id, source, crc, coalesce(strlen(a) || ':' || a, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(b) || ':' || b, '-') h, text from fields),
+leaves as (select doc_id, source, sha256(h || coalesce(strlen(text) || ':' || text, '-')) leaf,
+       case when xor(crc, 4294967295::bigint) % 5 = 0 then sha256(h || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) end changed from digests),
+sources as (select source, row_number() over (order by source nulls first) - 1 tree from leaves group by source),
+base as (select tree, doc_id, leaf, coalesce(changed, leaf) now, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 i from leaves join sources on leaves.source is not distinct from sources.source),
+grow as (select tree, 0 l, i, leaf h from base union all
+       select tree, l + 1, i // 16, sha256(string_agg(h, '' order by i)) from (select *, count(*) over (partition by tree) n from grow) where n > 1 group by tree, l, i // 16),
+depth as (select tree, max(l) d from grow group by tree),
+subroots as (select tree, h, d from grow join depth using (tree) where l = d),
+over_all as (select 0 l, tree i, h from subroots union all
+       select l + 1, i // 16, sha256(string_agg(h, '' order by i)) from (select *, count(*) over () n from over_all) where n > 1 group by l, i // 16),
+runs as (select tree, l, i // 16 run, list(h order by i) hs from grow group by all),
+top_runs as (select l, i // 16 run, list(h order by i) hs from over_all group by all),
+climb as (select tree, doc_id, leaf, i, 0 l, now h, '' proof from base union all
+       select c.tree, doc_id, leaf, c.i // 16, c.l + 1, sha256(array_to_string(hs[:c.i % 16] || [c.h] || hs[c.i % 16 + 2:], '')), proof || array_to_string(hs[:c.i % 16] || hs[c.i % 16 + 2:], '')
+       from climb c join depth using (tree) join runs r on r.tree = c.tree and r.l = c.l and r.run = c.i // 16 where c.l < d),
+up as (select c.tree, doc_id, leaf, s.h subroot, c.tree i, 0 l, c.h, proof from climb c join subroots s on s.tree = c.tree and c.l = s.d union all
+       select u.tree, doc_id, leaf, subroot, u.i // 16, u.l + 1, sha256(array_to_string(hs[:u.i % 16] || [u.h] || hs[u.i % 16 + 2:], '')), proof || array_to_string(hs[:u.i % 16] || hs[u.i % 16 + 2:], '')
+       from up u join top_runs r on r.l = u.l and r.run = u.i // 16 where u.l < (select max(l) from over_all)),
+ends as (select doc_id, leaf, subroot, (select h from over_all order by l desc limit 1) root, sha256(proof) proof_sha256, up.h folded_root, tree from up where up.l = (select max(l) from over_all)),
+places as (select tree, leaf, doc_id, i + i // 16 + i // 256 + i // 4096 + i // 65536 + i // 1048576 + i // 16777216 log_position from base)
+select ends.doc_id, ends.leaf, subroot, root, proof_sha256, folded_root, folded_root = root verified, log_position::bigint log_position
+from ends join places on ends.tree = places.tree and ends.leaf = places.leaf and ends.doc_id is not distinct from places.doc_id"""
+
+
+def op13_source_divergence(spark, d):
+    return divergence.audit(table(spark, d, "documents"))
+
+
+SQL["op13_source_divergence"] = r"""
+with docs as (select row_number() over () id, coalesce(lang, '') lang, coalesce(source, '') source,
+       regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') w from documents),
+terms as (select id, lang, source, unnest(w) term from docs),
+kept as (select lang, term, count(*) in_lang from terms group by 1, 2 having count(distinct id) >= 30),
+langs as (select lang, sum(in_lang) n, count(*) v from kept group by 1),
+cells as (select lang, source, term, count(*) c from terms join kept using (lang, term) group by 1, 2, 3),
+totals as (select lang, source, sum(c) n from cells group by 1, 2),
+occurring as (select distinct lang, source from docs),
+shares as (select o.lang, o.source, k.term, coalesce(c, 0) c, 1 + 1000000000::hugeint * (coalesce(c, 0) + 5) // (coalesce(t.n, 0) + 5 * v) p,
+       1 + 1000000000::hugeint * (in_lang + 5) // (langs.n + 5 * v) q
+       from occurring o join kept k on k.lang = o.lang join langs on langs.lang = o.lang left join totals t on t.lang = o.lang and t.source = o.source
+       left join cells on cells.lang = o.lang and cells.source = o.source and cells.term = k.term),
+apart as (select a.lang, a.source, b.source item, sum(abs(a.p - b.p)) f from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+pairs as (select a.lang, a.source, 'pair' part, b.source item, coalesce(f, 0)::bigint as value from occurring a join occurring b on a.lang = b.lang and a.source <> b.source
+       left join apart on apart.lang = a.lang and apart.source = a.source and apart.item = b.source),
+over as (select lang, source, 'term' part, term item, (p - q)::bigint as value from shares where c > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, encode(item)) as rank from (select * from pairs union all select * from over))
+select lang, source, part, item, value, rank::int as rank from ranked where part = 'pair' or rank <= 50"""
+
+
 QUERIES = {f.__name__: f for f in (op1_token_files, op2_context_mixing, op3_winnowing, op4_substrings, op5_sharding, op6_byte_bpe, op7_near_dups, op8_line_dups, op9_toxicity, op10_decontamination,
-                                  op11_sentencepiece)}
+                                  op11_sentencepiece, op12_merkle_manifest,
+                                  op13_source_divergence)}

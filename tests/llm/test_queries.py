@@ -15,8 +15,9 @@ def norm(rows):
 def test_query(spark, name):
     df = QUERIES[name](spark, D)
     rows = df.collect()
-    ids = [r.doc_id for r in spark.read.parquet(f"{D}/documents.parquet").select("doc_id").collect()]
-    assert sorted(r.doc_id for r in rows) == sorted(ids)
+    if "doc_id" in df.columns:
+        ids = [r.doc_id for r in spark.read.parquet(f"{D}/documents.parquet").select("doc_id").collect()]
+        assert sorted(r.doc_id for r in rows) == sorted(ids)
     if name in SQL:
         con = duckdb.connect()
         for t in ("documents", "benchmark"):
@@ -31,4 +32,4 @@ def test_registered():
     import __spark_entry__ as entry
 
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 12))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
