@@ -8,8 +8,11 @@ The distance of two sources is a sum over all kept terms, most of which occur in
 counted, not listed. Terms are dealt in blocks of TERM_BLOCK, sources in blocks of SOURCE_BLOCK; a task gets one block of terms
 and two of sources, and gives a partial sum for each pair. A row is copied once for each block of sources of its language.
 
-The vocabulary of one CountVectorizer is held by the driver and sent to the tasks. Its size is checked first: the number of distinct terms
-(approximate, before minDF) decides into how many parts terms are cut by a hash, each of about VOCABULARY_TERMS at most; each part is fitted for itself.
+Terms are cut by whole arrays. A first pass counts documents by slots of term hashes; terms in slots with fewer than minDF documents are surely
+rare and do not reach the CountVectorizer, which counts exactly what is left. The number of slots follows the size of the texts up to 2^24 (2 MB of
+bits); beyond that more rare terms pass, which costs time but changes nothing. For the vocabulary every term comes once a document, for the vectors as
+often as it occurs. The vocabulary is held by the driver and sent to the tasks, so its size is estimated first, from one of SAMPLED term hashes: it decides
+into how many parts terms are cut by their hash, each of about VOCABULARY_TERMS; each part is fitted for itself.
 
 Cases: null text, language or source counts as empty; a document without terms still makes its (language, source) occur; a language
 without kept terms has distances of 0 and no term rows; a single source has no pairs; equal values are ordered by item, as UTF-8 bytes;
@@ -21,46 +24,169 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.storage import materialize
+from .common import claim, hash_spans, joined, mix, slices, text_bytes
 
-SPLIT = "\x00"
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SPLIT = b"\x00"
 MOST = 2**31 - 1
 VOCABULARY_TERMS = 1 << 21
 TERM_BLOCK = 2048
 SOURCE_BLOCK = 128
+COUNT_BLOCK = 4096
 HELD = 1 << 21
+#: Slots that sort out rare terms: one for so many bytes of text, within these powers of two; sent in so many ranges.
+SLOT_BYTES, SLOT_BITS, SLOT_RANGES = 64, (16, 24), 512
+#: One of so many term hashes is counted exactly, to know the size of the vocabulary before it is made.
+SAMPLED = 1024
+
+LETTER = np.zeros(256, bool)
+LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+LOWERED = np.arange(256, dtype=np.uint8)
+LOWERED[0x41:0x5B] += 32
+
+
+def columns(docs: DataFrame) -> DataFrame:
+    return docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
+
+
+class Terms:
+    """All terms of the texts of a batch, in order: where they stand, whose they are, and a hash of language and term."""
+
+    def __init__(self, b: pa.RecordBatch):
+        texts = text_bytes(b.column(b.schema.get_field_index("text")))
+        langs = [x.encode() + SPLIT for x in b.column(b.schema.get_field_index("lang")).to_pylist()]
+        data, begin = joined(texts)
+        data = LOWERED[data]
+        inside = np.zeros(len(data) + 2, np.int8)
+        inside[1:-1] = LETTER[data]
+        step = np.diff(inside)
+        self.start = np.flatnonzero(step == 1)
+        self.size = np.flatnonzero(step == -1) - self.start
+        self.owner = np.searchsorted(begin, self.start, "right") - 1
+        self.n = len(texts)
+        known = {x: k for k, x in enumerate(dict.fromkeys(langs))}
+        of = np.array([known[x] for x in langs], np.int64)
+        seeds = np.array([xxhash.xxh64_intdigest(x) for x in known], np.uint64)
+        self.hash = mix(hash_spans(data, self.start, self.size) ^ seeds[of[self.owner]])
+        # the languages stand behind the texts, so that a term's two parts are cut from one array
+        self.data = np.concatenate([data, np.frombuffer(b"".join(known), np.uint8)])
+        length = np.array([len(x) for x in known], np.int64)
+        self.lang_start, self.lang_size = (len(data) + np.cumsum(length) - length)[of], length[of]
+
+    def once(self) -> np.ndarray:
+        """Places of the first of equal terms of each document."""
+        key = self.owner.astype(np.uint64) << np.uint64(40) | self.hash >> np.uint64(24)
+        order = np.argsort(key)
+        key, h = key[order], self.hash[order]
+        same = key[1:] == key[:-1]
+        if (same & (h[1:] != h[:-1])).any():  # other terms with the same 40 bits
+            order = np.lexsort((self.hash, self.owner))
+            h, owner = self.hash[order], self.owner[order]
+            same = (h[1:] == h[:-1]) & (owner[1:] == owner[:-1])
+        return np.sort(order[np.concatenate([np.ones(min(1, len(order)), bool), ~same])])
+
+    def words(self, chosen: np.ndarray) -> pa.Array:
+        """For each document the list of its chosen terms, each behind its language."""
+        owner = self.owner[chosen]
+        start = np.stack([self.lang_start[owner], self.start[chosen]], 1).ravel()
+        size = np.stack([self.lang_size[owner], self.size[chosen]], 1).ravel()
+        end = np.cumsum(size)
+        at = np.repeat(start - end + size, size) + np.arange(int(size.sum()))
+        offsets = np.concatenate([[0], end[1::2]]).astype(np.int64)
+        flat = pa.Array.from_buffers(pa.large_string(), len(chosen), [None, pa.py_buffer(offsets), pa.py_buffer(self.data[at])]).cast(pa.string())
+        lists = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=self.n))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(lists), flat)
+
+
+def slot_of(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def frequent_slots(base: DataFrame, min_df: int, bits: int) -> tuple[bytes, int]:
+    """(a bit for each slot of term hashes with at least min_df documents, about how many terms have so many).
+
+    A slot counts the documents of all its terms, so a term in an unset slot is surely rare; counts beyond min_df are cut to it."""
+    ranges = min(SLOT_RANGES, max(1, (1 << bits) // 8))
+    width = (1 << bits) // ranges
+    kind = np.uint8 if min_df < 256 else np.uint32
+
+    def count(batches):
+        claim(__name__)
+        counts = np.zeros(1 << bits, np.uint32)
+        exact: dict = {}
+        for b in (x for whole in batches for x in slices(whole)):
+            t = Terms(b)
+            h = t.hash[t.once()]
+            np.add.at(counts, slot_of(h, bits), np.uint32(1))
+            some, n = np.unique(h[h % np.uint64(SAMPLED) == 0], return_counts=True)
+            for x, k in zip(some.tolist(), n.tolist(), strict=True):
+                exact[x] = exact.get(x, 0) + k
+        cut = np.minimum(counts, min_df).astype(kind).reshape(ranges, width)
+        some = [r for r in range(ranges) if cut[r].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([cut[r].tobytes() for r in some], pa.binary()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64())], names=["range", "counts", "hash", "docs"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(exact), pa.int32()), pa.nulls(len(exact), pa.binary()), pa.array(np.array(list(exact), np.uint64).view(np.int64)), pa.array(list(exact.values()), pa.int64())], names=["range", "counts", "hash", "docs"])
+
+    def total(batches):
+        sums: dict = {}
+        for b in batches:
+            for r, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(x, kind)
+                sums[r] = np.minimum(sums[r] + own, min_df) if r in sums else own.astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.packbits(s >= min_df, bitorder="little").tobytes() for s in sums.values()], pa.binary())], names=["range", "bits"])
+
+    made = materialize(base.mapInArrow(count, "range int, counts binary, hash long, docs long"), "slots")
+    out = np.zeros((ranges, width // 8), np.uint8)
+    for r in made.where("range is not null").select("range", "counts").repartition("range").mapInArrow(total, "range int, bits binary").collect():  # at most 2 MB
+        out[r["range"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    kept = made.where("hash is not null").groupBy("hash").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_df).count()
+    return out.tobytes(), kept * SAMPLED
 
 
-def tokens(docs: DataFrame) -> DataFrame:
-    """lang, source and words: all terms, each behind its language (a term has no SPLIT, so the last one parts them)."""
-    base = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    terms = F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(TERM), F.lit(0))
-    return base.select("lang", "source", F.transform(terms, lambda t: F.concat("lang", F.lit(SPLIT), t)).alias("words"))
+def words_of(base: DataFrame, bits: int, frequent: bytes, part: int, parts: int, once: bool) -> DataFrame:
+    """lang, source and words: the terms of a part that are not surely rare, all of them or once for each document."""
 
+    def run(batches):
+        claim(__name__)
+        keep = np.frombuffer(frequent, np.uint8)
+        for b in (x for whole in batches for x in slices(whole)):
+            t = Terms(b)
+            chosen = t.once() if once else np.arange(len(t.start))
+            slot = slot_of(t.hash[chosen], bits)
+            use = (keep[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+            if parts > 1:
+                use &= t.hash[chosen] % np.uint64(parts) == part
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in ("lang", "source")] + [t.words(chosen[use])], names=["lang", "source", "words"])
 
-def parts_of_vocabulary(words: DataFrame, limit: int) -> int:
-    found = words.select(F.explode("words").alias("w")).agg(F.approx_count_distinct("w")).first()[0]
-    return -(-int(found * 1.2) // limit) or 1
+    return base.mapInArrow(run, "lang string, source string, words array<string>")
 
 
 def summed(vectors: DataFrame, most: int = HELD) -> DataFrame:
-    """(lang, source, sparse vector) -> (lang, source, number, count), summed by task; a few rows may come for one key."""
+    """(lang, source, sparse vector) -> (lang, source, number, count): sums of a task, sent in blocks of numbers, then sums of a block."""
+    packed = "lang string, source string, block int, numbers binary, counts binary"
 
     def flush(names, keys, values):
         key = np.concatenate(keys)
-        order, at = np.unique(key, return_inverse=True)
-        total = np.bincount(at, np.concatenate(values)).astype(np.int64) if len(key) else np.zeros(0, np.int64)
-        group = (order >> 32).astype(np.int64)
-        cols = [pa.DictionaryArray.from_arrays(pa.array(group, pa.int32()), pa.array([n[k] for n in names], pa.string())).cast(pa.string()) for k in (0, 1)]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array((order & 0xFFFFFFFF).astype(np.int32)), pa.array(total)], names=["lang", "source", "number", "count"])
-
-    def run(batches):
+        if not len(key):
+            return
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        count = np.add.reduceat(np.concatenate(values)[order], first).astype("<i8")
+        key = key[first]
+        cuts = np.flatnonzero(np.concatenate([[True], key[1:] // COUNT_BLOCK != key[:-1] // COUNT_BLOCK]))
+        ends = np.append(cuts[1:], len(key))
+        own = [names[k >> 32] for k in key[cuts].tolist()]
+        place = (key % COUNT_BLOCK).astype("<u2")
+        yield pa.RecordBatch.from_arrays([pa.array([n[0] for n in own], pa.string()), pa.array([n[1] for n in own], pa.string()), pa.array(((key[cuts] & 0xFFFFFFFF) // COUNT_BLOCK).astype(np.int32)),
+                                          pa.array([place[i:j].tobytes() for i, j in zip(cuts, ends, strict=True)], pa.binary()), pa.array([count[i:j].tobytes() for i, j in zip(cuts, ends, strict=True)], pa.binary())],
+                                         names=["lang", "source", "block", "numbers", "counts"])
+
+    def by_task(batches):
         known: dict = {}
         keys, values, held = [], [], 0
         for b in batches:
@@ -77,27 +203,48 @@ def summed(vectors: DataFrame, most: int = HELD) -> DataFrame:
         if known:
             yield from flush(list(known), keys, values)
 
-    return vectors.select("lang", "source", "vector").mapInArrow(run, "lang string, source string, number int, count long")
-
+    def rows(key, sums):
+        at = np.flatnonzero(sums)
+        return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(at), pa.string()), pa.array([key[1]] * len(at), pa.string()), pa.array((key[2] * COUNT_BLOCK + at).astype(np.int32)), pa.array(sums[at])],
+                                          names=["lang", "source", "number", "count"])
 
-def count_terms(words: DataFrame, min_df: int, limit: int = VOCABULARY_TERMS) -> DataFrame:
-    """(lang, source, term, count) of the kept terms that occur there, and number, the term's number in its language (stored)."""
-    parts, made = parts_of_vocabulary(words, limit), []
+    def by_block(batches):
+        key, sums = None, None
+        for b in batches:
+            for lang, source, block, numbers, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if key != (lang, source, block):
+                    if key is not None:
+                        yield rows(key, sums)
+                    key, sums = (lang, source, block), np.zeros(COUNT_BLOCK, np.int64)
+                sums[np.frombuffer(numbers, "<u2")] += np.frombuffer(counts, "<i8")
+        if key is not None:
+            yield rows(key, sums)
+
+    group = ["lang", "source", "block"]
+    sent = vectors.select("lang", "source", "vector").mapInArrow(by_task, packed)
+    return sent.repartition(*group).sortWithinPartitions(*group).mapInArrow(by_block, "lang string, source string, number int, count long")
+
+
+def count_terms(base: DataFrame, min_df: int, limit: int = VOCABULARY_TERMS, slot_bits: int | None = None) -> DataFrame:
+    """(lang, source, term, count) of the kept terms that occur there (stored)."""
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = slot_bits or min(max((size // SLOT_BYTES).bit_length(), SLOT_BITS[0]), SLOT_BITS[1])
+    frequent, kept = frequent_slots(base, min_df, bits)
+    parts, made = -(-kept // limit) or 1, []
     for k in range(parts):
-        own = words if parts == 1 else words.withColumn("words", F.filter("words", lambda w: F.pmod(F.xxhash64(w), F.lit(parts)) == k))
         try:
-            model = CountVectorizer(inputCol="words", outputCol="vector", minDF=float(min_df), vocabSize=MOST).fit(own)
+            model = CountVectorizer(inputCol="words", outputCol="vector", minDF=float(min_df), vocabSize=MOST).fit(words_of(base, bits, frequent, k, parts, once=True))
         except Exception as e:
             if "vocabulary size should be > 0" not in str(e):
                 raise
             continue  # no term is in enough documents
-        vocabulary = [w.rpartition(SPLIT) for w in model.vocabulary]
-        named = pa.table({"number": pa.array(range(len(vocabulary)), pa.int32()), "of": [v[0] for v in vocabulary], "term": [v[2] for v in vocabulary]})
-        terms = materialize(words.sparkSession.createDataFrame(named), "vocabulary")
-        counts = summed(model.transform(own)).groupBy("lang", "source", "number").agg(F.sum("count").alias("count"))
+        vocabulary = [w.rpartition(SPLIT.decode()) for w in model.vocabulary]
+        named = pa.table({"number": pa.array(range(len(vocabulary)), pa.int32()), "term": pa.array([v[2] for v in vocabulary], pa.string())})
+        terms = materialize(base.sparkSession.createDataFrame(named), "vocabulary")
+        counts = summed(model.transform(words_of(base, bits, frequent, k, parts, once=False)))
         made.append(materialize(counts.join(terms, "number").select("lang", "source", "term", "count"), "counts"))
     if not made:
-        return words.sparkSession.createDataFrame([], "lang string, source string, term string, count long")
+        return base.sparkSession.createDataFrame([], "lang string, source string, term string, count long")
     return reduce(DataFrame.unionAll, made)
 
 
@@ -146,16 +293,16 @@ def tile_sums(source_block: int):
     return run
 
 
-def audit(docs: DataFrame, min_df: int = 30, top: int = 50, limit: int = VOCABULARY_TERMS, term_block: int = TERM_BLOCK, source_block: int = SOURCE_BLOCK) -> DataFrame:
+def audit(docs: DataFrame, min_df: int = 30, top: int = 50, limit: int = VOCABULARY_TERMS, term_block: int = TERM_BLOCK, source_block: int = SOURCE_BLOCK, slot_bits: int | None = None) -> DataFrame:
     """lang, source, part, item, value, rank: `pair` compares a source with each other one of its language, `term` lists the `top`
     terms of which it has more than its language."""
-    words = tokens(docs)
-    counts = materialize(count_terms(words, min_df, limit), "term_counts")
+    base = columns(docs)
+    counts = count_terms(base, min_df, limit, slot_bits)
     numbers = counts.groupBy("lang", "term").agg(F.sum("count").alias("in_lang"))
     numbers = materialize(number_terms(numbers), "terms")
     langs = numbers.groupBy("lang").agg(F.sum("in_lang").alias("lang_total"), F.count("*").alias("kept"))
     totals = counts.groupBy("lang", "source").agg(F.sum("count").alias("total"))
-    occurring = words.select("lang", "source").distinct()
+    occurring = base.select("lang", "source").distinct()
     groups = occurring.join(totals, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0, ["total", "kept", "lang_total"])
     groups = groups.withColumn("slot", F.row_number().over(Window.partitionBy("lang").orderBy("source")).cast("long") - 1)
     groups = materialize(groups.withColumn("p0", share("0")), "groups")
