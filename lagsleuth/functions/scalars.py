@@ -32,8 +32,8 @@ def kernel_short_name(c: Column) -> Column:
 
 
 def us_to_ns(c: Column) -> Column:
-    """Microseconds as number or text to whole nanoseconds; null when not a number."""
-    return (c.try_cast("double") * 1000).cast("long")
+    """Microseconds as number or text to whole nanoseconds, in decimals (times since 1970 are beyond a double's whole numbers); null when not a number."""
+    return (c.try_cast("decimal(30,6)") * 1000).try_cast("long")
 
 
 def bounds(lo: Column, hi: Column) -> Column:

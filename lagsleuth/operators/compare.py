@@ -12,10 +12,13 @@ from .storage import materialize
 
 def matched_z(inc: DataFrame, base: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """One row per key (must include ``stage``): medians on both sides, delta and z against the baseline's spread."""
-    m = median_mad(base, keys, value).select(*keys, F.col("n").alias("n_base"), F.col("med").alias("base_med"),
-                                             F.col("mad").alias("base_mad"))
-    i = quantiles(inc, keys, value, {"inc_med": (0.5, "linear")}).withColumnRenamed("n", "n_inc")
-    return (i.join(m, keys)
+    return matched_z_of(quantiles(inc, keys, value, {"inc_med": (0.5, "linear")}), median_mad(base, keys, value), keys)
+
+
+def matched_z_of(inc: DataFrame, base: DataFrame, keys: list[str]) -> DataFrame:
+    """The same from medians: ``inc`` with inc_med and n, ``base`` with med, mad and n."""
+    m = base.select(*keys, F.col("n").alias("n_base"), F.col("med").alias("base_med"), F.col("mad").alias("base_mad"))
+    return (inc.withColumnRenamed("n", "n_inc").join(m, keys)
             .withColumn("delta", F.col("inc_med") - F.col("base_med"))
             .withColumn("z", robust_z(F.col("stage"), F.col("inc_med"), F.col("base_med"), F.col("base_mad"))))
 

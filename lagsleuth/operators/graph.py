@@ -5,14 +5,12 @@ Iterations store every round as a table (see ``storage``), so lineage stays shor
 """
 from __future__ import annotations
 
-import math
-import uuid
-
 from pyspark.sql import DataFrame, functions as F
 
+from . import paths
 from .ordered import join_on, scan
 from .quantiles import median_mad
-from .storage import materialize, shared_dir
+from .storage import materialize
 
 C = F.col
 # Device peaks and per-kernel work used by the roofline families.
@@ -81,47 +79,44 @@ def graph_tables(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges.unionByName(share.select("run_id", "e.*"))
 
 
-def critical_path(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def critical_path(nodes: DataFrame, edges: DataFrame, order: str | None = None, local_rows: int = paths.LOCAL_ROWS, block_nodes: int = paths.BLOCK_NODES) -> tuple[DataFrame, DataFrame]:
     """(total per run, path rows) of the longest path by node durations and edge waits; ties go to the lower node id.
 
-    A node passes its value on once, when all its predecessors have; each round writes only those nodes and the ones that still
-    wait. Nodes on or behind a cycle never get there: they keep their own duration and are flagged (``cyclic``). Rounds equal
-    the hops of the longest chain. The path is marked by doubling: each round joins the marked nodes with their 2^k-th predecessors."""
-    spark = nodes.sparkSession
-    own = nodes.select("run_id", "node", "dur_ns")
-    e = edges.select("run_id", "src", "dst", "w_ns").join(own.select("run_id", C("node").alias("dst"), C("dur_ns").alias("dst_dur")), ["run_id", "dst"])
+    Runs of at most ``local_rows`` nodes and edges are solved whole, many to a task; larger ones in blocks along ``order``, a numeric column
+    of nodes (their start, say), see ``paths``. Their path is marked by doubling. Nodes on or behind a cycle keep their own
+    duration and are flagged (``cyclic``); edges from or to unknown nodes do not count."""
+    own = nodes.select("run_id", "node", "dur_ns", (C(order) if order else F.xxhash64("node")).cast("double").alias("at"))
+    e = edges.groupBy("run_id", "src", "dst").agg(F.max("w_ns").alias("w_ns")).join(own.select("run_id", C("node").alias("dst"), "dur_ns"), ["run_id", "dst"])
+    e = materialize(e.select("run_id", "src", "dst", (C("w_ns") + C("dur_ns")).alias("step")), "edges")
+    sizes = own.select("run_id").unionByName(e.select("run_id")).groupBy("run_id").agg(F.count(F.lit(1)).alias("rows"))
+    large = materialize(sizes.where(C("rows") > local_rows).select("run_id"), "large-runs")
+    some = not large.isEmpty()
+    small_nodes, small_edges = (own.join(large, "run_id", "left_anti"), e.join(large, "run_id", "left_anti")) if some else (own, e)
+    state = materialize(paths.solve_small(small_nodes, small_edges), "longest")
+    end = state.groupBy("run_id").agg(F.max("dist").alias("total_ns"), F.min_by("node", F.struct(-C("dist"), C("node"))).alias("end_node"))
+    path = state.where("marked").drop("marked")
+    if some:
+        more, its = path_of_large(own.join(large, "run_id", "left_semi"), e.join(large, "run_id", "left_semi"), local_rows, block_nodes)
+        end, path = end.unionByName(more), path.unionByName(its)
+    return end, path
+
+
+def path_of_large(own: DataFrame, e: DataFrame, local_rows: int, block_nodes: int) -> tuple[DataFrame, DataFrame]:
     e = materialize(e.join(own.select("run_id", C("node").alias("src")), ["run_id", "src"], "left_semi"), "edges")
-    need = materialize(e.groupBy("run_id", C("dst").alias("node")).agg(F.count(F.lit(1)).alias("need"), F.max("dst_dur").alias("dur_ns")), "need")
-    path = f"{shared_dir(spark).rstrip('/')}/longest-{uuid.uuid4().hex}"
-    front = own.join(need, ["run_id", "node"], "left_anti").select("run_id", "node", C("dur_ns").alias("dist"), F.lit(None).cast("string").alias("prev"))
-    waiting, rounds = None, 0
-    while True:
-        front.write.parquet(f"{path}/{rounds}")
-        front = spark.read.schema(front.schema).parquet(f"{path}/{rounds}")
-        if front.isEmpty():
-            break
-        cand = (front.select("run_id", C("node").alias("src"), "dist").join(e, ["run_id", "src"])
-                .select("run_id", C("dst").alias("node"), F.lit(1).cast("long").alias("got"), (C("dist") + C("w_ns") + C("dst_dur")).alias("d"), C("src").alias("p")))
-        both = cand if waiting is None else cand.unionByName(waiting)
-        got = both.groupBy("run_id", "node").agg(F.sum("got").alias("got"), F.max("d").alias("d"), F.min_by("p", F.struct(-C("d"), C("p"))).alias("p"))
-        got = materialize(got.join(need, ["run_id", "node"]), "waiting")
-        waiting = got.where("got < need").select("run_id", "node", "got", "d", "p")
-        better = C("d") > C("dur_ns")
-        front = got.where("got = need").select("run_id", "node", F.greatest("d", "dur_ns").alias("dist"), F.when(better, C("p")).alias("prev"))
-        rounds += 1
-    done = spark.read.schema(front.schema).parquet(*[f"{path}/{k}" for k in range(rounds + 1)])
-    stuck = own.join(done, ["run_id", "node"], "left_anti").select("run_id", "node", C("dur_ns").alias("dist"), F.lit(None).cast("string").alias("prev"), F.lit(True).alias("cyclic"))
-    state = materialize(done.withColumn("cyclic", F.lit(False)).unionByName(stuck), "dist")
-    end = state.groupBy("run_id").agg(F.max("dist").alias("total_ns"), F.min_by("node", F.struct(-C("dist"), C("node"))).alias("node"))
-    jump = state.where("prev is not null").select("run_id", "node", C("prev").alias("up"))
-    marked = end.select("run_id", "node")
-    for k in range(max(1, math.ceil(math.log2(rounds + 1))) if rounds else 0):
+    done = paths.longest_large(own.withColumnRenamed("dur_ns", "least"), e, "at", local_rows, block_nodes)
+    far = materialize(own.join(done, ["run_id", "node"], "left").select("run_id", "node", "dur_ns", F.coalesce("dist", "dur_ns").alias("dist"), C("dist").isNull().alias("cyclic")), "dist")
+    into = e.join(far.where("not cyclic").select("run_id", C("node").alias("src"), C("dist").alias("from")), ["run_id", "src"])
+    best = into.groupBy("run_id", C("dst").alias("node")).agg(F.max(C("from") + C("step")).alias("d"), F.min_by("src", F.struct(-(C("from") + C("step")), C("src"))).alias("prev"))
+    state = far.join(best, ["run_id", "node"], "left").select("run_id", "node", "dist", F.when(~C("cyclic") & (C("d") > C("dur_ns")), C("prev")).alias("prev"), "cyclic")
+    state = materialize(state, "longest")
+    end = state.groupBy("run_id").agg(F.max("dist").alias("total_ns"), F.min_by("node", F.struct(-C("dist"), C("node"))).alias("end_node"))
+    jump, marked = state.where("prev is not null").select("run_id", "node", C("prev").alias("up")), end.select("run_id", C("end_node").alias("node"))
+    while not jump.isEmpty():
         step = marked.join(jump, ["run_id", "node"]).select("run_id", C("up").alias("node"))
         marked = materialize(marked.unionByName(step), "path")
         j2 = jump.select("run_id", C("node").alias("up"), C("up").alias("up2"))
         jump = materialize(jump.join(j2, ["run_id", "up"]).select("run_id", "node", C("up2").alias("up")), "jump")
-    path = marked.join(state.select("run_id", "node", "dist", "prev", "cyclic"), ["run_id", "node"])
-    return end.select("run_id", "total_ns", C("node").alias("end_node")), path
+    return end, marked.join(state, ["run_id", "node"])
 
 
 def stage_cost(nodes: DataFrame, edges: DataFrame, path: DataFrame) -> DataFrame:
@@ -187,14 +182,35 @@ def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
         front = new
 
 
+def into_cycles(edges: DataFrame) -> DataFrame:
+    """(item) for the items on a cycle of (item, needs), or that need one: what is left when items that need nothing are taken off again and again.
+
+    A chain goes from both ends in a round: items that nobody left needs are set aside with the edge that they hang on, and
+    go back over these edges at the end, so only what stands between cycles is worked on in full."""
+    left = materialize(edges.select("item", "needs").distinct(), "needs")
+    aside, n = [], left.count()
+    while n:
+        kept = left.join(left.select(C("item").alias("needs")).distinct(), "needs", "left_semi").select("item", "needs")
+        kept = materialize(kept, "needs")
+        inner = materialize(kept.join(kept.select(C("needs").alias("item")).distinct(), "item", "left_semi").select("item", "needs"), "needs")
+        aside.append(kept.join(inner.select("item").distinct(), "item", "left_anti"))
+        left, before, n = inner, n, inner.count()
+        if n == before:
+            break
+    found = left.select("item").distinct()
+    for hanging in reversed(aside):
+        more = hanging.join(found.select(C("item").alias("needs")), "needs", "left_semi").select("item").distinct()
+        found = materialize(found.unionByName(more).distinct(), "into-cycles")
+    return found
+
+
 def prerequisites(actions: DataFrame, needs: DataFrame, resources: DataFrame, active: DataFrame, capabilities: list[str], budgets: dict[str, float]) -> DataFrame:
     """Bundle per action: transitive prerequisites with costs, each shared resource once; rejected with a reason.
 
     actions: id, capability; needs: item, needs; resources: id, key, seconds, bytes, perturbation; active: key.
     Missing or cyclic prerequisites, missing capabilities, unknown cost and exhausted budgets reject an action."""
     reach = closure(needs, actions.select(C("id").alias("root")))
-    strict = closure(needs, needs.select(C("needs").alias("root")).distinct())
-    cyclic = needs.join(strict.select(C("root").alias("needs"), C("item").alias("back")), "needs").where("back = item").select("item").distinct().withColumn("cyc", F.lit(True))
+    cyclic = into_cycles(needs).withColumn("cyc", F.lit(True))
     b = materialize(reach.join(actions.select(C("id").alias("item"), "capability"), "item", "left").join(cyclic, "item", "left"), "bundle")
     flags = b.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.max(F.coalesce("cyc", F.lit(False)) | C("capability").isNull()).alias("broken"),
                                   F.max(~F.coalesce(C("capability").isin(capabilities), F.lit(True))).alias("uncapable"))

@@ -1,7 +1,10 @@
 """Block comparisons, randomisation tests, stratified and paired contrasts."""
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .ordered import join_on
 from .storage import materialize
@@ -52,11 +55,48 @@ def block_compare(blocks: DataFrame, contracts: DataFrame, key: str) -> DataFram
 EXACT_PAIRS = 16
 
 
+# Multipliers that spread a pair's and a draw's number over 61 bits, and the bit that is a sign.
+SPREAD_DRAW, SPREAD, SIGN_BIT = 1442695040888963407, 2862933555777941757, 40
+
+
+def draw_sums(rows: DataFrame, key: str, draws: int) -> DataFrame:
+    """(key, n, effect, extreme): in how many draws the mean with random signs reaches the effect. rows: key, d, base, n, effect."""
+    key_type = to_arrow_type(rows.schema[key].dataType)
+    step = np.arange(1, draws + 1, dtype=np.uint64) * np.uint64(SPREAD_DRAW)
+
+    def signed(base, d):
+        bit = ((np.uint64(base) ^ step) * np.uint64(SPREAD)) >> np.uint64(SIGN_BIT) & np.uint64(1)
+        return np.where(bit == 0, d, -d)
+
+    def summed(batches, vector):
+        sums: dict = {}
+        for b in batches:
+            for k, n, effect, *x in zip(*(c.to_pylist() for c in b.columns)):
+                sums.setdefault(k, (n, effect, np.zeros(draws)))[2][:] += vector(*x)
+        return sums
+
+    def batch(found, last, last_type):
+        cols = list(zip(*found)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (key_type, pa.int64(), pa.float64(), last_type))], names=[key, "n", "effect", last])
+
+    def partial(batches):
+        yield batch([(k, n, e, v.tobytes()) for k, (n, e, v) in summed(batches, signed).items()], "sums", pa.binary())
+
+    def total(batches):
+        found = summed(batches, lambda v: np.frombuffer(v)).items()
+        yield batch([(k, n, e, int((v / n >= e - 1e-12).sum())) for k, (n, e, v) in found], "extreme", pa.int64())
+
+    head = f"`{key}` {rows.schema[key].dataType.simpleString()}, n bigint, effect double"
+    sent = rows.select(key, "n", "effect", "base", "d").mapInArrow(partial, f"{head}, sums binary")
+    return sent.repartition(key).mapInArrow(total, f"{head}, extreme bigint")
+
+
 def paired_randomization(pairs: DataFrame, key: str, draws: int = 10000, seed: str = "0", exact_pairs: int = EXACT_PAIRS) -> DataFrame:
     """Sign-flip test of the mean of control − treatment. Pairs: key, pair, control, treatment.
 
     Keys with at most ``exact_pairs`` pairs enumerate all 2^n sign vectors; larger ones use ``draws`` seeded draws with a Hoeffding
-    error bound, each draw a partial sum per task. Only the exact keys gather their pairs, at most ``exact_pairs`` values."""
+    error bound: each task keeps one vector of all draws for a key, and one row for a key and task is shuffled. The sign of a pair in a draw
+    is a bit of a product of two numbers, from md5 of seed and pair and from the draw. Only the exact keys gather their pairs, at most ``exact_pairs`` values."""
     d = materialize(pairs.select(key, "pair", (F.col("control") - F.col("treatment")).alias("d")), "pairs")
     stat = d.groupBy(key).agg(F.count("d").alias("n"), F.avg("d").alias("effect"))
     small = d.join(stat.where(F.col("n") <= exact_pairs), key).groupBy(key).agg(
@@ -67,11 +107,10 @@ def paired_randomization(pairs: DataFrame, key: str, draws: int = 10000, seed: s
              .agg(F.count(F.lit(1)).alias("assignments"), F.count_if(bit / F.col("n") >= F.col("effect") - 1e-12).alias("extreme"))
              .select(key, "n", "effect", (F.col("extreme") / F.col("assignments")).alias("p_value"), "assignments", F.lit(0.0).alias("error_bound"), F.lit("exact").alias("method")))
     big = d.join(stat.where(F.col("n") > exact_pairs), key)
-    sign = F.when(F.pmod(F.xxhash64(F.lit(seed), "draw", "pair"), F.lit(2)) == 0, F.col("d")).otherwise(-F.col("d"))
-    sums = big.select("*", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).groupBy(key, "n", "effect", "draw").agg(F.sum(sign).alias("s"))
-    bound = F.sqrt(F.ln(F.lit(40.0)) / (2.0 * F.col("assignments")))
-    mc = (sums.groupBy(key, "n", "effect").agg(F.count(F.lit(1)).alias("assignments"), F.count_if(F.col("s") / F.col("n") >= F.col("effect") - 1e-12).alias("extreme"))
-          .select(key, "n", "effect", ((F.col("extreme") + 1) / (F.col("assignments") + 1)).alias("p_value"), "assignments", bound.alias("error_bound"), F.lit("monte carlo").alias("method")))
+    base = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("pair").cast("string"))), 1, 15), 16, 10).cast("long")
+    sums = draw_sums(big.where("d is not null").select(key, "d", base.alias("base"), "n", "effect"), key, draws)
+    bound = F.sqrt(F.ln(F.lit(40.0)) / (2.0 * draws))
+    mc = sums.select(key, "n", "effect", ((F.col("extreme") + 1) / F.lit(draws + 1)).alias("p_value"), F.lit(draws).cast("long").alias("assignments"), bound.alias("error_bound"), F.lit("monte carlo").alias("method"))
     return exact.unionByName(mc)
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SEG, ROLE = "__seg", "__role"
+SKETCH, PIECES = 8192, 256
 
 
 def segment_rows(spark) -> int:
@@ -17,14 +18,25 @@ def segment_rows(spark) -> int:
 
 
 def with_segment(df: DataFrame, lead: str, rows: int | None = None) -> DataFrame:
-    """Add a segment number that never decreases with the numeric column ``lead``."""
-    rows = rows or segment_rows(df.sparkSession)
+    """Add a segment number that never decreases with the numeric column ``lead``.
+
+    Segments are cut at quantiles of ``lead`` over all rows, from a mergeable sketch, so outliers and crowded stretches do not make them uneven.
+    If more than ``PIECES`` are needed, each piece between two quantiles is cut into even slices. Rows are counted first; at most PIECES numbers come to the driver."""
     at = F.col(lead).cast("double")
-    pieces = F.ceil(F.count(F.lit(1)) / F.lit(rows))
-    bounds = df.agg(F.struct(F.min(at).alias("lo"),
-                             ((F.max(at) - F.min(at)) / pieces).alias("width")).alias("b")).scalar()
-    seg = F.when(bounds["width"] > 0, F.floor((at - bounds["lo"]) / bounds["width"])).otherwise(F.lit(0))
-    return df.withColumn(SEG, F.coalesce(seg, F.lit(-1)).cast("long"))
+    n = -(-df.count() // (rows or segment_rows(df.sparkSession)))
+    if n <= 1:
+        return df.withColumn(SEG, F.when(at.isNull(), -1).otherwise(0).cast("long"))
+    k, m = min(n, PIECES), -(-n // PIECES)
+    ranks = F.lit([i / k for i in range(1, k)])
+    lo, hi, cuts = df.agg(F.min(at), F.max(at), F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double(at, F.lit(SKETCH)), ranks)).first()
+    cuts = sorted(set(cuts or []))
+    piece = F.size(F.filter(F.lit(cuts), lambda c: c < at)) if cuts else F.lit(0)
+    seg = piece * m
+    if m > 1:
+        ends = F.lit([lo, *cuts, hi])
+        low, high = F.get(ends, piece), F.get(ends, piece + 1)
+        seg = seg + F.when(high > low, F.least(F.floor((at - low) / (high - low) * m), F.lit(m - 1))).otherwise(0)
+    return df.withColumn(SEG, F.when(at.isNull(), -1).otherwise(seg).cast("long"))
 
 
 def _carry(kind: str, x: str, order: Column, wk, wall) -> tuple[Column, Column]:

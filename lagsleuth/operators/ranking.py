@@ -2,11 +2,14 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.scalars import STAGES, jaccard
+from ..functions.scalars import STAGES
+from . import nearest
 from .ordered import join_on
 from .quantiles import counted_quantiles, value_counts
 from .storage import materialize
@@ -236,81 +239,73 @@ def eig_backtest(beliefs: DataFrame, counts: DataFrame, seen: DataFrame, key: st
 
 # ---- incident memory ----------------------------------------------------------------------------------------------
 
-NOT_WORD = r"[^\p{L}\p{N}_]+"
 # Weights of structure, text and graph, and inside structure.
 W_STRUCT, W_TEXT, W_GRAPH, W_VERSION, W_KERNELS, W_SYMPTOMS = 0.5, 0.3, 0.2, 0.4, 0.3, 0.3
 RECALL_THRESHOLD, SHRINK = 0.20, 2.0
-BLOCK_QUERIES = 1000
 
 
-def term_counts(rows: DataFrame, ident: str) -> DataFrame:
-    """(id, token, tf) over words of two or more characters of the whole text."""
-    tok = F.explode(F.split(F.lower("text"), NOT_WORD)).alias("token")
-    return rows.select(ident, tok).where(F.length("token") >= 2).groupBy(ident, "token").agg(F.count(F.lit(1)).alias("tf"))
+def codes(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers for the values of two columns, alike for equal values; nulls are -1."""
+    both = pa.chunked_array([*a.chunks, *b.chunks], a.type).combine_chunks().dictionary_encode()
+    got = pc.fill_null(both.indices, -1).to_numpy(zero_copy_only=False)
+    return got[: len(a)], got[len(a) :]
 
 
-def text_similarity(queries: DataFrame, store: DataFrame) -> DataFrame:
-    """(qid, id, sim): TF-IDF cosine of each query text with each stored text that shares a word; others are 0.
+class Incident:
+    """Version, kernel-set and symptom agreement, and the same regressed stage, of queries and stored incidents.
 
-    Smooth idf over the store plus the query itself. Document norms are kept for the store alone and corrected by the shared words."""
-    qt, st = term_counts(queries, "qid"), materialize(term_counts(store, "id"), "terms")
-    n1 = store.agg(F.count(F.lit(1)) + 2).scalar()
-    df = materialize(st.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "df")
-    idf = lambda c: F.ln(n1 / (c + 1.0)) + 1.0
-    norm = st.join(df, "token").groupBy("id").agg(F.sum(F.pow(C("tf") * idf(C("df")), 2)).alias("base"))
-    q = materialize(qt.join(df, "token", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("qi", idf(C("df") + 1)), "query-terms")
-    qn = q.groupBy("qid").agg(F.sum(F.pow(C("tf") * C("qi"), 2)).alias("qn"))
-    m = q.select("qid", "token", C("tf").alias("qtf"), "qi", "df").join(st, "token").groupBy("qid", "id").agg(
-        F.sum(C("qtf") * C("tf") * C("qi") * C("qi")).alias("dot"), F.sum(C("tf") * C("tf") * (C("qi") * C("qi") - F.pow(idf(C("df")), 2))).alias("fix"))
-    return m.join(norm, "id").join(qn, "qid").select("qid", "id", (C("dot") / F.sqrt(C("qn")) / F.sqrt(C("base") + C("fix"))).alias("sim"))
+    Two missing versions are alike, missing stages are not; a missing or zero symptom vector and an empty kernel set agree with nothing."""
 
+    schema = "structured double, graph double, tier string, cause string"
 
-def _norm(z: Column) -> Column:
-    return F.sqrt(F.aggregate(z, F.lit(0.0), lambda s, x: s + x * x))
+    def parts(self, queries: pa.Table, docs: pa.Table):
+        (qv, dv), (qs, ds) = codes(queries["version"], docs["version"]), codes(queries["stage"], docs["stage"])
+        qk, dk = ([set(x or ()) for x in t["kernels"].to_pylist()] for t in (queries, docs))
+        name = {n: i for i, n in enumerate(set().union(*qk))}
+        hot = []
+        for sets in (qk, dk):
+            m = np.zeros((len(sets), len(name)))
+            for i, x in enumerate(sets):
+                m[i, [name[n] for n in x if n in name]] = 1.0
+            hot.append((m, np.array([len(x) for x in sets], float)))
+        unit = []
+        for t in (queries, docs):
+            z = np.array([(list(x or ()) + [None] * len(STAGES))[: len(STAGES)] for x in t["z"].to_pylist()], float).reshape(-1, len(STAGES))
+            n = np.sqrt(np.square(z).sum(axis=1))
+            unit.append(np.where((n > 0)[:, None], z, 0.0) / np.where(n > 0, n, 1.0)[:, None])
+        return (qv, dv), (qs, ds), hot, unit
 
+    def agree(self, version, inter, union, cos):
+        return W_VERSION * version + W_KERNELS * np.where(union > 0, inter / np.where(union > 0, union, 1.0), 0.0) + W_SYMPTOMS * np.maximum(0.0, cos)
 
-def structured_score(qv: Column, q_kernels: Column, q_z: Column, q_n: Column, version: Column, kernels: Column, z: Column, n: Column) -> Column:
-    """Version, kernel-set and symptom agreement; the vector norms come ready so that each pair costs eight products."""
-    dot = F.lit(0.0)
-    for i in range(len(STAGES)):
-        dot = dot + F.get(q_z, i) * F.get(z, i)
-    cos = F.when((q_n > 0) & (n > 0), F.greatest(F.lit(0.0), dot / (q_n * n))).otherwise(0.0)
-    return W_VERSION * F.when(qv.eqNullSafe(version), 1.0).otherwise(0.0) + W_KERNELS * jaccard(q_kernels, kernels) + W_SYMPTOMS * cos
+    def __call__(self, queries: pa.Table, docs: pa.Table):
+        (qv, dv), (qs, ds), ((qm, qn), (dm, dn)), (qz, dz) = self.parts(queries, docs)
 
+        def scores(first, number):
+            d = slice(first, first + number)
+            inter = dm[d] @ qm.T
+            s = self.agree(dv[d, None] == qv, inter, dn[d, None] + qn - inter, dz[d] @ qz.T)
+            return W_STRUCT * s + W_GRAPH * ((ds[d, None] == qs) & (qs >= 0))
 
-def retrieve(queries: DataFrame, store: DataFrame, k: int = 3, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+        return scores
+
+    def out(self, queries: pa.Table, docs: pa.Table, q: np.ndarray, d: np.ndarray):
+        if not len(q):
+            return {"structured": pa.nulls(0, pa.float64()), "graph": pa.nulls(0, pa.float64()), "tier": pa.nulls(0, pa.string()), "cause": pa.nulls(0, pa.string())}
+        (qv, dv), (qs, ds), ((qm, qn), (dm, dn)), (qz, dz) = self.parts(queries, docs)
+        inter = (dm[d] * qm[q]).sum(axis=1)
+        s = self.agree(dv[d] == qv[q], inter, dn[d] + qn[q] - inter, (dz[d] * qz[q]).sum(axis=1))
+        return {"structured": s, "graph": ((ds[d] == qs[q]) & (qs[q] >= 0)).astype(float), "tier": docs["tier"].take(d), "cause": docs["cause"].take(d)}
+
+
+def retrieve(queries: DataFrame, store: DataFrame, k: int = 3, query_block: int = nearest.QUERY_BLOCK, store_block: int = nearest.STORE_BLOCK) -> DataFrame:
     """The k best stored incidents per query: (qid, id, score, structured, semantic, graph, cause, rank).
 
     queries: qid, text, version, kernels, z, stage; store: id, text, version, kernels, z, stage, tier, cause, retracted.
-    Retracted rows are never ranked; only VERIFIED rows may lend their cause. Queries ride along with the store scan in blocks of about ``block_queries`` (by a hash of qid, one plan
-    for any number of queries); each task passes on only its k best rows per query."""
-    live = store.where("not retracted")
-    sims = materialize(text_similarity(queries, live), "text-sims")
-    blocks = max(1, math.ceil(queries.count() / block_queries))
-    out = [_retrieve_batch(queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i), live, sims, k) for i in range(blocks)]
-    return reduce(DataFrame.unionByName, out)
-
-
-def _retrieve_batch(queries: DataFrame, live: DataFrame, sims: DataFrame, k: int) -> DataFrame:
-    q = queries.select("qid", C("version").alias("q_version"), C("kernels").alias("q_kernels"), C("z").alias("q_z"), _norm(C("z")).alias("q_n"), C("stage").alias("q_stage"))
-    d = live.select("id", "version", "kernels", "z", _norm(C("z")).alias("n"), "stage", "tier", "cause")
-    st = structured_score(C("q_version"), C("q_kernels"), C("q_z"), C("q_n"), C("version"), C("kernels"), C("z"), C("n"))
-    graph = F.when(C("q_stage") == C("stage"), 1.0).otherwise(0.0)
-    cols = ("qid", "id", "tier", "cause", st.alias("structured"), graph.alias("graph"))
-    hit = sims.join(q, "qid").join(d, "id").select(*cols, C("sim").alias("semantic"))
-    w = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "id")
-    total = W_STRUCT * C("structured") + W_TEXT * C("semantic") + W_GRAPH * C("graph")
-    top = materialize(hit.withColumn("score", total).withColumn("r", F.row_number().over(w)).where(C("r") <= k).drop("r"), "text-hits")
-    # Rows without a text match score by the rest alone, so only those that reach the k-th text match can still enter.
-    bar = top.groupBy("qid").agg(F.when(F.count(F.lit(1)) == k, F.min(F.round("score", 9))).alias("bar"))
-    q = q.join(bar, "qid", "left")
-    batch = q.agg(F.collect_list(F.struct(*q.columns)).alias("b")).scalar()
-    part = F.round(W_STRUCT * C("structured") + W_GRAPH * C("graph"), 9)
-    rest = d.select("*", F.explode(batch).alias("q")).select(*d.columns, "q.*").select(*cols, "bar").where(C("bar").isNull() | (part >= C("bar"))).drop("bar")
-    rest = rest.join(sims.select("qid", "id"), ["qid", "id"], "left_anti").withColumn("semantic", F.lit(0.0)).withColumn("score", total)
-    a = top.unionByName(rest)
-    return (a.withColumn("rank", F.row_number().over(w)).where(C("rank") <= k)
-            .select("qid", "id", "score", "structured", "semantic", "graph", F.when(C("tier") == "VERIFIED", C("cause")).alias("cause"), "rank"))
+    Retracted rows are never ranked; only VERIFIED rows may lend their cause. See ``nearest`` for the tiles of queries and store."""
+    live = store.where("not retracted").select("id", "text", "version", "kernels", "z", "stage", "tier", "cause")
+    found = nearest.k_best(queries.select("qid", "text", "version", "kernels", "z", "stage"), live, k, W_TEXT, Incident(), False, query_block, store_block)
+    return found.select("qid", "id", "score", "structured", "semantic", "graph", F.when(C("tier") == "VERIFIED", C("cause")).alias("cause"), "rank")
 
 
 def difference_card(hits: DataFrame, queries: DataFrame, store: DataFrame) -> DataFrame:

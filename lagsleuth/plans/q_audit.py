@@ -32,11 +32,11 @@ def _(spark, d):
     return A.screen_rows(p, "idx", p.where("lane = 'fr'").select("id").distinct()).select("id", "idx")
 
 
-SHARD = f"""{POPULATION}, k AS (SELECT id, min(idx) AS idx FROM population WHERE label IS NOT NULL GROUP BY id), sh AS (SELECT id, row_number() OVER (ORDER BY idx) - 1 AS pos, (row_number() OVER (ORDER BY idx) - 1) % 5 + 1 AS shard FROM k)"""
+SHARD = f"""{POPULATION}, k AS (SELECT id, min(idx) AS idx FROM population GROUP BY id), sh AS (SELECT id, row_number() OVER (ORDER BY idx) - 1 AS pos, (row_number() OVER (ORDER BY idx) - 1) % 5 + 1 AS shard FROM k)"""
 
 
 def sharded(spark, d):
-    p = A.first_wins(population(spark, d).where("label is not null"), "idx", ["id"])[0]
+    p = A.first_wins(population(spark, d), "idx", ["id"])[0]
     return A.shard_round_robin(materialize(p.select("id", C("idx").alias("src"), "owner", "lane"), "kept"), "src", 5)
 
 
@@ -117,17 +117,17 @@ def _(spark, d):
 
 
 @query("A17", "screening_counts", f"""WITH {POPULATION} SELECT lane, count(*) FILTER (outcome = 'KEEP') AS mechanisms, 0 AS "GEM", count(*) FILTER (outcome = 'KEEP') AS "KEEP", 0 AS "RESERVE", 0 AS "NEEDS_DEEP_REVIEW", count(*) FILTER (outcome = 'DROP') AS "DROP",
- count(*) FILTER (outcome = 'RETRIEVAL_FAILED') AS "RETRIEVAL_FAILED" FROM population WHERE outcome IS NOT NULL GROUP BY lane""")
+ count(*) FILTER (outcome = 'RETRIEVAL_FAILED') AS "RETRIEVAL_FAILED" FROM population GROUP BY lane""")
 def _(spark, d):
-    return A.screening_counts(population(spark, d).where("outcome is not null"), ["lane"])
+    return A.screening_counts(population(spark, d), ["lane"])
 
 
-@query("P11", "validate_records", f"""WITH {POPULATION} SELECT idx, concat_ws(';', CASE WHEN n_chars % 11 = 0 THEN 'wrong id' END, CASE WHEN outcome = 'DROP' AND n_chars % 5 = 0 THEN 'terminal fields' END, CASE WHEN outcome <> 'DROP' AND n_chars % 7 = 0 THEN 'classification' END,
- CASE WHEN outcome <> 'DROP' AND lane = 'de' THEN 'lanes' END, CASE WHEN outcome <> 'DROP' AND n_chars % 5 NOT IN (1, 2, 3) THEN 'passages' END,
- CASE WHEN outcome = 'RETRIEVAL_FAILED' AND n_chars % 7 > 0 AND n_chars % 3 = 0 THEN 'question missing' END, CASE WHEN outcome = 'KEEP' AND n_chars % 7 > 0 AND n_chars % 3 > 0 THEN 'question not null' WHEN outcome <> 'DROP' AND n_chars % 7 = 0 AND n_chars % 3 > 0 THEN 'question not null' END) AS reasons
-FROM population WHERE outcome IS NOT NULL""")
+@query("P11", "validate_records", f"""WITH {POPULATION} SELECT idx, concat_ws(';', CASE WHEN n_chars % 11 = 0 THEN 'wrong id' END, CASE WHEN outcome = 'DROP' AND n_chars % 5 = 0 THEN 'terminal fields' END, CASE WHEN outcome IS DISTINCT FROM 'DROP' AND n_chars % 7 = 0 THEN 'classification' END,
+ CASE WHEN outcome IS DISTINCT FROM 'DROP' AND lane = 'de' THEN 'lanes' END, CASE WHEN outcome IS DISTINCT FROM 'DROP' AND n_chars % 5 NOT IN (1, 2, 3) THEN 'passages' END,
+ CASE WHEN coalesce(outcome, 'RETRIEVAL_FAILED') = 'RETRIEVAL_FAILED' AND n_chars % 7 > 0 AND n_chars % 3 = 0 THEN 'question missing' END, CASE WHEN outcome = 'KEEP' AND n_chars % 7 > 0 AND n_chars % 3 > 0 THEN 'question not null' WHEN outcome IS DISTINCT FROM 'DROP' AND n_chars % 7 = 0 AND n_chars % 3 > 0 THEN 'question not null' END) AS reasons
+FROM population""")
 def _(spark, d):
-    p = population(spark, d).where("outcome is not null").selectExpr(
+    p = population(spark, d).selectExpr(
         "idx", "id paper_id", "if(n_chars % 11 = 0, 'x', id) expected_id", "if(outcome = 'DROP', 'DROP', null) terminal_outcome",
         "if(n_chars % 5 = 0, array('paper_id', 'note'), array('terminal_outcome', 'paper_title', 'paper_id', 'reason')) fields",
         "if(n_chars % 7 = 0, 'GREAT', if(outcome = 'KEEP', 'KEEP', 'NEEDS_DEEP_REVIEW')) classification", "if(lane = 'de', 'B3', 'A7') primary_lane", "array('A1', 'A15') supporting_lanes",
@@ -178,10 +178,10 @@ def _(spark, d):
     return A.pair_runs(run_rows(spark, d), ["workload", "seed"], "hardware", "run_id").select("run_id", "healthy_id")
 
 
-@query("J3", "match_baseline", f"""WITH {RUN}, h AS (SELECT * FROM rn WHERE fault = 'healthy' AND hardware IS NOT NULL), f AS (SELECT * FROM rn WHERE fault <> 'healthy' AND hardware IS NOT NULL)
+@query("J3", "match_baseline", f"""WITH {RUN}, h AS (SELECT * FROM rn WHERE fault = 'healthy'), f AS (SELECT * FROM rn WHERE fault <> 'healthy')
 SELECT f.run_id, h.run_id AS baseline, CASE WHEN h.run_id IS NULL THEN 'all' ELSE 'cell' END AS pool FROM f LEFT JOIN h ON f.workload = h.workload AND f.seed = h.seed AND f.hardware = h.hardware""")
 def _(spark, d):
-    r = run_rows(spark, d).where("hardware is not null")
+    r = run_rows(spark, d)
     return A.match_baseline(r.where("fault <> 'healthy'"), r.where("fault = 'healthy'"), ["workload", "seed", "hardware"]).select("run_id", "baseline", "pool")
 
 

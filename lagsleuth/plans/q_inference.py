@@ -55,11 +55,19 @@ def _(spark, d):
     return r6(N.paired_randomization(r, "priority"), "effect", "p_value").select("priority", "n", "effect", "p_value", "assignments")
 
 
-@query("C5", "paired_randomization_draws")
+DRAWS = 10000
+
+
+@query("C5", "paired_randomization_draws", f"""WITH {REQUESTS}, pr AS (SELECT substring(block, 6, 2) || '/' || priority AS pair, round(avg(total) FILTER (arm = 'current'), 6) - round(avg(total) FILTER (arm = 'reference'), 6) AS d FROM requests GROUP BY ALL),
+o AS (SELECT count(d) AS n, avg(d) AS eff FROM pr), bs AS (SELECT d, ('0x' || substring(md5('0|' || pair), 1, 15))::BIGINT AS base FROM pr WHERE d IS NOT NULL),
+dr AS (SELECT j, j::HUGEINT * {N.SPREAD_DRAW} % 18446744073709551616 AS st FROM (SELECT unnest(range(1, {DRAWS} + 1)) AS j)),
+sg AS (SELECT j, d, xor(base::UBIGINT, st::UBIGINT)::HUGEINT * {N.SPREAD} % 18446744073709551616 // {2**N.SIGN_BIT} % 2 AS bit FROM bs, dr),
+s AS (SELECT j, sum(CASE WHEN bit = 0 THEN d ELSE -d END) AS s FROM sg GROUP BY j)
+SELECT 'all' AS grp, any_value(n) AS n, round(any_value(eff), 6) AS effect, round((count(*) FILTER (s / n >= eff - 1e-12) + 1) / ({DRAWS} + 1), 6) AS p_value, {DRAWS}::BIGINT AS assignments, round(sqrt(ln(40) / (2.0 * {DRAWS})), 6) AS error_bound, 'monte carlo' AS method FROM s, o""")
 def _(spark, d):
     r = requests(spark, d).groupBy(F.lit("all").alias("grp"), F.concat_ws("/", F.substring("block", 6, 2), "priority").alias("pair")).agg(
-        F.avg(F.when(F.col("arm") == "current", F.col("total"))).alias("control"), F.avg(F.when(F.col("arm") == "reference", F.col("total"))).alias("treatment"))
-    return r6(N.paired_randomization(r, "grp"), "effect", "p_value", "error_bound")
+        F.round(F.avg(F.when(F.col("arm") == "current", F.col("total"))), 6).alias("control"), F.round(F.avg(F.when(F.col("arm") == "reference", F.col("total"))), 6).alias("treatment"))
+    return r6(N.paired_randomization(r, "grp", DRAWS), "effect", "p_value", "error_bound")
 
 
 @query("T5", "paired_schedule", """WITH p AS (SELECT DISTINCT o_custkey AS pair FROM orders), q AS (SELECT pair, md5('s|' || pair || '|control') < md5('s|' || pair || '|treatment') AS f FROM p)
@@ -68,15 +76,14 @@ def _(spark, d):
     return N.paired_schedule(table(spark, d, "orders").select(F.col("o_custkey").alias("pair")).distinct(), "s")
 
 
-STR = f"""{REQUESTS}, rs AS (SELECT arm, priority, CASE WHEN l_returnflag = 'R' AND lineno = 7 THEN NULL ELSE l_returnflag END AS flag, CASE WHEN price >= 50000 THEN 2 WHEN price >= 20000 THEN 1 ELSE 0 END AS bin, total AS value FROM requests
- WHERE NOT (arm = 'reference' AND l_returnflag = 'A' AND price >= 50000)),
+STR = f"""{REQUESTS}, rs AS (SELECT arm, priority, CASE WHEN l_returnflag = 'R' AND lineno = 7 THEN NULL ELSE l_returnflag END AS flag, CASE WHEN price >= 50000 THEN 2 WHEN price >= 20000 THEN 1 ELSE 0 END AS bin, total AS value FROM requests),
 st AS (SELECT priority, flag, bin, avg(value) FILTER (arm = 'reference') AS rf, avg(value) FILTER (arm = 'current') AS cu, count(*) FILTER (arm = 'reference') AS n_ref, count(*) FILTER (arm = 'current') AS n_cur FROM rs GROUP BY ALL),
 su AS (SELECT *, flag IS NOT NULL AND n_ref > 0 AND n_cur > 0 AS supported FROM st)"""
 
 
 def strata_rows(spark, d):
     from ..functions.scalars import numeric_bin
-    r = requests(spark, d).where("not (arm = 'reference' and l_returnflag = 'A' and price >= 50000)")
+    r = requests(spark, d)
     return r.select("arm", "priority", F.when(~((F.col("l_returnflag") == "R") & (F.col("lineno") == 7)), F.col("l_returnflag")).alias("flag"), numeric_bin(F.col("price"), [20000, 50000]).alias("bin"), F.col("total").alias("value"))
 
 
@@ -147,12 +154,12 @@ def _(spark, d):
     return r6(c.select("metric", "ctx", "lambda", "shrunk"), "lambda", "shrunk")
 
 
-@query("C10", "tau2_curves", f"""WITH {OBS}, g AS (SELECT metric, i * 2.0 AS tau2 FROM (SELECT DISTINCT metric FROM cells WHERE metric <> 'scheduler') CROSS JOIN (SELECT unnest(range(1, 41)) AS i)),
+@query("C10", "tau2_curves", f"""WITH {OBS}, g AS (SELECT metric, i * 2.0 AS tau2 FROM (SELECT DISTINCT metric FROM cells) CROSS JOIN (SELECT unnest(range(1, 41)) AS i)),
 m AS (SELECT metric, tau2, sum(y / (v + tau2)) / sum(1 / (v + tau2)) AS mu, sum(1 / (v + tau2)) AS sw, sum(ln(v + tau2)) AS sl FROM cells JOIN g USING (metric) GROUP BY ALL),
 q AS (SELECT metric, tau2, sum(power(y - mu, 2) / (v + tau2)) AS q FROM cells JOIN m USING (metric) GROUP BY ALL)
 SELECT metric, tau2::DOUBLE AS tau2, round(q, 5) AS q, round(mu, 6) AS mu, round(-.5 * (sl + q + ln(sw)), 5) AS reml, round(-.5 * (sl + q), 5) AS ml FROM m JOIN q USING (metric, tau2)""")
 def _(spark, d):
-    c = cells(spark, d).where("metric <> 'scheduler'")
+    c = cells(spark, d)
     g = c.select("metric").distinct().select("metric", F.explode(F.sequence(F.lit(1), F.lit(40))).alias("i")).select("metric", (F.col("i") * 2.0).alias("tau2"))
     m = c.groupBy("metric").agg(F.avg("y").alias("y0"))
     out = G.grid_curves(c.join(m, "metric"), g, ["metric"])
@@ -200,12 +207,12 @@ def _(spark, d):
     return r6(G.loo_mse(o, ["metric"], "ctx"), "pooled", "unpooled", "partial", digits=5)
 
 
-@query("C14", "loo_context_mse", f"""WITH {OBS}, h AS (SELECT h.metric, h.ctx AS hc, h.n AS hn, h.y AS hy, h.m2 AS hm, o.n, o.y, o.v FROM cells h JOIN cells o ON o.metric = h.metric AND o.ctx <> h.ctx WHERE h.metric <> 'scheduler'),
-a AS (SELECT metric, hc, count(*) AS j, sum(1 / v) AS sw, sum(1 / (v * v)) AS sw2, sum(y / v) AS swy, sum(n * y) / sum(n) AS pooled FROM h GROUP BY ALL), q AS (SELECT metric, hc, sum(power(y - swy / sw, 2) / v) AS q FROM h JOIN a USING (metric, hc) GROUP BY ALL),
-d AS (SELECT *, greatest(0, (q - (j - 1)) / (sw - sw2 / sw)) AS t2 FROM a JOIN q USING (metric, hc)), r AS (SELECT metric, hc, any_value(hn) AS hn, any_value(hy) AS hy, any_value(hm) AS hm, any_value(pooled) AS pooled, sum(y / (v + t2)) / sum(1 / (v + t2)) AS mu FROM h JOIN d USING (metric, hc) GROUP BY ALL)
+@query("C14", "loo_context_mse", f"""WITH {OBS}, h AS (SELECT h.metric, h.ctx AS hc, h.n AS hn, h.y AS hy, h.m2 AS hm, o.n, o.y, o.v FROM cells h JOIN cells o ON o.metric = h.metric AND o.ctx <> h.ctx),
+a AS (SELECT metric, hc, count(*) AS j, min(v) AS vm, avg(y) AS grand, sum(1 / v) FILTER (v > 0) AS sw, sum(1 / (v * v)) FILTER (v > 0) AS sw2, sum(y / v) FILTER (v > 0) AS swy, sum(n * y) / sum(n) AS pooled FROM h GROUP BY ALL), q AS (SELECT metric, hc, sum(power(y - swy / sw, 2) / v) FILTER (v > 0) AS q FROM h JOIN a USING (metric, hc) GROUP BY ALL),
+d AS (SELECT *, greatest(0, (q - (j - 1)) / (sw - sw2 / sw)) AS t2 FROM a JOIN q USING (metric, hc)), r AS (SELECT metric, hc, any_value(hn) AS hn, any_value(hy) AS hy, any_value(hm) AS hm, any_value(pooled) AS pooled, CASE WHEN any_value(vm) <= 1e-20 THEN any_value(grand) ELSE sum(y / (v + t2)) / sum(1 / (v + t2)) END AS mu FROM h JOIN d USING (metric, hc) GROUP BY ALL)
 SELECT metric, sum(hn)::BIGINT AS n, round(sum(hm + hn * power(pooled - hy, 2)) / sum(hn), 5) AS pooled, round(sum(hm + hn * power(mu - hy, 2)) / sum(hn), 5) AS partial, NULL::DOUBLE AS unpooled FROM r GROUP BY metric""")
 def _(spark, d):
-    o = observations(spark, d).where("metric <> 'scheduler'")
+    o = observations(spark, d)
     return r6(G.loo_context_mse(o, ["metric"], "ctx"), "pooled", "partial", digits=5)
 
 

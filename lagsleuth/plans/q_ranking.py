@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import STAGES, cosine, entropy_bits, jaccard, softmax
-from ..operators import graph as G, ranking as R, voices as M
+from ..operators import graph as G, nearest, ranking as R, voices as M
 from ..operators.audit import OUTCOME_LABELS
 from ..operators.storage import materialize
 from .q_audit import CNT, counts
@@ -233,9 +233,7 @@ def _(spark, d):
 
 @query("T7", "topk_similar", f"WITH {RET}, k AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(sim, 9) DESC, id) AS rank, round(sim, 6) AS sim FROM sims) SELECT * FROM k WHERE rank <= 5")
 def _(spark, d):
-    from pyspark.sql import Window
-    s = materialize(R.text_similarity(asked(spark, d), stored(spark, d).where("not retracted")), "sims")
-    return r6(s.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("sim", 9)), "id"))).where("rank <= 5"), "sim")
+    return r6(nearest.topk_similar(asked(spark, d), stored(spark, d).where("not retracted"), 5), "sim")
 
 
 @query("M15", "difference_card", f"""WITH {RET}, em2 AS (SELECT qid, id, coalesce(q.z, [0,0,0,0,0,0,0,0]) AS qz, coalesce(s.z, [0,0,0,0,0,0,0,0]) AS sz, q.version AS qv, s.version AS sv, s.kernels AS sk, q.st AS qs, s.st AS ss, s.quality FROM (SELECT * FROM hits WHERE rank <= 3) h JOIN qq q USING (qid) JOIN sq s USING (id)),

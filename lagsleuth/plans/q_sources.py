@@ -43,7 +43,7 @@ def shard_id():
 
 
 RAW = f"""{SPANS}, raw AS (SELECT run_id, event_id, CASE WHEN k = 7 OR k = 5 THEN NULL ELSE kind END AS kind, cid, CASE kind WHEN 'gpu_kernel' THEN name || '_kernel' END AS kernel_name, CASE WHEN kind = 'sync_edge' AND k % 3 > 0 THEN 'cudaStreamSynchronize' WHEN kind = 'gpu_kernel' THEN 'void at::native::' || name || '_kernel<float>(int)' ELSE name END AS name,
- CAST(CAST(start_ns // 1000 AS DOUBLE) * 1000 AS BIGINT) AS start_ns, CASE WHEN k = 6 THEN 0 ELSE dur_ns END AS dur_ns, k * 1024 AS bytes, k FROM spans)"""
+ start_ns // 1000 * 1000 AS start_ns, CASE WHEN k = 6 THEN 0 ELSE dur_ns END AS dur_ns, k * 1024 AS bytes, k FROM spans)"""
 
 
 @query("S1", "read_trace_json", f"WITH {RAW} SELECT run_id, kind, cid, name, kernel_name, start_ns, start_ns + dur_ns AS end_ns, dur_ns, bytes FROM raw WHERE kind IS NOT NULL")

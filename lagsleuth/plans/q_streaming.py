@@ -65,20 +65,44 @@ def _(spark, d):
     return out.where(C("server_rid").isNotNull() | (F.unix_micros("at") + HOUR < edge - 1_000_000)).select("rid", "server_rid")
 
 
-@query("R6", "stream_pairing", f"""WITH {PROGRESS}, kinds AS (SELECT unnest(['queue_enqueue', 'release']) AS s, unnest(['queue_dequeue', 'submit']) AS e, unnest(['queue_sojourn', 'dispatch_delay']) AS kind), ro AS (SELECT p.*, kind, boundary = s AS is_start FROM progress p JOIN kinds ON boundary IN (s, e)),
-w AS (SELECT *, lag(is_start) OVER o AS p1, lag(is_start, 2) OVER o AS p2, lag(rid) OVER o AS prid, lag(time) OVER o AS pt FROM ro WINDOW o AS (PARTITION BY identity, clock, token, kind ORDER BY time, rid))
-SELECT identity, clock, token, kind, prid AS start_rid, rid AS end_rid, time - pt AS duration, coalesce(p2, false) AS ambiguous FROM w WHERE NOT is_start AND p1 AND time <= (SELECT max(time) FROM progress WHERE boundary <> 'recovery') // 1000 * 1000 - 3600000000""")
-def _(spark, d):
+HOLD = 7 * 24 * HOUR
+PAIRED = f"""{PROGRESS}, kinds AS (SELECT unnest(['queue_enqueue', 'release']) AS s, unnest(['queue_dequeue', 'submit']) AS e, unnest(['queue_sojourn', 'dispatch_delay']) AS kind),
+ro AS (SELECT p.*, kind, boundary = s AS is_start FROM progress p JOIN kinds ON boundary IN (s, e)), mk AS (SELECT max(time) // 1000 * 1000 - {HOUR} AS m FROM ro),
+w AS (SELECT *, coalesce(lag(is_start) OVER o AND time - lag(time) OVER o <= {HOLD}, false) AS waits, lag(rid) OVER o AS prid, lag(time) OVER o AS pt, lead(time) OVER o AS nt
+FROM ro, mk WHERE time <= m WINDOW o AS (PARTITION BY identity, clock, token, kind ORDER BY time, rid)), v AS (SELECT *, lag(waits AND is_start) OVER (PARTITION BY identity, clock, token, kind ORDER BY time, rid) AS again FROM w)"""
+
+
+def pairing(spark, d):
     k = F.expr("case when boundary in ('queue_enqueue', 'queue_dequeue') then 'queue_sojourn' when boundary in ('release', 'submit') then 'dispatch_delay' end")
     p = stream_progress(spark, d).withColumn("kind", k).where("kind is not null").select("identity", "clock", "token", "kind", C("boundary").isin("queue_enqueue", "release").alias("is_start"), "rid", "time", "at")
-    return R.run_available(R.stream_pairing(p, "at"), "pairing")
+    return R.run_available(R.stream_pairing(p, "at", hold=HOLD), "pairing")
+
+
+@query("R6", "stream_pairing", f"""WITH {PAIRED} SELECT identity, clock, token, kind, prid AS start_rid, rid AS end_rid, time - pt AS duration, coalesce(again, false) AS ambiguous FROM v WHERE NOT is_start AND waits""")
+def _(spark, d):
+    return pairing(spark, d).where("outcome = 'pair'").drop("outcome")
 
 
-@query("R7", "stream_hindsight", f"""WITH {PROGRESS}, s AS (SELECT source, rid, time, k + 50 AS bytes, boundary = 'recovery' AND k > 80 AS trig, row_number() OVER o AS pos, sum(k + 50) OVER o AS used FROM progress WHERE time <= (SELECT max(time) FROM progress) // 1000 * 1000 - 3600000000 WINDOW o AS (PARTITION BY source ORDER BY time, rid))
-SELECT t.source, t.rid AS trigger_rid, e.rid, e.pos - t.pos AS "offset" FROM s t JOIN s e ON t.trig AND e.source = t.source AND e.pos BETWEEN t.pos - 5 AND t.pos + 2 WHERE e.pos > t.pos OR (t.used - e.used + e.bytes <= 420 AND t.time - e.time <= 20000000000)""")
+@query("R6", "stream_unmatched", f"""WITH {PAIRED} SELECT identity, clock, token, kind, 'no start' AS outcome, NULL AS start_rid, rid AS end_rid FROM v WHERE NOT is_start AND NOT waits
+UNION ALL SELECT identity, clock, token, kind, 'replaced', prid, rid FROM v WHERE is_start AND waits
+UNION ALL SELECT identity, clock, token, kind, 'timed out', rid, NULL FROM v WHERE is_start AND (nt - time > {HOLD} OR nt IS NULL AND time + {HOLD} < m)""")
 def _(spark, d):
-    p = stream_progress(spark, d).selectExpr("source", "rid", "time", "k + 50 bytes", "boundary = 'recovery' and k > 80 is_trigger", "at")
-    return R.run_available(R.stream_hindsight(p, "at", 6, 2, 420, 20_000_000_000), "hindsight")
+    return pairing(spark, d).where("outcome <> 'pair'").select("identity", "clock", "token", "kind", "outcome", "start_rid", "end_rid")
+
+
+RING_BLOCK, RING_HOLD = 256, 3 * HOUR
+
+
+@query("R7", "stream_hindsight", f"""WITH {PROGRESS}, p AS (SELECT CAST(make_timestamp(time) AS DATE)::VARCHAR AS source, sequence, rid, time, k + 50 AS bytes, boundary = 'recovery' AND k > 80 AS trig FROM progress WHERE complete), mk AS (SELECT max(time) // 1000 * 1000 - {HOUR} AS m FROM p),
+s AS (SELECT *, sum(bytes) OVER (PARTITION BY source ORDER BY sequence) AS used FROM p, mk WHERE time <= m),
+t AS (SELECT * FROM s WHERE trig AND (time + {RING_HOLD} < m OR EXISTS (SELECT 1 FROM s e WHERE e.source = s.source AND e.sequence >= s.sequence + 2 AND s.sequence // {RING_BLOCK} IN (e.sequence // {RING_BLOCK}, (e.sequence + 5) // {RING_BLOCK}, (e.sequence - 2) // {RING_BLOCK})))),
+j AS (SELECT t.source, t.rid AS trigger_rid, e.rid, e.sequence - t.sequence AS "offset", CASE WHEN e.sequence > t.sequence THEN e.time <= t.time + {RING_HOLD} ELSE t.used - e.used + e.bytes <= 420 AND t.time - e.time <= 20000000000 END AS fits
+FROM t JOIN s e ON e.source = t.source AND e.sequence BETWEEN t.sequence - 5 AND t.sequence + 2),
+n AS (SELECT trigger_rid, count(*) FILTER (fits) AS kept, count(*) FILTER (NOT fits AND "offset" <= 0) AS evicted, 8 - count(*) FILTER (fits OR "offset" <= 0) AS missing FROM j GROUP BY 1)
+SELECT source, j.trigger_rid, rid, "offset", kept, evicted, missing FROM j JOIN n USING (trigger_rid) WHERE fits""")
+def _(spark, d):
+    p = stream_progress(spark, d).where("complete").selectExpr("cast(date_add(date'1970-01-01', cast(time div 86400000000 as int)) as string) source", "sequence", "rid", "time", "k + 50 bytes", "boundary = 'recovery' and k > 80 is_trigger", "at")
+    return R.run_available(R.stream_hindsight(p, "at", 6, 2, 420, 20_000_000_000, hold=RING_HOLD, block=RING_BLOCK), "hindsight")
 
 
 @query("R8", "stream_lifecycle")
@@ -88,10 +112,10 @@ def _(spark, d):
 
 
 @query("R9", "stream_baseline_z", f"""WITH {SPANS}, b AS (SELECT stage, name, median(dur_ms) AS med FROM spans WHERE arm = 'reference' GROUP BY ALL), bm AS (SELECT stage, name, med, median(abs(dur_ms - med)) AS mad FROM spans JOIN b USING (stage, name) WHERE arm = 'reference' GROUP BY ALL),
-i AS (SELECT stage, name, run_id, count(*) AS n_inc, median(dur_ms) AS inc FROM spans WHERE arm = 'current' GROUP BY ALL) SELECT stage, name, run_id AS block, n_inc, round((inc - med) / (1.4826 * mad + .001 + .05 * abs(med)), 6) AS z FROM i JOIN bm USING (stage, name)""")
+i AS (SELECT stage, name, run_id, count(*) AS n_inc, median(dur_ms) AS inc FROM spans WHERE arm = 'current' AND epoch_us(CAST(run_id AS TIMESTAMP)) + {24 * HOUR} <= (SELECT max(epoch_us(ts)) // 1000 * 1000 - {HOUR} FROM events) GROUP BY ALL)
+SELECT stage, name, run_id AS block, n_inc, round((inc - med) / (1.4826 * mad + .001 + .05 * abs(med)), 6) AS z FROM i JOIN bm USING (stage, name)""")
 def _(spark, d):
-    v = spans(spark, d, R.stream_table(spark, d, "events")).where("arm = 'current'").select("stage", "name", C("dur_ms").alias("value"), C("run_id").cast("timestamp").alias("at"))
+    v = spans(spark, d, R.stream_table(spark, d, "events")).where("arm = 'current'").select("stage", "name", C("dur_ms").alias("value"), F.timestamp_micros(F.expr("start_ns div 1000")).alias("at"))
     base = spans(spark, d).where("arm = 'reference'").select("stage", "name", C("dur_ms").alias("value"))
     z = R.stream_baseline_z(v, "at", base)
     return z.select("stage", "name", F.substring("block", 1, 10).alias("block"), "n_inc", F.round("z", 6).alias("z"))
-

@@ -11,12 +11,14 @@ import uuid
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..operators.compare import matched_z
+from ..operators.compare import matched_z_of
 from ..operators.population import missed
-from ..operators.storage import shared_dir
+from ..operators.quantiles import counted_quantiles, median_mad
+from ..operators.storage import materialize, shared_dir
 from ..operators.validate import EVENT_RULES, with_reasons
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -114,53 +116,184 @@ def ordered_stateful(df: DataFrame, at: str, delay: str, keys: list[str], order:
     return df.withWatermark(at, delay).groupBy(*keys).applyInPandasWithState(handle, out_schema, "s string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-PAIR_OUT = "identity string, clock string, token bigint, kind string, start_rid bigint, end_rid bigint, duration bigint, ambiguous boolean"
+PAIR_OUT = "identity string, clock string, token bigint, kind string, outcome string, start_rid bigint, end_rid bigint, duration bigint, ambiguous boolean"
+PAIR_KEYS = ["identity", "clock", "token", "kind"]
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def pair_step(open_start, key, r):
-    """One event of a pairing key: an end closes the open start; a second start replaces the first and marks the pair ambiguous."""
-    identity, clock, token, kind = key
-    if r["is_start"]:
-        return [r["rid"], r["time"], open_start is not None], []
-    if open_start is None:
-        return None, []
-    rid, t0, dup = open_start
-    return None, [(identity, clock, token, kind, rid, r["rid"], r["time"] - t0, dup)]
+def keyed_state(spark: SparkSession) -> None:
+    """The list, map and timer state of the processors below needs the RocksDB store; a session with another store of its own keeps it."""
+    if (spark.conf.get(PROVIDER, None) or "").rpartition(".")[2] in ("", "HDFSBackedStateStoreProvider"):
+        spark.conf.set(PROVIDER, ROCKSDB)
 
 
-def stream_pairing(events: DataFrame, at: str, delay: str = "1 hour") -> DataFrame:
-    """Interval pairing with open starts held in state. events: identity, clock, token, kind, is_start, rid, time (µs), and the event time."""
-    return ordered_stateful(events, at, delay, ["identity", "clock", "token", "kind"], ["time", "rid"], pair_step, PAIR_OUT)
+class Timed(StatefulProcessor):
+    """One timer for each key: it stands at the earliest moment at which the key has something to do."""
 
+    def wake(self, at_us: int | None, mark_ms: int) -> None:
+        """Set the timer for a time in microseconds, or an earlier one that stands."""
+        if at_us is None:
+            return
+        at = max(at_us // 1000, mark_ms + 1)
+        standing = [t for t in self.handle.listTimers() if t > mark_ms]  # not the one that goes off just now
+        if not standing or at < min(standing):
+            for t in standing:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(at)
 
-HINDSIGHT_OUT = "source string, trigger_rid bigint, rid bigint, offset bigint"
+    def close(self) -> None:
+        pass
 
 
-def hindsight_step(pre: int, post: int, max_bytes: int, max_age: int):
-    """Keep the last ``pre`` events inside the byte and age budget; a trigger emits them and the next ``post``."""
-    def step(mem, key, r):
-        ring, waiting, seq = mem or ([], [], 0)
-        seq += 1
+class Pairing(Timed):
+    """Starts and ends of a key in (time, rid) order behind the watermark.
+
+    Waiting events are a list state, one row each; the open start is a value state. An open start that waits longer than `hold` is given
+    out as timed out, and later ends find none. A key without waiting events and open start has no state."""
+
+    def __init__(self, hold: int):
+        self.hold = hold
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "time bigint, rid bigint, is_start boolean")
+        self.open = handle.getValueState("open", "rid bigint, time bigint, again boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = [(r["time"], r["rid"], r["is_start"]) for r in rows]
+        self.waiting.appendList(new)
+        self.wake(min(t for t, _, _ in new), timerValues.getCurrentWatermarkInMs())
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        open_ = tuple(self.open.get()) if self.open.exists() else None
+        later = [r for r in held if r[0] > mark]
         out = []
-        ring.append([r["rid"], r["time"], r["bytes"], seq])
-        while len(ring) > pre or sum(x[2] for x in ring) > max_bytes or r["time"] - ring[0][1] > max_age:
-            ring.pop(0)
-            if not ring:
-                break
-        for w in waiting:
-            out.append((key[0], w[0], r["rid"], seq - w[1]))
-        waiting = [w for w in waiting if seq - w[1] < post]
-        if r["is_trigger"]:
-            out.extend((key[0], r["rid"], x[0], x[3] - seq) for x in ring)
-            if post:
-                waiting.append([r["rid"], seq])
-        return [ring, waiting, seq], out
-    return step
-
-
-def stream_hindsight(events: DataFrame, at: str, pre: int, post: int, max_bytes: int, max_age: int, delay: str = "1 hour") -> DataFrame:
-    """(source, trigger, event, offset) rows; events: source, rid, time (µs), bytes, is_trigger, and the event time."""
-    return ordered_stateful(events, at, delay, ["source"], ["time", "rid"], hindsight_step(pre, post, max_bytes, max_age), HINDSIGHT_OUT)
+
+        def give(outcome, start, end, duration=None, ambiguous=None):
+            out.append(Row(identity=key[0], clock=key[1], token=key[2], kind=key[3], outcome=outcome, start_rid=start, end_rid=end, duration=duration, ambiguous=ambiguous))
+
+        for time, rid, is_start in sorted(r for r in held if r[0] <= mark):
+            if open_ and open_[1] + self.hold < time:
+                give("timed out", open_[0], None)
+                open_ = None
+            if is_start:
+                if open_:
+                    give("replaced", open_[0], rid)
+                open_ = (rid, time, open_ is not None)
+            elif open_:
+                give("pair", open_[0], rid, time - open_[1], open_[2])
+                open_ = None
+            else:
+                give("no start", None, rid)
+        if open_ and open_[1] + self.hold < mark:
+            give("timed out", open_[0], None)
+            open_ = None
+        self.waiting.put(later) if later else self.waiting.clear()
+        self.open.update(open_) if open_ else self.open.clear()
+        ends = [open_[1] + self.hold + 1000] if open_ else []
+        self.wake(min([r[0] for r in later] + ends, default=None), timerValues.getCurrentWatermarkInMs())
+        return iter(out)
+
+
+def stream_pairing(events: DataFrame, at: str, delay: str = "1 hour", hold: int = 7 * 86_400_000_000) -> DataFrame:
+    """Interval pairing with open starts held in state; events: identity, clock, token, kind, is_start, rid, time (µs), and the event time.
+
+    outcome: `pair`; `no start` (an end without open start); `replaced` (a start by the start in end_rid); `timed out` (a start without end for
+    longer than ``hold`` µs). Rows of one event repeated within a stream are so many events."""
+    keyed_state(events.sparkSession)
+    rows = events.withWatermark(at, delay).groupBy(*PAIR_KEYS)
+    return rows.transformWithState(Pairing(hold), PAIR_OUT, "Append", "EventTime")
+
+
+HINDSIGHT_OUT = "source string, trigger_rid bigint, rid bigint, offset bigint, kept bigint, evicted bigint, missing bigint"
+
+
+class Hindsight(Timed):
+    """The events of one block of sequence numbers (and of its neighbours' edges), a map state row each.
+
+    A trigger is settled when the watermark has passed the last event that may belong to it. An event goes when it is too old for any trigger to
+    come and no trigger that waits reaches it, so a block that is through has no state."""
+
+    def __init__(self, pre: int, post: int, max_bytes: int, max_age: int, hold: int, block: int):
+        self.pre, self.post, self.max_bytes, self.max_age, self.hold, self.block = pre, post, max_bytes, max_age, hold, block
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.ring = handle.getMapState("ring", "sequence bigint", "rid bigint, time bigint, bytes bigint, trigger boolean, settled boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        times = []
+        for r in rows:
+            own = r["sequence"] // self.block == key[1]
+            self.ring.updateValue((r["sequence"],), (r["rid"], r["time"], r["bytes"], bool(r["is_trigger"]) and own, False))
+            times.append(r["time"])
+        self.wake(min(times), timerValues.getCurrentWatermarkInMs())
+        return iter(())
+
+    def window(self, source, seq, ring):
+        rid, time, *_ = ring[seq]
+        used, offset, out, evicted, missing = 0, 0, [], 0, 0
+        for s in range(seq, seq - self.pre, -1):
+            if s not in ring:
+                missing += 1
+                continue
+            used += ring[s][2]
+            if used > self.max_bytes or time - ring[s][1] > self.max_age:
+                evicted += 1
+            else:
+                out.append((ring[s][0], s - seq))
+        for s in range(seq + 1, seq + self.post + 1):
+            if s in ring and ring[s][1] <= time + self.hold:
+                out.append((ring[s][0], s - seq))
+            else:
+                missing += 1
+        for other, offset in out:
+            yield Row(source=source, trigger_rid=rid, rid=other, offset=offset, kept=len(out), evicted=evicted, missing=missing)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        ring = {k[0]: tuple(v) for k, v in self.ring.iterator()}
+        passed = [s for s, v in ring.items() if v[1] <= mark]
+        newest = max(passed, default=None)
+        out, open_, wake = [], [], []
+        for s, v in sorted(ring.items()):
+            if v[3] and not v[4]:
+                if v[1] <= mark and (newest >= s + self.post or v[1] + self.hold < mark):
+                    out.extend(self.window(key[0], s, {x: ring[x] for x in range(s - self.pre + 1, s + self.post + 1) if x in ring and ring[x][1] <= mark}))
+                    ring[s] = (*v[:4], True)
+                    self.ring.updateValue((s,), ring[s])
+                else:
+                    open_.append(s)
+                    wake.append(v[1] if v[1] > mark else v[1] + self.hold + 1000)
+        for s, v in ring.items():
+            if v[1] > mark:
+                wake.append(v[1])
+            elif v[1] + self.max_age < mark and not any(s - self.post <= t <= s + self.pre - 1 for t in open_):
+                self.ring.removeKey((s,))
+            else:
+                wake.append(v[1] + self.max_age + 1000)
+        self.wake(min((w for w in wake if w > mark), default=None), timerValues.getCurrentWatermarkInMs())
+        return iter(out)
+
+
+def stream_hindsight(events: DataFrame, at: str, pre: int, post: int, max_bytes: int, max_age: int, delay: str = "1 hour", hold: int | None = None, block: int = 1024) -> DataFrame:
+    """(source, trigger, event, offset) rows with the trigger's counts; events: source, sequence, rid, time (µs), bytes, is_trigger, and the event time.
+
+    ``sequence`` numbers a source's events in the order of their times; numbers that do not come are lost events. A trigger keeps, of the last ``pre``
+    numbers (itself included), those inside the byte and age budget (`evicted` counts the others), and of the next ``post`` those within ``hold`` µs
+    (max_age, unless given); `missing` counts the numbers that did not come. A source is split into blocks of sequence numbers, so one busy source is worked
+    on by many tasks; events near a block's edge go to both."""
+    if pre + post > block:
+        raise ValueError("a window must fit into a block")
+    keyed_state(events.sparkSession)
+    seq = C("sequence")
+    reach = F.array_distinct(F.array(*(F.floor((seq + d) / F.lit(block)).cast("long") for d in (0, pre - 1, -post))))
+    rows = events.withWatermark(at, delay).select("*", F.explode(reach).alias("block")).groupBy("source", "block")
+    return rows.transformWithState(Hindsight(pre, post, max_bytes, max_age, max_age if hold is None else hold, block), HINDSIGHT_OUT, "Append", "EventTime")
 
 
 LIFECYCLE_OUT = "id bigint, rid bigint, from_status string, to_status string, accepted boolean, reason string"
@@ -186,18 +319,21 @@ def stream_lifecycle(ledger: DataFrame, at: str, delay: str = "1 hour") -> DataF
     return ordered_stateful(ledger, at, delay, ["id"], ["time", "rid"], lifecycle_step, LIFECYCLE_OUT)
 
 
-def stream_baseline_z(values: DataFrame, at: str, baseline: DataFrame, block: str = "1 day", name: str = "z") -> DataFrame:
-    """Matched scores of each micro-batch's blocks against a static baseline (stage, name, value).
+def stream_baseline_z(values: DataFrame, at: str, baseline: DataFrame, block: str = "1 day", delay: str = "1 hour", name: str = "z") -> DataFrame:
+    """Matched scores of closed blocks against a static baseline (stage, name, value).
 
-    A block is scored when its batch arrives; the batch id names the output, so a repeat replaces itself."""
+    How often a value occurs in a block is counted in state; when the watermark closes the block, its counts come out together, whatever files or
+    micro-batches its rows came in, and are ranked as in the batch operator. The batch id names the output, so a repeat replaces itself.
+    The block still open when a stream ends is not scored."""
     spark = values.sparkSession
     data, check = _paths(spark, name)
-    keyed = values.withColumn("block", F.window(C(at), block)["start"].cast("string"))
+    counts = values.where(C("value").isNotNull()).withWatermark(at, delay).groupBy(F.window(at, block).alias("w"), "stage", "name", C("value").cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    keys = ["stage", "name", "block"]
+    base = materialize(median_mad(baseline, ["stage", "name"], "value"), "baseline")
 
     def score(batch: DataFrame, batch_id: int) -> None:
-        blocks = batch.select("stage", "name", "block", "value")
-        base = baseline.join(blocks.select("stage", "name", "block").distinct(), ["stage", "name"])
-        matched_z(blocks, base, ["stage", "name", "block"]).write.mode("overwrite").parquet(f"{data}/batch={batch_id}")
+        closed = batch.select("stage", "name", C("w.start").cast("string").alias("block"), "v", "c")
+        matched_z_of(counted_quantiles(closed, keys, {"inc_med": (0.5, "linear")}), base, ["stage", "name"]).write.mode("overwrite").parquet(f"{data}/batch={batch_id}")
 
-    keyed.writeStream.foreachBatch(score).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    counts.writeStream.foreachBatch(score).outputMode("append").option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(data).drop("batch")

@@ -67,3 +67,27 @@ def test_sketch_bounds_hold_and_merge(spark):
     s = sorted(v for _, v in vals)
     q = Q.sketch_quantile(whole, [], 0.9).first()
     assert q.lower <= s[int(0.9 * 399)] * 1.0001 and q.upper >= s[int(0.9 * 399)] * 0.9999
+
+
+def test_segments_are_even_whatever_the_values(spark):
+    """A far outlier, a large offset, a crowded stretch: no segment holds more than twice the target, and order is kept."""
+    r = random.Random(9)
+    n = 4000
+    shapes = {"outlier": [float(i) for i in range(n - 1)] + [1e18], "offset": [1.7e18 + 1000.0 * i for i in range(n)],
+              "crowded": [r.random() * 1e-9 for _ in range(n // 2)] + [r.random() * 1e9 for _ in range(n // 2)], "few": [1.0, 2.0, None]}
+    for name, values in shapes.items():
+        df = spark.createDataFrame([("k", v) for v in values], "k string, v double")
+        seg = O.with_segment(df, "v", 100).groupBy(O.SEG).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("lo").collect()
+        assert max(x.n for x in seg) <= 200, name
+        known = [x for x in seg if x.lo is not None]
+        assert all(a.hi < b.lo and a[O.SEG] < b[O.SEG] for a, b in zip(known, known[1:])), name
+        assert name == "few" or len(seg) >= 30
+        many = O.with_segment(df, "v", 5).groupBy(O.SEG).agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo is not null").orderBy("lo").collect()
+        assert all(a.hi < b.lo and a[O.SEG] < b[O.SEG] for a, b in zip(many, many[1:])), name
+
+
+def test_scan_with_an_outlier_equals_plain(spark):
+    df = spark.createDataFrame([("k", float(i % 700) if i else 1e17, i) for i in range(1500)], "k string, t double, id long")
+    got = O.scan(df, ["k"], ["t", "id"], rows=50, pos=("sum", F.lit(1)), nxt=("lead", F.col("id"))).orderBy("t", "id").collect()
+    ids = [x[1] for x in sorted((r.t, r.id) for r in got)]
+    assert [r.pos for r in got] == list(range(1, 1501)) and [r.nxt for r in got] == ids[1:] + [None]

@@ -308,5 +308,35 @@ def test_retrieval_is_alike_for_any_block_size(spark):
     store = spark.createDataFrame([(i, f"slow queue number{i % 5} token{i}", "v1", ["k1", f"k{i % 3}"], [x + i for x in z], "cpu", "VERIFIED", "x", False) for i in range(30)],
                                   "id long, text string, version string, kernels array<string>, z array<double>, stage string, tier string, cause string, retracted boolean")
     queries = store.where("id < 9").selectExpr("id qid", "text", "version", "kernels", "z", "stage")
-    rows = [sorted(tuple(r) for r in retrieve(queries, store, 3, block_queries=n).select("qid", "id", "rank").collect()) for n in (1000, 2)]
+    rows = [sorted(tuple(r) for r in retrieve(queries, store, 3, query_block=n, store_block=n).select("qid", "id", "rank").collect()) for n in (1000, 2)]
     assert rows[0] == rows[1] and len(rows[0]) == 27
+
+
+def test_randomization_draws_equal_plain_numbers(spark):
+    import hashlib
+
+    from lagsleuth.operators import inference as N
+
+    r = random.Random(4)
+    rows = [(k, f"p{i}", r.gauss(0, 1) + (0.3 if k == "a" else 0), r.gauss(0, 1) if i % 9 else None) for k in ("a", "b") for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, pair string, control double, treatment double").repartition(4)
+    got = {x.k: x for x in N.paired_randomization(df, "k", 500, "s").collect()}
+    for k in ("a", "b"):
+        d = [(p, c - t) for kk, p, c, t in rows if kk == k and t is not None]
+        effect = sum(x for _, x in d) / len(d)
+        hits = 0
+        for j in range(1, 501):
+            total = 0.0
+            for p, x in d:
+                base = int(hashlib.md5(f"s|{p}".encode()).hexdigest()[:15], 16)
+                bit = (((base ^ (j * N.SPREAD_DRAW % 2**64)) * N.SPREAD % 2**64) >> N.SIGN_BIT) & 1
+                total += -x if bit else x
+            hits += total / len(d) >= effect - 1e-12
+        assert (got[k].n, got[k].assignments) == (len(d), 500) and abs(got[k].p_value - (hits + 1) / 501) < 1e-12
+
+
+def test_items_that_need_a_cycle(spark):
+    edges = [("a", "b"), ("b", "c"), ("c", "b"), ("d", "a"), ("e", "d"), ("x", "y"), ("y", "z"), ("c", "m"), ("m", "n"), ("n", "n"), ("q", "x"), ("s", "q"), ("s", "e")]
+    got = {r.item for r in G.into_cycles(spark.createDataFrame(edges, "item string, needs string")).collect()}
+    assert got == {"a", "b", "c", "d", "e", "m", "n", "s"}
+    assert G.into_cycles(spark.createDataFrame(edges[5:7], "item string, needs string")).count() == 0
