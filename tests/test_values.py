@@ -340,3 +340,9 @@ def test_items_that_need_a_cycle(spark):
     got = {r.item for r in G.into_cycles(spark.createDataFrame(edges, "item string, needs string")).collect()}
     assert got == {"a", "b", "c", "d", "e", "m", "n", "s"}
     assert G.into_cycles(spark.createDataFrame(edges[5:7], "item string, needs string")).count() == 0
+
+
+def test_times_since_1970_are_exact(spark):
+    for us, ns in (("1704067200179575", 1704067200179575000), ("1704067200179575.123", 1704067200179575123), ("1e3", 1000000), ("NaN", None), ("1e40", None), ("-1.5", -1500)):
+        assert one(spark, X.us_to_ns(F.lit(us))) == ns
+    assert one(spark, X.us_to_ns(F.lit(1000.5))) == 1000500 and one(spark, X.us_to_ns(F.lit(7))) == 7000
