@@ -85,6 +85,17 @@ def critical_path(nodes: DataFrame, edges: DataFrame, order: str | None = None,
     Runs of at most ``local_rows`` nodes and edges are solved whole, many to a task; larger ones in blocks along ``order``, a numeric column
     of nodes (their start, say), see ``paths``. Their path is marked by doubling. Nodes on or behind a cycle keep their own
     duration and are flagged (``cyclic``); edges from or to unknown nodes do not count."""
+    state, end, path = solved(nodes, edges, order, local_rows, block_nodes)
+    return end, path
+
+
+def node_values(nodes: DataFrame, edges: DataFrame, order: str | None = None, local_rows: int = paths.LOCAL_ROWS, block_nodes: int = paths.BLOCK_NODES) -> DataFrame:
+    """(run_id, node, dist, prev, cyclic) of all nodes: the longest path that ends there."""
+    return solved(nodes, edges, order, local_rows, block_nodes)[0]
+
+
+def solved(nodes: DataFrame, edges: DataFrame, order: str | None, local_rows: int, block_nodes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(all nodes' values, end of each run, path rows)."""
     own = nodes.select("run_id", "node", "dur_ns", (C(order) if order else F.xxhash64("node")).cast("double").alias("at"))
     e = edges.groupBy("run_id", "src", "dst").agg(F.max("w_ns").alias("w_ns")).join(own.select("run_id", C("node").alias("dst"), "dur_ns"), ["run_id", "dst"])
     e = materialize(e.select("run_id", "src", "dst", (C("w_ns") + C("dur_ns")).alias("step")), "edges")
@@ -96,12 +107,12 @@ def critical_path(nodes: DataFrame, edges: DataFrame, order: str | None = None,
     end = state.groupBy("run_id").agg(F.max("dist").alias("total_ns"), F.min_by("node", F.struct(-C("dist"), C("node"))).alias("end_node"))
     path = state.where("marked").drop("marked")
     if some:
-        more, its = path_of_large(own.join(large, "run_id", "left_semi"), e.join(large, "run_id", "left_semi"), local_rows, block_nodes)
-        end, path = end.unionByName(more), path.unionByName(its)
-    return end, path
+        values, more, its = path_of_large(own.join(large, "run_id", "left_semi"), e.join(large, "run_id", "left_semi"), local_rows, block_nodes)
+        state, end, path = state.drop("marked").unionByName(values), end.unionByName(more), path.unionByName(its)
+    return state.select("run_id", "node", "dist", "prev", "cyclic"), end, path
 
 
-def path_of_large(own: DataFrame, e: DataFrame, local_rows: int, block_nodes: int) -> tuple[DataFrame, DataFrame]:
+def path_of_large(own: DataFrame, e: DataFrame, local_rows: int, block_nodes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     e = materialize(e.join(own.select("run_id", C("node").alias("src")), ["run_id", "src"], "left_semi"), "edges")
     done = paths.longest_large(own.withColumnRenamed("dur_ns", "least"), e, "at", local_rows, block_nodes)
     far = materialize(own.join(done, ["run_id", "node"], "left").select("run_id", "node", "dur_ns", F.coalesce("dist", "dur_ns").alias("dist"), C("dist").isNull().alias("cyclic")), "dist")
@@ -116,7 +127,7 @@ def path_of_large(own: DataFrame, e: DataFrame, local_rows: int, block_nodes: in
         marked = materialize(marked.unionByName(step), "path")
         j2 = jump.select("run_id", C("node").alias("up"), C("up").alias("up2"))
         jump = materialize(jump.join(j2, ["run_id", "up"]).select("run_id", "node", C("up2").alias("up")), "jump")
-    return end, marked.join(state, ["run_id", "node"])
+    return state, end, marked.join(state, ["run_id", "node"])
 
 
 def stage_cost(nodes: DataFrame, edges: DataFrame, path: DataFrame) -> DataFrame:

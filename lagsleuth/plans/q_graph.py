@@ -95,6 +95,19 @@ def _(spark, d):
     return top.join(x.groupBy("run_id").agg(F.max("excess_ns").alias("excess_ns")), "run_id").drop("healthy_id")
 
 
+@query("G1", "traced_path", f"""WITH RECURSIVE {REC}, ed AS (SELECT e.run_id, src, dst, max(w_ns) AS w FROM edges e WHERE EXISTS (FROM nodes n WHERE n.run_id = e.run_id AND n.node = src) GROUP BY ALL),
+it AS (SELECT run_id, node, dur_ns, dur_ns AS dist, NOT EXISTS (FROM ed WHERE ed.run_id = nodes.run_id AND dst = node) AS settled, true AS fresh, 0 AS k FROM nodes UNION ALL
+ SELECT i.run_id, i.node, i.dur_ns, CASE WHEN NOT i.settled AND p.ok THEN greatest(i.dur_ns, p.d + i.dur_ns) ELSE i.dist END, i.settled OR coalesce(p.ok, false), NOT i.settled AND coalesce(p.ok, false), i.k + 1
+ FROM (SELECT *, bool_or(fresh) OVER () AS go FROM it) i LEFT JOIN (SELECT s.run_id, ed.dst, bool_and(s.settled) AS ok, max(s.dist + w) AS d FROM it s JOIN ed ON ed.run_id = s.run_id AND ed.src = s.node GROUP BY ALL) p ON p.run_id = i.run_id AND p.dst = i.node WHERE go),
+z AS (SELECT run_id, node, arg_max(dist, k) AS dist, arg_max(settled, k) AS settled FROM it GROUP BY ALL)
+SELECT run_id, max(dist) AS total_ns, arg_min(node, (-dist, node)) AS end_node, count(*) FILTER (NOT settled) AS cyclic FROM z GROUP BY run_id""")
+def _(spark, d):
+    n, e = (materialize(x, "graph") for x in G.graph_tables(spans(spark, d)))
+    total, _ = G.critical_path(n, e)
+    every = G.node_values(n, e).groupBy("run_id").agg(F.count_if("cyclic").alias("cyclic"))
+    return total.join(every, "run_id")
+
+
 HOOD = f"""{REC}, ct AS (SELECT run_id, max('gpu:' || cid) AS center FROM gpu GROUP BY ALL), adj AS (SELECT run_id, src AS a, dst AS b FROM edges UNION SELECT run_id, dst, src FROM edges),
 h0 AS (SELECT run_id, center, center AS node FROM ct), h1 AS (SELECT * FROM h0 UNION SELECT h.run_id, center, b FROM h0 h JOIN adj ON adj.run_id = h.run_id AND a = node), h2 AS (SELECT * FROM h1 UNION SELECT h.run_id, center, b FROM h1 h JOIN adj ON adj.run_id = h.run_id AND a = node)"""
 
