@@ -6,6 +6,7 @@ import sys
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
@@ -274,18 +275,62 @@ def loo_mse(obs: DataFrame, key: list[str], ctx: str) -> DataFrame:
     return n.groupBy(*key).agg(F.sum("c").alias("n"), mse(pooled).alias("pooled"), mse(F.coalesce("own_y", pooled)).alias("unpooled"), mse(part).alias("partial"))
 
 
+CELL_BLOCK, TARGET_BLOCK, AT_ONCE = 8192, 8192, 1 << 20
+
+
+def re_sums(targets: DataFrame, cells: DataFrame, key: list[str]) -> DataFrame:
+    """(key, own, s0, s1): sums of 1 / (v + tau2) and of y / (v + tau2) over the other cells of the metric, for each target (key, own, tau2).
+
+    Targets and cells (key, own, y, v) meet in tiles; a tile gives one row for each of its targets, no pair is stored."""
+    parts = lambda df, size: -(-(df.groupBy(*key).count().agg(F.max("count")).first()[0] or 1) // size)
+    tp, cp = parts(targets, TARGET_BLOCK), parts(cells, CELL_BLOCK)
+    t = targets.select(*key, "own", "tau2", F.pmod("own", F.lit(tp)).alias("_t"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cp - 1).cast("long"))).alias("_c"))
+    c = cells.select(*key, "own", "y", "v", F.pmod("own", F.lit(cp)).alias("_c"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tp - 1).cast("long"))).alias("_t"))
+
+    def tile(left, right):
+        own, tau2 = left["own"].to_numpy(), left["tau2"].to_numpy()
+        other, y, v = (right[x].to_numpy() for x in ("own", "y", "v"))
+        s0, s1 = np.zeros(len(own)), np.zeros(len(own))
+        step = max(1, AT_ONCE // max(len(other), 1))
+        for i in range(0, len(own), step):
+            at = slice(i, i + step)
+            with np.errstate(divide="ignore"):
+                w = np.where(own[at, None] == other, 0.0, 1.0 / (v + tau2[at, None]))
+            s0[at], s1[at] = w.sum(axis=1), w @ y
+        return left.select([*key, "own"]).append_column("s0", pa.array(s0)).append_column("s1", pa.array(s1))
+
+    head = ", ".join(f"`{k}` {targets.schema[k].dataType.simpleString()}" for k in key)
+    both = t.groupBy(*key, "_t", "_c").cogroup(c.groupBy(*key, "_t", "_c")).applyInArrow(tile, f"{head}, own bigint, s0 double, s1 double")
+    return both.groupBy(*key, "own").agg(F.sum("s0").alias("s0"), F.sum("s1").alias("s1"))
+
+
 def loo_context_mse(obs: DataFrame, key: list[str], ctx: str) -> DataFrame:
-    """Leave-one-context-out error: pooled grand mean and RE mean of the other cells; there is nothing unpooled to predict from."""
-    cells = materialize(cells_of(obs, [*key, ctx]), "loc-cells")
-    held = cells.select(*key, C(ctx).alias("hc"), C("n").alias("hn"), C("y").alias("hy"), C("m2").alias("hm"))
-    j = materialize(held.join(cells.select(*key, C(ctx).alias("oc"), "n", "y", "v"), key).where("hc <> oc"), "loc")
-    hk = [*key, "hc"]
-    mu = partial_pool(j.select(*hk, "y", "v"), hk)[1].select(*hk, "mu")
-    g = j.groupBy(*hk).agg((F.sum(C("n") * C("y")) / F.sum("n")).alias("pooled"))
-    e = held.join(mu, hk).join(g, hk)
+    """Leave-one-context-out error: pooled grand mean and RE mean of the other cells; there is nothing unpooled to predict from.
+
+    The sums of a metric without one context are those of the metric less the context's own; only the RE mean, whose weights depend on that
+    variance, is summed again, in tiles. A metric with one context has no row."""
+    cells = materialize(cells_of(obs, [*key, ctx]).withColumn("own", F.xxhash64(ctx)), "loc-cells")
+    ends = cells.groupBy(*key).agg(F.avg("y").alias("y0"), F.min("y").alias("y_min"), F.max("y").alias("y_max"))
+    w = F.when(C("v") > 0, 1.0 / C("v"))
+    zero = F.lit(0.0)
+    own_w, dy = F.coalesce(w, zero), C("y") - C("y0")
+    one = cells.join(ends, key).withColumns({"w": own_w, "dy": dy, "bare": (C("v") <= 0).cast("long"), "low": (C("y") == C("y_min")).cast("long"), "high": (C("y") == C("y_max")).cast("long")})
+    one = one.withColumns({"w2": C("w") * C("w"), "wy": C("w") * C("dy"), "wyy": C("w") * C("dy") * C("dy"), "ny": C("n") * C("y")})
+    summed = ("w", "w2", "wy", "wyy", "bare", "low", "high", "n", "ny", "y")
+    tot = one.groupBy(*key).agg(F.count(F.lit(1)).alias("cells"), *[F.sum(x).alias(f"all_{x}") for x in summed])
+    h = one.join(tot, key).where("cells >= 2").withColumns({f"r_{x}": C(f"all_{x}") - C(x) for x in summed}).withColumn("j", C("cells") - 1)
+    same = (C("y_max") <= C("y_min")) | (C("r_low") == 0) & (C("r_high") == C("j")) | (C("r_high") == 0) & (C("r_low") == C("j"))
+    c = C("r_w") - F.try_divide("r_w2", "r_w")
+    q = C("r_wyy") - F.try_divide(C("r_wy") * C("r_wy"), "r_w")
+    applied = (C("j") >= 2) & (C("r_bare") == 0) & ~same & F.coalesce(C("c") > 0, F.lit(False))
+    h = h.withColumn("c", c).withColumn("q", q).withColumn("applied", applied)
+    h = materialize(h.select(*key, "own", "n", "y", "m2", "applied", F.when(C("applied"), F.greatest(zero, (C("q") - (C("j") - 1)) / C("c"))).alias("tau2"),
+                             (C("r_y") / C("j")).alias("grand"), (C("r_ny") / C("r_n")).alias("pooled")), "held-contexts")
+    sums = re_sums(h.where("applied").select(*key, "own", "tau2"), cells.select(*key, "own", "y", "v"), key)
+    e = h.join(sums, [*key, "own"], "left").withColumn("mu", F.when(C("applied"), C("s1") / C("s0")).otherwise(C("grand")))
     def mse(p):
-        return F.sum(C("hm") + C("hn") * F.pow(C(p) - C("hy"), 2)) / F.sum("hn")
-    return e.groupBy(*key).agg(F.sum("hn").alias("n"), mse("pooled").alias("pooled"), mse("mu").alias("partial"), F.lit(None).cast("double").alias("unpooled"))
+        return F.sum(C("m2") + C("n") * F.pow(C(p) - C("y"), 2)) / F.sum("n")
+    return e.groupBy(*key).agg(F.sum("n").alias("n"), mse("pooled").alias("pooled"), mse("mu").alias("partial"), F.lit(None).cast("double").alias("unpooled"))
 
 
 def borrow_gate(cells: DataFrame, key: list[str], box_alpha: float = 0.05, z_cap: float = 2.0, ess_cap: float | None = None, threshold: float | None = None, level: float = 0.95) -> DataFrame:

@@ -346,3 +346,40 @@ def test_times_since_1970_are_exact(spark):
     for us, ns in (("1704067200179575", 1704067200179575000), ("1704067200179575.123", 1704067200179575123), ("1e3", 1000000), ("NaN", None), ("1e40", None), ("-1.5", -1500)):
         assert one(spark, X.us_to_ns(F.lit(us))) == ns
     assert one(spark, X.us_to_ns(F.lit(1000.5))) == 1000500 and one(spark, X.us_to_ns(F.lit(7))) == 7000
+
+
+def test_leave_one_context_out_equals_brute_force(spark, monkeypatch):
+    r = random.Random(12)
+    obs = [("m", f"c{c}", r.gauss(c % 4, 1 + c % 3)) for c in range(9) for _ in range(2 + c)]
+    obs += [("zero", f"c{c}", float(c)) for c in range(4) for _ in range(3)] + [("one", "c0", 1.0), ("one", "c0", 2.0)]
+    obs += [("same", f"c{c}", x) for c in range(3) for x in (1.0, 3.0)] + [("same", "c9", x) for x in (5.0, 9.0)] + [("two", f"c{c}", x + c) for c in range(2) for x in (0.0, 1.0)]
+
+    def cell(x):
+        m = sum(x) / len(x)
+        s2 = sum((v - m) ** 2 for v in x)
+        return len(x), m, (s2 / (len(x) - 1) / len(x) if len(x) > 1 else 0.0), s2
+
+    want = {}
+    for metric in ("m", "zero", "same", "two"):
+        cells = {c: cell([v for k, cc, v in obs if (k, cc) == (metric, c)]) for c in {cc for k, cc, _ in obs if k == metric}}
+        pooled = partial = total = 0
+        for c, (n, y, v, s2) in cells.items():
+            o = [x for d, x in cells.items() if d != c]
+            mu = sum(x[1] for x in o) / len(o)
+            w = [1 / x[2] if x[2] > 0 else 0 for x in o]
+            if len(o) > 1 and min(x[2] for x in o) > 0 and max(x[1] for x in o) > min(x[1] for x in o):
+                fe = sum(a * x[1] for a, x in zip(w, o)) / sum(w)
+                t2 = max(0, (sum(a * (x[1] - fe) ** 2 for a, x in zip(w, o)) - len(o) + 1) / (sum(w) - sum(a * a for a in w) / sum(w)))
+                w = [1 / (x[2] + t2) for x in o]
+                mu = sum(a * x[1] for a, x in zip(w, o)) / sum(w)
+            grand = sum(x[0] * x[1] for x in o) / sum(x[0] for x in o)
+            pooled, partial, total = pooled + s2 + n * (grand - y) ** 2, partial + s2 + n * (mu - y) ** 2, total + n
+        want[metric] = (total, pooled / total, partial / total)
+    df = spark.createDataFrame(obs, "metric string, ctx string, value double")
+    for size in (8192, 3):
+        monkeypatch.setattr(P, "CELL_BLOCK", size)
+        monkeypatch.setattr(P, "TARGET_BLOCK", size)
+        got = {x.metric: (x.n, x.pooled, x.partial) for x in P.loo_context_mse(df, ["metric"], "ctx").collect()}
+        assert set(got) == set(want)
+        for k in want:
+            assert all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(got[k], want[k])), k
