@@ -4,7 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .graph import closure
-from .ordered import join_on, scan
+from .ordered import join_on, pair_join, scan
+from .storage import materialize
 
 C = F.col
 
@@ -56,9 +57,17 @@ def prior_advice(summaries: DataFrame, context: DataFrame) -> DataFrame:
     """Summaries of closed incidents with an equal context and no capability the asker lacks. They nominate, never support.
     summaries: incident, context map, capabilities array, mechanisms array; context: ask, context map, capabilities array."""
     key = lambda c: F.to_json(F.array_sort(F.map_entries(c)))
-    a = context.select("ask", key("context").alias("k"), C("capabilities").alias("have"))
-    j = summaries.withColumn("k", key("context")).join(a, "k")
-    return j.where(F.size(F.array_except("capabilities", "have")) == 0).select("ask", "incident", F.array_sort(F.array_distinct("mechanisms")).alias("mechanisms"))
+    names = lambda c: F.transform(c, lambda x: F.coalesce(F.concat(F.lit("+"), x.cast("string")), F.lit("null")))
+    a = context.select("ask", key("context").alias("a_k"), C("capabilities").alias("have")).where("a_k is not null and have is not null")
+    a = materialize(a.withColumn("a_by", F.explode(F.array_distinct(F.concat(F.array(F.lit("none")), names("have"))))), "askers")
+    # A summary is looked for by one of its capabilities, the one that the fewest askers of its context have; one without any by its context alone.
+    s = summaries.select(key("context").alias("k"), "incident", C("capabilities").alias("needs"), F.array_sort(F.array_distinct("mechanisms")).alias("mechanisms"))
+    s = materialize(s.where("k is not null and needs is not null").withColumn("row", F.monotonically_increasing_id()), "summaries")
+    want = s.select("row", "k", F.explode(F.when(F.size("needs") == 0, F.array(F.lit("none"))).otherwise(F.array_distinct(names("needs")))).alias("by"))
+    offered = a.groupBy(C("a_k").alias("k"), C("a_by").alias("by")).agg(F.count(F.lit(1)).alias("askers"))
+    rare = want.join(offered, ["k", "by"], "left").groupBy("row").agg(F.min(F.struct(F.coalesce("askers", F.lit(0)).alias("askers"), "by")).alias("least"))
+    j = pair_join(s.join(rare.where("least.askers > 0").select("row", "least.by"), "row"), a, [("k", "a_k"), ("by", "a_by")])
+    return j.where(F.size(F.array_except("needs", "have")) == 0).select("ask", "incident", "mechanisms")
 
 
 def budget_left(budgets: DataFrame, plans: DataFrame, results: DataFrame) -> DataFrame:

@@ -117,6 +117,21 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     return left.join(r, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def pair_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], pieces: int = 16) -> DataFrame:
+    """Inner equi join (left column, right column; nulls never match) with many pairs per key and few keys.
+
+    A key's left rows are dealt over ``pieces`` tasks and its right rows are copied to each; a plain join makes all pairs of a key,
+    or with a small right side all pairs there are, in one task. The number of partitions is given, as tasks here are long, not large."""
+    n = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), left.sparkSession.sparkContext.defaultParallelism) * 2
+    row = F.pmod(F.xxhash64(*left.columns), F.lit(pieces))
+    a = left.withColumn("__pl", row).repartition(n, *[l for l, _ in on], "__pl")
+    b = right.withColumn("__pr", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)).cast("array<bigint>"))).repartition(n, *[r for _, r in on], "__pr")
+    cond = F.col("__pl") == F.col("__pr")
+    for l, r in on:
+        cond = cond & (F.col(l) == F.col(r))
+    return a.join(b.hint("merge"), cond).drop("__pl", "__pr")
+
+
 def range_union(df: DataFrame, keys: list[str], lo: str, hi: str) -> DataFrame:
     """Union of closed ranges per key; touching ranges merge. Bad ranges (negative, reversed) are left out
     and are listed by :func:`bad_ranges`."""
