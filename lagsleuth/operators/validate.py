@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .ordered import join_on
+from .ordered import join_on, pair_join
 
 # Event boundaries that are understood.
 BOUNDARIES = (
@@ -83,14 +83,15 @@ def downgrade_coverage(events: DataFrame, manifests: DataFrame, key: str) -> Dat
 def compose_clocks(first: DataFrame, second: DataFrame) -> DataFrame:
     """Chain clock mappings (id, source, target, rate, offset and validity bounds) whose target is the other's source.
     The whole image of the first must lie inside the second's validity; rates must be positive."""
-    b = second.select(*[F.col(c).alias(f"b_{c}") for c in second.columns])
-    j = first.join(b, F.col("target") == F.col("b_source"))
     c = F.col
     image = [c(v) * c(r) + c(o) for v in ("valid_lo", "valid_hi") for r in ("rate_lo", "rate_hi") for o in ("off_lo", "off_hi")]
-    rates = [c(a) * c(x) for a in ("rate_lo", "rate_hi") for x in ("b_rate_lo", "b_rate_hi")]
-    offs = [c(a) * c(x) + c(y) for a in ("off_lo", "off_hi") for x in ("b_rate_lo", "b_rate_hi") for y in ("b_off_lo", "b_off_hi")]
-    ok = ((F.least(c("rate_lo"), c("rate_hi"), c("b_rate_lo"), c("b_rate_hi")) > 0)
-          & (F.least(*image) >= c("b_valid_lo")) & (F.greatest(*image) <= c("b_valid_hi")))
+    rising = F.least("rate_lo", "rate_hi") > 0
+    a = first.where(rising).withColumns({"image_lo": F.least(*image), "image_hi": F.greatest(*image)})
+    b = second.where(F.coalesce(rising, F.lit(True))).select(*[c(x).alias(f"b_{x}") for x in second.columns])
+    j = pair_join(a, b, [("target", "b_source")])
+    rates = [c(x) * c(y) for x in ("rate_lo", "rate_hi") for y in ("b_rate_lo", "b_rate_hi")]
+    offs = [c(x) * c(y) + c(z) for x in ("off_lo", "off_hi") for y in ("b_rate_lo", "b_rate_hi") for z in ("b_off_lo", "b_off_hi")]
+    ok = (c("image_lo") >= c("b_valid_lo")) & (c("image_hi") <= c("b_valid_hi"))
     return j.where(ok).select(c("id").alias("first_id"), c("b_id").alias("second_id"), c("source"), c("b_target").alias("target"),
                               F.least(*rates).alias("rate_lo"), F.greatest(*rates).alias("rate_hi"), F.least(*offs).alias("off_lo"),
                               F.greatest(*offs).alias("off_hi"), "valid_lo", "valid_hi")

@@ -1,7 +1,7 @@
 """Joins with many pairs per key: right on odd rows, and their pairs dealt over tasks."""
 from pyspark.sql import functions as F
 
-from lagsleuth.operators import ledger
+from lagsleuth.operators import ledger, validate
 
 
 def parts(df):
@@ -29,3 +29,23 @@ def test_prior_advice_pairs_in_many_tasks(spark):
     asks = spark.createDataFrame([(i, {"x": "1"}, ["base", "r" if i < 40 else "q"]) for i in range(50)], "ask long, context map<string,string>, capabilities array<string>")
     n = parts(ledger.prior_advice(sums.coalesce(1), asks.coalesce(1)))
     assert sum(n) == 400 * 40 and n[-1] < 0.7 * sum(n)
+
+
+def clocks(spark, n):
+    rows = [(i, 1, 1, 0.9, 1.1, -1.0, 1.0, 0.0, 100.0 + i) for i in range(n)]
+    return spark.createDataFrame(rows, "id long, source long, target long, rate_lo double, rate_hi double, off_lo double, off_hi double, valid_lo double, valid_hi double").coalesce(1)
+
+
+def test_compose_clocks_pairs_in_many_tasks(spark):
+    a = clocks(spark, 300)
+    n = parts(validate.compose_clocks(a, a.withColumn("valid_lo", F.lit(-5.0)).withColumn("valid_hi", F.lit(1000.0))))
+    assert sum(n) == 300 * 300 and n[-1] < 0.7 * sum(n)
+
+
+def test_compose_clocks_odd_rates(spark):
+    rows = [(1, 1, 2, 0.5, 1.5), (2, 2, 1, None, None), (3, 2, 3, -0.5, 1.0), (4, None, 2, 1.0, 1.0), (5, 1, None, 1.0, 1.0), (6, 2, 2, 0.0, 1.0), (7, 2, 4, 2.0, None), (8, 2, 5, float("nan"), 1.0)]
+    m = spark.createDataFrame(rows, "id long, source long, target long, rate_lo double, rate_hi double")
+    m = m.selectExpr("*", "0.0d off_lo", "1.0d off_hi", "0.0d valid_lo", "10.0d valid_hi")
+    got = {(r.first_id, r.second_id): (r.rate_lo, r.rate_hi) for r in validate.compose_clocks(m, m.withColumn("valid_lo", F.lit(-100.0)).withColumn("valid_hi", F.lit(100.0))).collect()}
+    assert set(got) == {(1, 2), (1, 7), (1, 8), (4, 2), (4, 7), (4, 8)}
+    assert got[1, 2] == (None, None) and got[1, 7] == (1.0, 3.0) and got[4, 8][0] == 1.0
