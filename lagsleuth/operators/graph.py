@@ -79,22 +79,22 @@ def graph_tables(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges.unionByName(share.select("run_id", "e.*"))
 
 
-def critical_path(nodes: DataFrame, edges: DataFrame, order: str | None = None, local_rows: int = paths.LOCAL_ROWS, block_nodes: int = paths.BLOCK_NODES) -> tuple[DataFrame, DataFrame]:
+def critical_path(nodes: DataFrame, edges: DataFrame, order: str | None = None, local_rows: int = paths.LOCAL_ROWS, block_nodes: int = paths.BLOCK_NODES, solution: tuple | None = None) -> tuple[DataFrame, DataFrame]:
     """(total per run, path rows) of the longest path by node durations and edge waits; ties go to the lower node id.
 
     Runs of at most ``local_rows`` nodes and edges are solved whole, many to a task; larger ones in blocks along ``order``, a numeric column
     of nodes (their start, say), see ``paths``. Their path is marked by doubling. Nodes on or behind a cycle keep their own
-    duration and are flagged (``cyclic``); edges from or to unknown nodes do not count."""
-    state, end, path = solved(nodes, edges, order, local_rows, block_nodes)
+    duration and are flagged (``cyclic``); edges from or to unknown nodes do not count. ``solution``: what `solved` gave for this graph."""
+    state, end, path = solution or solved(nodes, edges, order, local_rows, block_nodes)
     return end, path
 
 
-def node_values(nodes: DataFrame, edges: DataFrame, order: str | None = None, local_rows: int = paths.LOCAL_ROWS, block_nodes: int = paths.BLOCK_NODES) -> DataFrame:
+def node_values(nodes: DataFrame, edges: DataFrame, order: str | None = None, local_rows: int = paths.LOCAL_ROWS, block_nodes: int = paths.BLOCK_NODES, solution: tuple | None = None) -> DataFrame:
     """(run_id, node, dist, prev, cyclic) of all nodes: the longest path that ends there."""
-    return solved(nodes, edges, order, local_rows, block_nodes)[0]
+    return (solution or solved(nodes, edges, order, local_rows, block_nodes))[0]
 
 
-def solved(nodes: DataFrame, edges: DataFrame, order: str | None, local_rows: int, block_nodes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def solved(nodes: DataFrame, edges: DataFrame, order: str | None = None, local_rows: int = paths.LOCAL_ROWS, block_nodes: int = paths.BLOCK_NODES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(all nodes' values, end of each run, path rows)."""
     own = nodes.select("run_id", "node", "dur_ns", (C(order) if order else F.xxhash64("node")).cast("double").alias("at"))
     e = edges.groupBy("run_id", "src", "dst").agg(F.max("w_ns").alias("w_ns")).join(own.select("run_id", C("node").alias("dst"), "dur_ns"), ["run_id", "dst"])

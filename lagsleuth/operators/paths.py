@@ -4,7 +4,8 @@ A run of at most LOCAL_ROWS nodes and edges is solved by one task, together with
 blocks along an order. A block is replaced by its border, the nodes with an edge from or to another block, and by one step for each pair
 (node entered from outside, border node behind it): the longest way between them inside. What is left is a smaller run, and so on, until
 it is small; then each block is solved again with the values of its border. Rounds follow the logarithm of a run's size as long as
-few edges leave a block. A run that does not shrink that way is settled by `doubled_longest`.
+few edges leave a block. A run that does not shrink that way is reduced to its core by `cored_longest`; a core that is
+still large is settled by `doubled_longest`.
 """
 from __future__ import annotations
 
@@ -180,6 +181,21 @@ def blocked(nodes: DataFrame, edges: DataFrame, order: str, block_nodes: int) ->
     return n, materialize(e.join(of.select("run_id", C("node").alias("dst"), C("block").alias("dst_block")), ["run_id", "dst"]), "block-edges")
 
 
+def behind_cycles(edges: DataFrame) -> DataFrame:
+    """(run_id, node) of nodes that are surely on or behind a cycle, in general not of all.
+
+    Each node follows one of its predecessors, one with predecessors of its own; a way that does not end runs into a cycle. Ways are joined
+    by doubling. Once a round ends none, none that is left ends: a finite way of any length has shorter ones behind it that end before."""
+    inner = edges.join(edges.select("run_id", C("dst").alias("src")).distinct(), ["run_id", "src"], "left_semi")
+    way = materialize(inner.groupBy("run_id", C("dst").alias("node")).agg(F.min_by("src", F.struct(F.xxhash64("src", "dst"), "src")).alias("up")), "ways")
+    left, n = None, way.count()
+    while n and n != left:
+        further = way.select("run_id", C("node").alias("up"), C("up").alias("up2"))
+        way = materialize(way.join(further, ["run_id", "up"]).select("run_id", "node", C("up2").alias("up")), "ways")
+        left, n = n, way.count()
+    return way.select("run_id", "node")
+
+
 def longest_large(nodes: DataFrame, edges: DataFrame, order: str, local_rows: int = LOCAL_ROWS, block_nodes: int = BLOCK_NODES) -> DataFrame:
     """(run_id, node, dist) of the nodes that are on or behind no cycle. nodes: run_id, node, least, order; edges: run_id, src, dst, step."""
     n, e = blocked(nodes, edges, order, block_nodes)
@@ -194,11 +210,47 @@ def longest_large(nodes: DataFrame, edges: DataFrame, order: str, local_rows: in
     elif now <= 0.75 * was:
         small = longest_large(less, steps, order, local_rows, block_nodes).withColumnRenamed("dist", "known")
     else:
-        small = doubled_longest(less, steps).withColumnRenamed("dist", "known")
+        small = cored_longest(less, steps, local_rows).withColumnRenamed("dist", "known")
     known = materialize(small, "border-values")
     return materialize(in_blocks(n, e, known).groupBy("run_id", "block").applyInArrow(open_block, "run_id string, node string, dist bigint"), "opened")
 
 
+def cored_longest(nodes: DataFrame, edges: DataFrame, local_rows: int = LOCAL_ROWS) -> DataFrame:
+    """(run_id, node, dist) for graphs that do not shrink by blocks, by way of their core.
+
+    What is surely behind a cycle is left out, nodes without predecessors are settled at once, and nodes without successors,
+    hubs that all others lead to among them, at the end."""
+    key = ["run_id", "node"]
+    at = lambda e, end: e.select("run_id", C(end).alias("node")).distinct()
+    of = lambda n, end: n.select("run_id", C("node").alias(end))
+    never = behind_cycles(edges)
+    n = materialize(nodes.join(never, key, "left_anti"), "open-nodes")
+    e = edges.join(of(n, "dst"), ["run_id", "dst"], "left_semi").join(of(never, "src").withColumn("never", F.lit(True)), ["run_id", "src"], "left")
+    e = materialize(e, "open-edges")
+    # what has such a predecessor waits for itself
+    loops = e.where("never").select("run_id", C("dst").alias("src"), "dst", F.lit(0).cast("long").alias("step")).distinct()
+    e = materialize(e.where("never is null").select("run_id", "src", "dst", "step").unionByName(loops), "open-steps")
+    first = materialize(n.join(at(e, "dst"), key, "left_anti").select("run_id", "node", C("least").alias("dist")), "first")
+    come = e.join(first.select("run_id", C("node").alias("src"), "dist"), ["run_id", "src"], "left")
+    given = come.where("dist is not null").groupBy("run_id", C("dst").alias("node")).agg(F.max(C("dist") + C("step")).alias("given"))
+    n = n.join(first, key, "left_anti").join(given, key, "left").select("run_id", "node", F.greatest("least", "given").alias("least"))
+    n, e = materialize(n, "later-nodes"), materialize(come.where("dist is null").drop("dist"), "later-steps")
+    leads = at(e, "src")
+    core = materialize(n.join(leads, key, "left_semi"), "core")
+    inner = materialize(e.join(of(core, "dst"), ["run_id", "dst"], "left_semi"), "core-steps")
+    most = core.select("run_id").unionByName(inner.select("run_id")).groupBy("run_id").count().agg(F.max("count")).first()[0] or 0
+    if most <= local_rows:
+        done = solve_small(core.select("run_id", "node", C("least").alias("dur_ns")), inner).where("not cyclic").select("run_id", "node", "dist")
+    else:
+        done = doubled_longest(core, inner)
+    done = materialize(done, "core-values")
+    last = n.join(leads, key, "left_anti")
+    into = e.join(of(last, "dst"), ["run_id", "dst"], "left_semi").join(done.select("run_id", C("node").alias("src"), "dist"), ["run_id", "src"], "left")
+    into = into.groupBy("run_id", C("dst").alias("node")).agg(F.max(C("dist") + C("step")).alias("d"), F.count_if(C("dist").isNull()).alias("open"))
+    last = last.join(into, key, "left").where(F.coalesce("open", F.lit(0)) == 0).select("run_id", "node", F.greatest("least", "d").alias("dist"))
+    return materialize(first.unionByName(done).unionByName(last), "large")
+
+
 def doubled_longest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(run_id, node, dist) for graphs of any shape.
 

@@ -103,8 +103,9 @@ z AS (SELECT run_id, node, arg_max(dist, k) AS dist, arg_max(settled, k) AS sett
 SELECT run_id, max(dist) AS total_ns, arg_min(node, (-dist, node)) AS end_node, count(*) FILTER (NOT settled) AS cyclic FROM z GROUP BY run_id""")
 def _(spark, d):
     n, e = (materialize(x, "graph") for x in G.graph_tables(spans(spark, d)))
-    total, _ = G.critical_path(n, e)
-    every = G.node_values(n, e).groupBy("run_id").agg(F.count_if("cyclic").alias("cyclic"))
+    both = G.solved(n, e)
+    total, _ = G.critical_path(n, e, solution=both)
+    every = G.node_values(n, e, solution=both).groupBy("run_id").agg(F.count_if("cyclic").alias("cyclic"))
     return total.join(every, "run_id")
 
 

@@ -112,3 +112,37 @@ def test_long_chain_in_few_rounds(spark, monkeypatch):
 def test_empty(spark):
     tot, path = G.critical_path(spark.createDataFrame([], NODES), spark.createDataFrame([], EDGES))
     assert tot.count() == path.count() == 0
+
+
+def traced(name, n, seed):
+    """Two rows of nodes linked at random, with cycles, a hub behind all of one row, sources and sinks."""
+    r = random.Random(seed)
+    nodes = [(name, f"{k}{i}", "s", r.randrange(4), float(i)) for k in "cgts" for i in range(n)] + [(name, "hub", "s", 0, 0.0)]
+    there = r.sample(range(n), n)
+    edges = [(name, f"{k}{i}", f"{k}{i + 1}", r.randrange(3), "s") for k in "cg" for i in range(n - 1)] + [(name, f"g{i}", "hub", 0, "s") for i in range(n)]
+    edges += [(name, f"c{i}", f"g{there[i]}", 1, "s") for i in range(0, n, 3)] + [(name, f"t{i}", f"g{i}", 2, "s") for i in range(n)] + [(name, f"g{i}", f"s{i}", 1, "s") for i in range(n)]
+    edges += [(name, f"s{i}", f"c{there[i]}", 0, "s") for i in range(n // 4, n, 7)]
+    return nodes, edges
+
+
+def test_core_of_runs_that_do_not_shrink(spark, monkeypatch):
+    runs = [traced("u", 60, 1), traced("v", 40, 2), some_run("b", 45, 2, cycle=True), traced("w", 3, 3)]
+    tables = []
+    real = paths.materialize
+    monkeypatch.setattr(paths, "materialize", lambda df, name="t": (tables.append(name), real(df, name))[1])
+    monkeypatch.setattr(paths, "MOST_ENTRIES", 1)
+    check(spark, runs, local_rows=150, block_nodes=20)
+    assert "doubled" not in tables and tables.count("ways") <= 14
+
+
+@pytest.mark.parametrize("local_rows", [0, 1000])
+def test_cored_equals_plain(spark, local_rows):
+    for nodes, edges in (traced("u", 40, 4), RUNS[1]):
+        dur = {n[1]: n[3] for n in nodes}
+        e = {}
+        for _, a, b, w, _ in edges:
+            if a in dur and b in dur:
+                e[a, b] = max(w, e.get((a, b), w))
+        got = paths.cored_longest(spark.createDataFrame([(n[0], n[1], n[3]) for n in nodes], "run_id string, node string, least long"),
+                                  spark.createDataFrame([(nodes[0][0], a, b, w + dur[b]) for (a, b), w in e.items()], "run_id string, src string, dst string, step long"), local_rows)
+        assert sorted((r.node, r.dist) for r in got.collect()) == sorted((n, d) for n, (d, _, cyclic) in plain(nodes, edges).items() if not cyclic)
