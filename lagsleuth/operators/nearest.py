@@ -17,6 +17,8 @@ from .storage import materialize
 C = F.col
 NOT_WORD = r"[^\p{L}\p{N}_]+"
 QUERY_BLOCK, STORE_BLOCK = 1000, 8000
+#: Texts whose words are counted in one task.
+TEXTS = 4000
 #: A term that more than this share of a tile's queries have is a common one; cells and list entries at once.
 COMMON, CELLS, ENTRIES = 0.1, 1 << 20, 1 << 21
 #: Scores are compared to nine digits. A stored norm corrected for a query is at least this part of itself: idf falls by ln 1.5 at most, from 1.4 or more.
@@ -25,27 +27,38 @@ NEAR, LEAST_NORM = 1e-9, 0.7
 SPARE = 4
 
 
-def term_counts(rows: DataFrame, ident: str) -> DataFrame:
-    """(id, token, tf) over words of two or more characters of the whole text."""
+def term_counts(rows: DataFrame, ident: str, parts: int) -> DataFrame:
+    """(id, token, tf) over words of two or more characters of the whole text.
+
+    The texts are shuffled instead of their words, which are counted where the text is; a task has the texts of one of ``parts`` parts alone."""
     tok = F.explode(F.split(F.lower("text"), NOT_WORD)).alias("token")
-    return rows.select(ident, tok).where(F.length("token") >= 2).groupBy(ident, "token").agg(F.count(F.lit(1)).alias("tf"))
+    return rows.select(ident, "text").repartition(parts, ident).select(ident, tok).where(F.length("token") >= 2).groupBy(ident, "token").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def parts_of(rows: int, spark) -> int:
+    """As many parts as there are tasks in a shuffle, or more, so that a task counts the words of few texts."""
+    return max(-(-rows // TEXTS), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def vectors(queries: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(qid, qn, terms: number, w, share, fix) and (id, base, terms: number, tf): smooth idf over the store plus the query itself.
+    """(qid, qn, terms: number, w, share, fix) and (id, base, terms: number, tf): smooth idf over the store plus the query itself, without the texts.
 
     Stored norms (base) are those of the store alone; fix is what a shared term changes in them. Only terms of some query are listed."""
-    qt = materialize(term_counts(queries, "qid"), "query-terms")
-    st = materialize(term_counts(store, "id"), "terms")
-    n1 = F.lit(store.count() + 2.0)
+    spark, stored = queries.sparkSession, store.count()
+    qt = materialize(term_counts(queries, "qid", parts_of(queries.count(), spark)), "query-terms")
+    st = materialize(term_counts(store, "id", parts_of(stored, spark)), "terms")
+    n1 = F.lit(stored + 2.0)
     idf = lambda c: F.ln(n1 / (c + 1.0)) + 1.0
     asked = qt.groupBy("token").agg(F.lit(True).alias("asked"))
     df = st.groupBy("token").agg(F.count(F.lit(1)).alias("df")).join(asked, "token", "full").withColumn("df", F.coalesce("df", F.lit(0)))
     df = materialize(df.withColumn("number", F.monotonically_increasing_id()), "df")
     w = idf(C("df") + 1)
     q = qt.join(df, "token").groupBy("qid").agg(F.sum(F.pow(C("tf") * w, 2)).alias("qn"), F.collect_list(F.struct("number", (C("tf") * w * w).alias("w"), (C("tf") * w).alias("share"), (w * w - F.pow(idf(C("df")), 2)).alias("fix"))).alias("terms"))
-    d = st.join(df, "token").groupBy("id").agg(F.sum(F.pow(C("tf") * idf(C("df")), 2)).alias("base"), F.collect_list(F.when(C("asked"), F.struct("number", C("tf").cast("double").alias("tf")))).alias("terms"))
-    return queries.join(q, "qid", "left"), store.join(d, "id", "left")
+    j = st.join(df, "token")
+    # Sums and lists apart: partial sums are small, and lists are made in one step from the few rows that need them.
+    base = j.groupBy("id").agg(F.sum(F.pow(C("tf") * idf(C("df")), 2)).alias("base"))
+    lists = j.where("asked").select("id", "number", C("tf").cast("double").alias("tf")).repartition(parts_of(stored, spark), "id").groupBy("id").agg(F.collect_list(F.struct("number", "tf")).alias("terms"))
+    return queries.drop("text").join(q, "qid", "left"), store.drop("text").join(base, "id", "left").join(lists, "id", "left")
 
 
 class Lists:

@@ -201,11 +201,6 @@ def store(spark, d):
                       C("source").alias("cause"), C("lang").alias("fix"), F.coalesce(C("toxic") == 1, F.lit(False)).alias("retracted"))
 
 
-def stored(spark, d):
-    """The store written once, spread over tasks even when the texts come from one small file."""
-    return materialize(store(spark, d).repartition("id"), "store")
-
-
 def asked(spark, d):
     b = table(spark, d, "benchmark").join(table(spark, d, "embeddings").select(C("vec_id").alias("item_id"), F.expr(FOLD).alias("e")), "item_id", "left")
     v = F.element_at(F.array(*[F.lit(x) for x in ("en", "fr", "de", "es")]), (C("item_id") % 4 + 1).cast("int"))
@@ -228,12 +223,12 @@ RET = f"em AS (SELECT vec_id, {ZF} AS z FROM embeddings), {SIMS}"
 
 @query("M14", "retrieve", f"WITH {RET} SELECT qid, id, round(score, 6) AS score, round(structured, 6)::DOUBLE AS structured, round(semantic, 6) AS semantic, graph, cause, rank FROM hits WHERE rank <= 3")
 def _(spark, d):
-    return r6(R.retrieve(asked(spark, d), stored(spark, d)), "score", "structured", "semantic")
+    return r6(R.retrieve(asked(spark, d), store(spark, d)), "score", "structured", "semantic")
 
 
 @query("T7", "topk_similar", f"WITH {RET}, k AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(sim, 9) DESC, id) AS rank, round(sim, 6) AS sim FROM sims) SELECT * FROM k WHERE rank <= 5")
 def _(spark, d):
-    return r6(nearest.topk_similar(asked(spark, d), stored(spark, d).where("not retracted"), 5), "sim")
+    return r6(nearest.topk_similar(asked(spark, d), store(spark, d).where("not retracted"), 5), "sim")
 
 
 @query("M15", "difference_card", f"""WITH {RET}, em2 AS (SELECT qid, id, coalesce(q.z, [0,0,0,0,0,0,0,0]) AS qz, coalesce(s.z, [0,0,0,0,0,0,0,0]) AS sz, q.version AS qv, s.version AS sv, s.kernels AS sk, q.st AS qs, s.st AS ss, s.quality FROM (SELECT * FROM hits WHERE rank <= 3) h JOIN qq q USING (qid) JOIN sq s USING (id)),
@@ -242,7 +237,7 @@ y AS (SELECT *, list_concat([nm[i] FOR i IN range(1, 9) IF NOT list_contains(cl,
 SELECT qid, id, array_to_string([nm[i] FOR i IN range(1, 9) IF list_contains(cl, i) AND abs(sz[i]) > 2], ',') AS matches, array_to_string(mm, ',') AS mismatches, array_to_string([nm[i] FOR i IN range(1, 9) IF abs(qz[i]) <= 2 AND abs(sz[i]) <= 2], ',') AS unknowns,
  CASE WHEN quality = 1 AND len(mm) = 0 AND qs = ss THEN 'low' ELSE 'high' END AS risk FROM y""")
 def _(spark, d):
-    s = stored(spark, d)
+    s = store(spark, d)
     q = asked(spark, d)
     c = R.difference_card(R.retrieve(q, s), q, s)
     return c.select("qid", "id", *[F.concat_ws(",", x).alias(x) for x in ("matches", "mismatches", "unknowns")], "risk")
@@ -253,7 +248,7 @@ SELECT qid, id, intervention, round(support / (support + 2) * (.5 + .5 * structu
 def _(spark, d):
     n = table(spark, d, "documents").agg(F.count(F.lit(1))).scalar()
     i = table(spark, d, "lineitem").groupBy((C("l_orderkey") % n).alias("id"), C("l_returnflag").alias("intervention")).agg(F.avg("l_quantity").alias("measured"), F.count(F.lit(1)).alias("support"))
-    h = R.retrieve(asked(spark, d), stored(spark, d))
+    h = R.retrieve(asked(spark, d), store(spark, d))
     return r6(r6(R.shrunk_priors(h, i).select("qid", "id", "intervention", "factor", "shrunk"), "factor"), "shrunk", digits=5)
 
 
@@ -263,7 +258,7 @@ SELECT qid, CASE WHEN version = 'en' AND ser AND z[5] > 2 THEN 'rule:serialized-
  CASE WHEN version = 'en' AND ser AND z[5] > 2 THEN 'sync_serialization' WHEN version = 'en' AND NOT ser AND top = 6 AND z[6] > 2 THEN 'kernel_regression' WHEN score >= .2 THEN cause ELSE 'UNKNOWN' END AS cause,
  CASE WHEN version = 'en' AND ser AND z[5] > 2 THEN 'remove_competing' WHEN version = 'en' AND NOT ser AND top = 6 AND z[6] > 2 THEN 'revert_kernel_config' WHEN score >= .2 AND quality = 1 THEN fix ELSE '' END AS fix FROM j""")
 def _(spark, d):
-    s = stored(spark, d)
+    s = store(spark, d)
     q = asked(spark, d)
     return R.recall_rules(q, R.retrieve(q, s), "en", s)
 

@@ -109,6 +109,16 @@ def test_many_queries_store_few_rows(spark, monkeypatch):
     assert set(stored) == {"query-terms", "terms", "df", "query-vectors", "vectors"}
 
 
+def test_words_are_counted_where_the_texts_are(spark):
+    """One shuffle of texts and none of words; the vectors go on without the texts. An id that comes twice has the words of both texts."""
+    q, s = frames(spark, rows(20, 2), rows(60))
+    plan = nearest.term_counts(s, "id", 8)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1 and "hashpartitioning(id" in plan
+    assert all("text" not in v.columns for v in nearest.vectors(q, s))
+    twice = nearest.term_counts(spark.createDataFrame([(1, "ab cd"), (1, "ab"), (2, None)], "id long, text string"), "id", 8)
+    assert sorted(tuple(r) for r in twice.collect()) == [(1, "ab", 2), (1, "cd", 1)]
+
+
 def test_empty(spark):
     q, s = frames(spark, rows(3), rows(3))
     assert R.retrieve(q.limit(0), s).count() == 0 and R.retrieve(q, s.limit(0)).count() == 0
