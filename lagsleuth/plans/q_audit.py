@@ -101,7 +101,8 @@ ob AS (SELECT id, CASE WHEN n_chars % 60 = 0 THEN 9 ELSE coalesce(agent, 1) END
 
 def audit_tables(spark, d):
     m = materialize(sharded(spark, d).select("id", C("shard").alias("agent")), "manifest")
-    p = population(spark, d).join(m, "id", "left")
+    # Logs and objects are read four times: what they are made of is stored, so that texts and labels are read and joined once.
+    p = materialize(population(spark, d).join(m, "id", "left").select("id", "n_chars", "outcome", "agent"), "records")
     lg = p.where("n_chars % 40 <> 0").select("id", F.when(C("n_chars") % 50 == 0, 9).otherwise(F.coalesce("agent", F.lit(1))).alias("worker"))
     ob = p.where("outcome is not null").select("id", F.when(C("n_chars") % 60 == 0, 9).otherwise(F.coalesce("agent", F.lit(1))).alias("worker"), "outcome")
     return m, lg, ob
