@@ -25,7 +25,6 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,9 +37,12 @@ VOCABULARY_TERMS = 1 << 21
 TERM_BLOCK = 2048
 SOURCE_BLOCK = 128
 COUNT_BLOCK = 4096
-HELD = 1 << 21
-#: Slots that sort out rare terms: one for so many bytes of text, within these powers of two; sent in so many ranges.
-SLOT_BYTES, SLOT_BITS, SLOT_RANGES = 64, (16, 24), 512
+HELD = 1 << 20
+#: Texts are cut in pieces of so many bytes, for which arrays of places take some twenty times as much.
+PIECE_BYTES = 1 << 20
+#: Slots that sort out rare terms: one for so many bytes of text, within these powers of two; sent in ranges of so many, because Spark hands
+#: rows to Python ten thousand at a time, whatever their size.
+SLOT_BYTES, SLOT_BITS, SLOT_RANGE = 64, (16, 24), 1024
 #: One of so many term hashes is counted exactly, to know the size of the vocabulary before it is made.
 SAMPLED = 1024
 
@@ -96,7 +98,8 @@ class Terms:
         start = np.stack([self.lang_start[owner], self.start[chosen]], 1).ravel()
         size = np.stack([self.lang_size[owner], self.size[chosen]], 1).ravel()
         end = np.cumsum(size)
-        at = np.repeat(start - end + size, size) + np.arange(int(size.sum()))
+        at = np.repeat(start - end + size, size)
+        at += np.arange(len(at))
         offsets = np.concatenate([[0], end[1::2]]).astype(np.int64)
         flat = pa.Array.from_buffers(pa.large_string(), len(chosen), [None, pa.py_buffer(offsets), pa.py_buffer(self.data[at])]).cast(pa.string())
         lists = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=self.n))]).astype(np.int32)
@@ -111,22 +114,23 @@ def frequent_slots(base: DataFrame, min_df: int, bits: int) -> tuple[bytes, int]
     """(a bit for each slot of term hashes with at least min_df documents, about how many terms have so many).
 
     A slot counts the documents of all its terms, so a term in an unset slot is surely rare; counts beyond min_df are cut to it."""
-    ranges = min(SLOT_RANGES, max(1, (1 << bits) // 8))
-    width = (1 << bits) // ranges
+    width = min(1 << bits, SLOT_RANGE)
+    ranges = (1 << bits) // width
     kind = np.uint8 if min_df < 256 else np.uint32
 
     def count(batches):
-        claim(__name__)
+        claim(f"{__name__}.slots")
         counts = np.zeros(1 << bits, np.uint32)
         exact: dict = {}
-        for b in (x for whole in batches for x in slices(whole)):
+        for b in (x for whole in batches for x in slices(whole, PIECE_BYTES)):
             t = Terms(b)
             h = t.hash[t.once()]
             np.add.at(counts, slot_of(h, bits), np.uint32(1))
             some, n = np.unique(h[h % np.uint64(SAMPLED) == 0], return_counts=True)
             for x, k in zip(some.tolist(), n.tolist(), strict=True):
                 exact[x] = exact.get(x, 0) + k
-        cut = np.minimum(counts, min_df).astype(kind).reshape(ranges, width)
+        cut = np.minimum(counts, min_df, out=counts).astype(kind, copy=False).reshape(ranges, width)
+        del counts
         some = [r for r in range(ranges) if cut[r].any()]
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([cut[r].tobytes() for r in some], pa.binary()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64())], names=["range", "counts", "hash", "docs"])
         yield pa.RecordBatch.from_arrays([pa.nulls(len(exact), pa.int32()), pa.nulls(len(exact), pa.binary()), pa.array(np.array(list(exact), np.uint64).view(np.int64)), pa.array(list(exact.values()), pa.int64())], names=["range", "counts", "hash", "docs"])
@@ -136,7 +140,7 @@ def frequent_slots(base: DataFrame, min_df: int, bits: int) -> tuple[bytes, int]
         for b in batches:
             for r, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own = np.frombuffer(x, kind)
-                sums[r] = np.minimum(sums[r] + own, min_df) if r in sums else own.astype(np.int64)
+                sums[r] = np.minimum(sums[r].astype(np.uint64) + own, min_df).astype(kind) if r in sums else own
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.packbits(s >= min_df, bitorder="little").tobytes() for s in sums.values()], pa.binary())], names=["range", "bits"])
 
     made = materialize(base.mapInArrow(count, "range int, counts binary, hash long, docs long"), "slots")
@@ -151,9 +155,9 @@ def words_of(base: DataFrame, bits: int, frequent: bytes, part: int, parts: int,
     """lang, source and words: the terms of a part that are not surely rare, all of them or once for each document."""
 
     def run(batches):
-        claim(__name__)
+        claim(f"{__name__}.words")
         keep = np.frombuffer(frequent, np.uint8)
-        for b in (x for whole in batches for x in slices(whole)):
+        for b in (x for whole in batches for x in slices(whole, PIECE_BYTES)):
             t = Terms(b)
             chosen = t.once() if once else np.arange(len(t.start))
             slot = slot_of(t.hash[chosen], bits)
@@ -227,6 +231,8 @@ def summed(vectors: DataFrame, most: int = HELD) -> DataFrame:
 
 def count_terms(base: DataFrame, min_df: int, limit: int = VOCABULARY_TERMS, slot_bits: int | None = None) -> DataFrame:
     """(lang, source, term, count) of the kept terms that occur there (stored)."""
+    from pyspark.ml.feature import CountVectorizer  # here, because each Python worker that imports it has 50 MB more
+
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = slot_bits or min(max((size // SLOT_BYTES).bit_length(), SLOT_BITS[0]), SLOT_BITS[1])
     frequent, kept = frequent_slots(base, min_df, bits)

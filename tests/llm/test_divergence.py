@@ -1,4 +1,6 @@
 import re
+import subprocess
+import sys
 from collections import Counter, defaultdict
 
 import pytest
@@ -81,3 +83,18 @@ def test_ties_go_by_bytes(spark):
     data = [(i, f"{w} same", "en", s, 0, 0) for i, (w, s) in enumerate(zip(["z", "é", "𝒳", "ﬁ"] * 3, ["p", "p", "p", "p", "q", "q", "q", "q", "r", "r", "r", "r"], strict=True))]
     got = sorted(tuple(r) for r in divergence.audit(spark.createDataFrame(data, SCHEMA), min_df=1, top=3).collect())
     assert got == plain(data, 1, 3)
+
+
+def test_rows_of_slots_are_small(spark, monkeypatch):
+    """Spark hands rows to Python ten thousand at a time, so 32 KB each were 320 MB."""
+    stored, materialize = [], divergence.materialize
+    monkeypatch.setattr(divergence, "materialize", lambda df, name: stored.append(materialize(df, name)) or stored[-1])
+    base = divergence.columns(spark.createDataFrame(rows(), SCHEMA))
+    bits, _ = divergence.frequent_slots(base, 3, 22)
+    assert len(bits) == 1 << 19 and sum(bin(b).count("1") for b in bits if b) > 5
+    assert stored[0].selectExpr("max(octet_length(counts))").first()[0] <= 1024
+
+
+def test_workers_do_not_import_spark_ml():
+    done = subprocess.run([sys.executable, "-c", "import sys, lagsleuth.llm.divergence; sys.exit('pyspark.ml' in sys.modules)"], env={"PYTHONPATH": ":".join(p for p in sys.path if p)})
+    assert done.returncode == 0
