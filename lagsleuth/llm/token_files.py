@@ -8,12 +8,15 @@ document in the whole sequence is base + at. Only one value for each part passes
 
 Texts are encoded with the tokenizers library. With `cut_at_space`, for tokenizers whose normaliser and pre-tokenizer always cut at
 ASCII white space and drop it, each distinct word of a slice is encoded once and remembered (a bounded memory of words); otherwise whole texts.
+If the normaliser also lower-cases, A-Z are lowered before the words are told apart, except in texts where that could change a composed letter or
+make an added token; a word of Latin letters and then marks is the ids of the letters and those of the marks.
 
 Cases: a null text is empty and has only the end id; null doc_ids come first; repeated ids stand in the order of a text hash and are
 all written; further columns are not written; an empty table gives files without rows.
 """
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -29,9 +32,13 @@ from lagsleuth.operators.storage import shared_dir
 from .common import claim, part_count, range_bounds, slices, store, text_bytes
 
 PART_BYTES = 128 << 20
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 5 << 20
 MEMO_WORDS = 400_000
 TOGETHER = 256
+#: All ASCII marks but the apostrophe, which tokenizers cut in ways of their own.
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters below are Latin and older than any table of letters that a library may have.
+LATIN = "\u0250"
 LAYOUT = {"parquet.block.size": 64 << 20, "parquet.page.size": 128 << 10, "parquet.page.row.count.limit": 1000, "parquet.dictionary.page.size": 1 << 20,
           "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false", "parquet.enable.dictionary#ids.list.element": "true", "compression": "zstd"}
 
@@ -58,6 +65,23 @@ class TextEncoder:
         self.is_end = np.zeros(max(vocabulary.values()) + 1 if mark else 0, bool)
         for t, i in vocabulary.items() if mark else ():
             self.is_end[i] = t.endswith(mark)
+        described = json.loads(self.library.to_str())
+        steps = described["normalizer"] or {}
+        steps = steps.get("normalizers", [steps])
+        self.lowers = any(x.get("type") == "Lowercase" for x in steps) and all(x.get("type") in ("NFC", "Lowercase") or x.get("pattern") == {"Regex": "\\s+"} for x in steps)
+        self.added = [x["content"].encode().lower() for x in described["added_tokens"]]
+        # runs of marks are pieces of their own if the library cuts at just these borders, and no added token lies across one
+        cutters = [x["pattern"].get("Regex", "") for x in (described["pre_tokenizer"] or {}).get("pretokenizers", []) if x.get("type") == "Split"]
+        self.cuts = cut_at_space and any("|[\\p{L}]+|" in x and x.endswith("|[^\\s\\p{L}\\p{N}]+") for x in cutters) and all(x.lstrip(MARKS) not in (x, b"") for x in self.added)
+
+    def lowered(self, text: bytes) -> bytes:
+        """The text with A-Z in lower case, if its ids are the same.
+
+        U+0300 to U+037F (lead bytes CC and CD) compose with some letters in one case only (j with caron), and an added token is found as it is written."""
+        if not self.lowers or b"\xcc" in text or b"\xcd" in text:
+            return text
+        low = text.lower()
+        return text if any(x in low for x in self.added) else low
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -66,7 +90,7 @@ class TextEncoder:
         """Ids of each text and the end id, little-endian unsigned 32 bits."""
         if not self.cut_at_space:
             return [x + self.end for x in self.ids_of([t.decode() for t in texts])]
-        words = [t.split() for t in texts]
+        words = [self.lowered(t).split() for t in texts]
         distinct = set().union(*words)
         new = [w for w in distinct if w not in self.memo]
         if 2 * len(new) > len(distinct) and len(self.memo) >= MEMO_WORDS:
@@ -80,10 +104,18 @@ class TextEncoder:
         return [b"".join(map(get, w)) + self.end for w in words]
 
     def ids_of_words(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Words of letters and perhaps one last mark are encoded many at a time: their tokens end with one or two word ends."""
+        """Words of letters and perhaps one last mark are encoded many at a time: their tokens end with one or two word ends.
+
+        A word of Latin letters and then marks takes the ids of both, which are encoded once for all words that have them."""
         out, plain, ends = {}, [], []
-        odd = []
-        for w in words:
+        odd, marked, wanted = [], [], dict.fromkeys(words)
+        for w in words if self.cuts else ():
+            letters = w.rstrip(MARKS)
+            if 0 < len(letters) < len(w) and (t := letters.decode().lower()).isalpha() and max(t) < LATIN:
+                marked.append((w, letters, w[len(letters) :]))
+                del wanted[w]
+                wanted.update((x, None) for x in marked[-1][1:] if x not in self.memo)
+        for w in wanted:
             t = w.decode()
             n = 1 if t.isalpha() else 2 if t[:-1].isalpha() and t[-1] in ",.;:!?" else 0
             if n:
@@ -105,6 +137,8 @@ class TextEncoder:
         else:
             odd += plain
         out.update(zip((w for w, _ in odd), self.ids_of([t for _, t in odd]), strict=True))
+        for w, *both in marked:
+            out[w] = b"".join(out[x] if x in out else self.memo[x] for x in both)
         return out
 
 

@@ -59,3 +59,25 @@ def test_layout_and_selective_reads(spark, tmp_path):
 def test_empty(spark, tmp_path):
     tf.write(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "t"), PATH, 1, True)
     assert tf.with_crc32(tf.read(spark, str(tmp_path / "t"))).count() == 0
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet=st.sampled_from("abJKTYIé̱̌̇̈́ʹİßΣſK'\"!?.,;%$-_≠ \n<|endoftext>ENDOFTEXT19ªµ漢"), max_size=30), st.sampled_from(["", "<|EndOfText|>", "<|endoftext|>", "J̌ a,%%%", "It'S", "Te'LL.", "İ!", "a!'s"]))
+def test_lowered_and_marked_words_equal_the_whole(text, more):
+    text = text + more + text
+    assert np.frombuffer(ENCODER.encode([text.encode()])[0], "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids + [1]
+
+
+def test_letters_are_encoded_once_for_all_cases_and_marks():
+    encoder, asked = tf.TextEncoder(PATH, 1, True), []
+    batch = encoder.library.encode_batch_fast
+
+    class Counting:
+        def encode_batch_fast(self, texts, **how):
+            asked.extend(w for t in texts for w in t.split())
+            return batch(texts, **how)
+
+    encoder.library = Counting()
+    got = encoder.encode([b"Thonin thonin, THONIN. thonin,%%% Thonin!!", b"thonin;"])
+    assert sorted(asked) == sorted(["thonin", ",", ".", ",%%%", "!!", ";"])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [LIBRARY.encode(t, add_special_tokens=False).ids + [1] for t in ("Thonin thonin, THONIN. thonin,%%% Thonin!!", "thonin;")]
