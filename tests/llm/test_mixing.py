@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -122,3 +123,76 @@ def test_weights_are_refined_after_each_block(monkeypatch):
     monkeypatch.setattr(mx.Mixer, "learn", staticmethod(lambda *a: None))
     fixed = mixer.scores(docs)[0]
     assert refined[1] == fixed[1] and refined[0] > fixed[0] and refined[2] > fixed[2]
+
+
+def plain_parts(coder, rng, n, words):
+    """Use and documents of some parts, and one with a context so frequent that its logits are cut."""
+    parts = [(rng.choice((0, 1, 1, 2)), [[rng.choice(words) for _ in range(rng.randint(0, 40))] + [b"odd%d" % rng.randint(0, 9)] for _ in range(5)]) for _ in range(n)]
+    return [*parts, (1, [[words[0], words[1]] * 6000, []]), (2, [[words[0], words[1], words[2]] * 7, []])]
+
+
+def test_ranges_answer_each_part_with_the_states_of_the_plain_rows(spark):
+    rng = random.Random(7)
+    words = [b"%d" % i for i in range(60)]
+    coder = mx.Coder(words, list(range(60, 0, -1)), 50, 5, np.arange(257)).prepare()
+    parts = plain_parts(coder, rng, 9, words)
+    keys = [np.unique(np.concatenate(coder.units(docs)[1]), return_counts=True) for _, docs in parts]
+    rows = [(i, int(k), int(t) if use == 1 else 0, int(t) if use == 2 else 0) for i, ((use, _), (key, n)) in enumerate(zip(parts, keys, strict=True)) for k, t in zip(key, n, strict=True)]
+    known = {r.key: r for r in mx.key_states(spark.createDataFrame(rows, "part long, key long, n long, m long"), spark.sparkContext.broadcast(coder)).collect()}
+    every = np.unique(np.concatenate([k for k, _ in keys]))
+    cuts = every[[40, 41, 300, len(every) // 2, -5]]
+    for bounds in (np.zeros(0, np.int64), np.unique(np.where(cuts >> mx.KIND_AT < 2, cuts >> mx.SYMBOL_BITS << mx.SYMBOL_BITS, cuts >> mx.LETTER_BITS << mx.LETTER_BITS))):
+        asked = [[] for _ in range(len(bounds) + 1)]
+        for i, ((use, _), (key, n)) in enumerate(zip(parts, keys, strict=True)):
+            cut = mx.parted(key, bounds)
+            for r in np.flatnonzero(np.diff(cut)).tolist():
+                asked[r].append((i, use, mx.pack_keys(key[cut[r] : cut[r + 1]], n[cut[r] : cut[r + 1]] if use else n[:0])))
+        told = [(r, *x) for r, some in enumerate(asked) if some for x in mx.answers(coder, some)]
+        for i, ((use, _), (key, _)) in enumerate(zip(parts, keys, strict=True)):
+            for column, at in (("states", 2), ("fitted", 3)):
+                mine = [(x[0], x[at]) for x in told if x[1] == i]
+                if column == "fitted" and use != 2:
+                    assert all(x is None for _, x in mine)
+                    continue
+                got = mx.told(coder, key, bounds, pa.table({"range": [x for x, _ in mine], "states": pa.array([x for _, x in mine], pa.binary())}))
+                assert got.column("key").to_pylist() == key.tolist()
+                assert got.column("states").to_pylist() == [bytes(known[k][column]) for k in key.tolist()]
+
+
+def test_packed_keys_come_back():
+    rng = np.random.default_rng(3)
+    for kind, wide in ((0, 38), (1, 57), (2, 36), (3, 54)):
+        key = np.unique(np.concatenate([rng.integers(0, 1 << wide, 500), rng.integers(0, 1 << 10, 50)])) + (kind << mx.KIND_AT)
+        n = rng.integers(1, 1 << 20, len(key))
+        for times in (n, n[:0]):
+            got = mx.unpack_keys(mx.pack_keys(key, times))
+            assert got[0].tolist() == key.tolist() and got[1].tolist() == times.tolist()
+
+
+def test_a_state_of_counts_on_one_side_mirrors_the_other():
+    n = np.concatenate([np.arange(20_000), 2 ** np.arange(15, 50)])
+    ones, zeros = mx.states(np.stack([0 * n, n], axis=1)), mx.states(np.stack([n, 0 * n], axis=1))
+    alone = mx.alone_states(n)
+    assert (mx.turned(np.zeros(len(n), bool), alone) == zeros).all()
+    assert (np.where(alone & 63 == 0, alone | 63, alone) == ones).all()
+
+
+def test_keys_and_states_are_stored_packed(spark, monkeypatch):
+    """A key of a part costs a few bytes of disk, not a row; settings are as before when the score is done."""
+    rng = random.Random(9)
+    docs = [(i, " ".join("w%d" % int(rng.expovariate(0.002)) for _ in range(400))) for i in range(250)]
+    stored, write = {}, mx.materialize
+
+    def noted(df, name, *by):
+        out = write(df, name, *by)
+        stored.setdefault(name, []).append((out.count(), sum(os.path.getsize(f.removeprefix("file:").replace("///", "/")) for f in out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(mx, "materialize", noted)
+    was = spark.conf.get(mx.CLEANUP, None)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    assert mx.score(frame).count() == len(docs)
+    assert spark.conf.get(mx.CLEANUP, None) == was
+    keys = 2 * sum(len(t.split()) + 1 for _, t in docs) * 0.7
+    rows, size = (sum(x[i] for name in stored if name not in ("word-counts", "top-words", "scored") for x in stored[name]) for i in range(2))
+    assert rows < 200 and size < 6 * keys
