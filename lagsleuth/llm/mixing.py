@@ -72,13 +72,20 @@ CODEC = pa.Codec("zstd", 1)
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def squeeze(data) -> bytes:
-    return memoryview(data).nbytes.to_bytes(4, "little") + CODEC.compress(data, asbytes=True)
+def squeeze(*runs) -> bytes:
+    """Each run compressed by itself, since other bytes are frequent in each."""
+    frames = [CODEC.compress(x, asbytes=True) for x in runs]
+    return b"".join(y for x, f in zip(runs, frames, strict=True) for y in (np.array([memoryview(x).nbytes, len(f)], "<u4").tobytes(), f))
 
 
 def restore(data: bytes) -> bytes:
-    size = int.from_bytes(data[:4], "little")
-    return CODEC.decompress(memoryview(data)[4:], size, asbytes=True) if size else b""
+    """All runs, one after the other."""
+    out, at = [], 0
+    while at < len(data):
+        size, n = np.frombuffer(data, "<u4", 2, at).tolist()
+        out.append(CODEC.decompress(memoryview(data)[at + 8 : at + 8 + n], size, asbytes=True) if size else b"")
+        at += 8 + n
+    return b"".join(out)
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -528,7 +535,7 @@ def spread(c: Coder, key: np.ndarray, n: np.ndarray, at: np.ndarray, starts: np.
         values, cut = column[at[new]], np.append(np.searchsorted(new, cut), len(new)).tolist()
         for x, a, b in zip(out, cut, cut[1:], strict=False):
             x.append(values[a:b])
-    return [squeeze(np.concatenate(x)) for x in out]
+    return [squeeze(top, others, np.concatenate([others[:0], *nodes])) for top, others, *nodes in out]
 
 
 def numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
